@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, simhash, syncmers, token_files
+from . import mixing, packing, simhash, surrogates, syncmers, token_files
 from .common import table
 
 
@@ -15,6 +16,15 @@ def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.neighbour_likeness(table(spark, sf_dir, "documents"))
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = surrogates.replace(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "n_entities")
+
+
+def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -31,6 +41,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_syncmer_fingerprints,
+        op2_pii_surrogates,
+        op3_poisson_mixing,
         op7_cost_balanced_packing,
         op9_simhash_near_duplicates,
         op10_huffman_token_files,

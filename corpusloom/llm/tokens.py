@@ -1,9 +1,11 @@
 """Whole-text encoding with the tokenizers library inside Spark tasks.
 
 A corpus repeats words far more often than it adds new ones, so a task encodes each
-distinct word once with the library and joins the remembered ids. Texts are only cut at
-places where the tokenizer itself always cuts: a single space between two characters
-that are not white space. Any other text goes to the library whole.
+distinct word once with the library and joins the remembered ids. A text is only cut at
+places where the tokenizer itself always cuts: in texts of Latin letters, ASCII digits and
+punctuation, between letters, digits and punctuation; in other texts, at single spaces
+between characters that are not white space. A text that fits neither goes to the library
+whole.
 """
 
 from __future__ import annotations
@@ -14,7 +16,15 @@ import re
 import numpy as np
 
 #: Words remembered by one Python worker before the memory is emptied.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 500_000
+#: Words joined into one text for the library.
+JOINED_WORDS = 1000
+
+# without U+0130, which becomes two characters in lower case
+_LATIN = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u012f\\u0131-\\u024f"
+_OTHER = re.compile(f"[^ \\n!-&(-~{_LATIN}]")
+_SPACED_PARTS = re.compile(f" ?[{_LATIN}]+| ?[0-9]+| ?[^ \\n{_LATIN}0-9]+|\\n")
+_PLAIN_PARTS = re.compile(f"[{_LATIN}]+|[0-9]|[^ \\n{_LATIN}0-9]+")
 _UNSURE = r"\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
 #: White space beside a space or at either end: such texts are not cut.
 _AFTER, _BEFORE, _ENDS = (re.compile(p) for p in (f" [{_UNSURE}]", f" (?<=[{_UNSURE}] )", f"^[{_UNSURE}]|[{_UNSURE}]\\Z"))
@@ -24,7 +34,10 @@ def regular(text: str) -> bool:
     """Whether every space in ``text`` is a place where the tokenizer cuts."""
     return not (_ENDS.search(text[:1]) or _ENDS.search(text[-1:]) or _AFTER.search(text) or _BEFORE.search(text))
 
-_encoders: dict[tuple[str, bool], "WordEncoder"] = {}
+
+def simple(text: str) -> bool:
+    """Whether ``text`` is of the kind that is cut between letters, digits and punctuation."""
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or _OTHER.search(text))
 
 
 class WordEncoder:
@@ -32,58 +45,91 @@ class WordEncoder:
 
     def __init__(self, path: str, spaced: bool):
         """path: a tokenizers JSON file. spaced: a word's leading space belongs to its
-        tokens (byte-level BPE); otherwise white space is dropped by the tokenizer."""
+        tokens (byte-level BPE); otherwise white space is dropped and each word's last
+        token is marked as such."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        #: Tokens that begin (spaced) or end (otherwise) a word of a joined text.
+        self.edge = np.array([x.startswith("Ġ") if spaced else x.endswith("</w>") for x in names])
+        self.line = names.index("Ċ") if spaced else None
         self.memo: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
-
-    def _learn(self, memo: dict[str, bytes], words: set[str], prefix: str) -> None:
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        new = list(words.difference(memo))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            found = self.tokenizer.encode_batch_fast([prefix + w for w in part] if prefix else part, add_special_tokens=False)
-            ids = [e.ids for e in found]
-            flat = np.array([x for one in ids for x in one], dtype=self.dtype).tobytes()
-            width, at = np.dtype(self.dtype).itemsize, 0
-            for w, one in zip(part, ids):
-                memo[w] = flat[at : (at := at + width * len(one))]
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _separately(self, words: list[str]) -> None:
+        for word, ids in zip(words, self._library(words)):
+            self.memo[word] = np.array(ids, dtype=self.dtype).tobytes()
+
+    def _together(self, words: list[str], between: str) -> None:
+        """Encode words in one text, and cut its ids again where a word begins or ends."""
+        for i in range(0, len(words), JOINED_WORDS):
+            part = words[i : i + JOINED_WORDS]
+            ids = np.array(self._library([between.join(part)])[0], dtype=self.dtype)
+            if between == "\n":
+                ends = np.append(np.flatnonzero(ids == self.line), len(ids))
+                starts = np.append(0, ends[:-1] + 1)
+            elif self.spaced:
+                starts = np.flatnonzero(self.edge[ids])
+                ends = np.append(starts[1:], len(ids))
+            else:
+                ends = np.flatnonzero(self.edge[ids]) + 1
+                starts = np.append(0, ends[:-1])
+            if len(starts) != len(part) or len(ends) != len(part):
+                self._separately(part)
+                continue
+            flat, width = ids.tobytes(), self.dtype.itemsize
+            self.memo.update((w, flat[a:b]) for w, a, b in zip(part, (starts * width).tolist(), (ends * width).tolist()))
+
+    def _learn(self, texts: list[list[str]], whole_words: bool) -> None:
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        new = [w for w in set().union(*texts) if w not in self.memo]
+        if not self.spaced:
+            self._separately(new) if whole_words else self._together(new, " ")
+            return
+        self._together([w for w in new if w[0] == " "], "")
+        rest = [w for w in new if w[0] != " "]
+        self._separately([w for w in rest if "\n" in w])
+        self._together([w for w in rest if "\n" not in w], "\n")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [t.split(" ") if t and regular(t) else None for t in texts]
         out: list[bytes] = [b""] * len(texts)
-        if whole := [i for i, c in enumerate(cut) if c is None and texts[i]]:
-            for i, ids in zip(whole, self._library([texts[i] for i in whole])):
-                out[i] = ids
-        even = [i for i, c in enumerate(cut) if c is not None]
-        for first in range(0, len(even), 256):
-            part = even[first : first + 256]
-            if self.spaced:
-                heads = {cut[i][0] for i in part}
-                self._learn(self.heads, heads, "")
-                self._learn(self.memo, set().union(*(cut[i][1:] for i in part)), " ")
-                get = self.memo.__getitem__
-                for i in part:
-                    out[i] = self.heads[cut[i][0]] + b"".join(map(get, cut[i][1:]))
-            else:
-                self._learn(self.memo, set().union(*(cut[i] for i in part)), "")
-                get = self.memo.__getitem__
-                for i in part:
-                    out[i] = b"".join(map(get, cut[i]))
+        find = (_SPACED_PARTS if self.spaced else _PLAIN_PARTS).findall
+        for first in range(0, len(texts), 256):
+            parts, words, whole = {}, {}, []
+            for i in range(first, min(first + 256, len(texts))):
+                if not (text := texts[i]):
+                    continue
+                if simple(text):
+                    parts[i] = find(text)
+                elif regular(text):
+                    cut = text.split(" ")
+                    words[i] = [cut[0], *(" " + w for w in cut[1:])] if self.spaced else cut
+                else:
+                    whole.append(i)
+            for cuts, of_words in ((parts, False), (words, True)):
+                if cuts:
+                    self._learn(list(cuts.values()), of_words)
+                    get = self.memo.__getitem__
+                    for i, cut in cuts.items():
+                        out[i] = b"".join(map(get, cut))
+            if whole:
+                for i, ids in zip(whole, self._library([texts[i] for i in whole])):
+                    out[i] = np.array(ids, dtype=self.dtype).tobytes()
         return out
 
 
+_encoders: dict[tuple[str, bool], WordEncoder] = {}
+
+
 def encoder(path: str, spaced: bool) -> WordEncoder:
     """One encoder a worker process, kept over its tasks."""
     key = (path, spaced)

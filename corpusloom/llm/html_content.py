@@ -24,6 +24,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import spread
 
@@ -339,6 +340,6 @@ def extract(pages: DataFrame, model: Model | None = None, html_column: str = "ht
     """The columns of ``pages`` with the html replaced by ``text`` and ``n_chars``."""
     kept = [c for c in pages.columns if c not in (html_column, "text", "n_chars")]
     source = pages.select(*kept, F.col(html_column).cast("string").alias("_html"))
-    shape = source.schema.add("_text", "string").add("_n", "long")
+    shape = StructType([*source.schema.fields, StructField("_text", StringType()), StructField("_n", LongType())])
     found = spread(source).mapInArrow(_extract_map(len(kept), model or trained()), shape)
     return found.select(*kept, F.col("_text").alias("text"), F.col("_n").alias("n_chars"))

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import spread
 
@@ -370,7 +371,7 @@ def _score_map(model: bytes | None, at: int):
 
 def score(docs: DataFrame, model: bytes | None, text_column: str = "text") -> DataFrame:
     """The columns of ``docs`` and a double ``score``."""
-    shape = docs.schema.add("score", "double")
+    shape = StructType([*docs.schema.fields, StructField("score", DoubleType())])
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, bounded by the training sample
     at = docs.columns.index(text_column)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_content, mixing, packing, simhash, surrogates, syncmers, token_files, toxicity
+from . import hnsw, html_content, mixing, packing, simhash, surrogates, syncmers, token_counts, token_files, toxicity
 from .common import table
 
 
@@ -33,10 +33,18 @@ def op5_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_hnsw_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,7 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_poisson_mixing,
         op4_html_main_text,
         op5_toxicity_scores,
+        op6_trie_token_counts,
         op7_cost_balanced_packing,
+        op8_hnsw_near_duplicates,
         op9_simhash_near_duplicates,
         op10_huffman_token_files,
     )

@@ -135,3 +135,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, id_column: str = "doc_id",
     linked = groups.join(roots, "component").select(F.col("node").alias("print"), "root")
     found = classes.join(linked, "print", "left").select("print", F.coalesce("root", "rep").alias("component_id"))
     return prints.join(found, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The row of the smallest id of every group of near copies, and one of repeated rows.
+
+    Rows without an id are told apart by their texts and follow all rows with one.
+    """
+    marked = docs.withColumn("_id", F.coalesce(F.col(id_column).cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(text_column), F.lit(1 << 61))))
+    groups = near_duplicates(marked, words, "_id", text_column)
+    kept = groups.select(F.col("component_id").alias("_id")).distinct()
+    return marked.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)

@@ -358,25 +358,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     return bytes(found[0][0]) if found else None
 
 
-def _score_map(model: bytes | None, at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = pickle.loads(model) if model else None
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            scores = net.scores(texts) if net else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.asarray(scores, dtype=np.float64))], names=[*batch.schema.names, "score"])
-
-    return run
-
-
-def score(docs: DataFrame, model: bytes | None, text_column: str = "text") -> DataFrame:
-    """The columns of ``docs`` and a double ``score``."""
-    shape = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+def score(docs: DataFrame, model: bytes | None, text_column: str = "text", score_column: str = "score") -> DataFrame:
+    """The columns of ``docs`` and a double ``score_column``."""
+    shape = StructType([*docs.schema.fields, StructField(score_column, DoubleType())])
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, bounded by the training sample
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _score_map(held.value, at)(batches)
+        net = pickle.loads(held.value) if held.value else None
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                texts = part.column(at).to_pylist()
+                scores = net.scores(texts) if net else np.zeros(len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=shape.names)
 
     return spread(docs).mapInArrow(run, shape)
 

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: What an unseen source name is called inside, as nulls do not join.
 _NONE = "\0"
 
@@ -27,21 +29,37 @@ def _uniform(seed: str, *parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+#: Entries of all cumulative distributions together up to which they are broadcast (32 MB).
+BROADCAST_ENTRIES = 1 << 22
+#: Beyond that, rows of one source are joined in so many groups.
+SALTS = 64
+#: Rates above this start the distribution 12 standard deviations below the mean.
+LARGE_RATE = 600.0
+
+
+def _log_factorial(k: Column) -> Column:
+    """Stirling's series, for large k."""
+    return k * F.log(k) - k + F.lit(0.5) * F.log(F.lit(2.0) * F.pi() * k) + F.lit(1.0) / (F.lit(12.0) * k) - F.lit(1.0) / (F.lit(360.0) * k * k * k)
+
+
 def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... as an array that reaches 1 in double precision."""
+    """(first, cdf): P(X <= k) for k = first, first + 1, ... up to 1 in double precision."""
+    large = rate > LARGE_RATE
+    first = F.when(large, F.floor(rate - F.lit(12.0) * F.sqrt(rate))).otherwise(F.lit(0)).cast("int")
     last = F.ceil(rate + F.lit(12.0) * F.sqrt(rate) + F.lit(30.0)).cast("int")
-    start = F.struct((-rate).alias("log"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("cdf"))
+    log0 = F.when(large, first.cast("double") * F.log(rate) - rate - _log_factorial(F.greatest(first, F.lit(1)).cast("double"))).otherwise(-rate)
+    start = F.struct(log0.alias("log"), F.exp(log0).alias("sum"), F.array(F.exp(log0)).alias("cdf"))
 
     def step(s: Column, k: Column) -> Column:
         log = s["log"] + F.log(rate) - F.log(k.cast("double"))
         total = s["sum"] + F.exp(log)
         return F.struct(log.alias("log"), total.alias("sum"), F.concat(s["cdf"], F.array(total)).alias("cdf"))
 
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["cdf"])
+    return F.struct(first.alias("first"), F.aggregate(F.sequence(first + 1, last), start, step, lambda s: s["cdf"]).alias("cdf"))
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | DataFrame | None = None, scale: float = 1.0, source_column: str = "source", text_column: str = "text") -> DataFrame:
-    """(origin, rate, cdf): one row a source."""
+    """(origin, rate, first, cdf): one row a source."""
     origin = F.coalesce(F.col(source_column).cast("string"), F.lit(_NONE))
     mass = F.greatest(F.coalesce(F.length(text_column), F.lit(0)), F.lit(1)).cast("double")
     sums = docs.groupBy(origin.alias("origin")).agg(F.sum(mass).alias("mass"))
@@ -52,7 +70,7 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | DataFrame | None =
     total = sums.agg(F.sum("mass").alias("all_mass"), F.sum("weight").alias("all_weight"))
     rate = F.when(F.col("weight") > 0, F.lit(float(scale)) * F.col("weight") / F.col("all_weight") * F.col("all_mass") / F.col("mass")).otherwise(F.lit(0.0))
     # one row beside one row a source
-    return sums.join(F.broadcast(total), F.lit(True)).select("origin", rate.alias("rate")).where("rate > 0").withColumn("cdf", poisson_cdf(F.col("rate")))
+    return sums.join(F.broadcast(total), F.lit(True)).select("origin", rate.alias("rate")).where("rate > 0").select("origin", "rate", poisson_cdf(F.col("rate")).alias("p")).select("origin", "rate", "p.*")
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | DataFrame | None = None, scale: float = 1.0, seed: str = "mix", id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
@@ -60,7 +78,14 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | DataFrame | None = N
     key = F.coalesce(F.col(id_column).cast("string"), F.md5(F.coalesce(F.col(text_column).cast("string"), F.lit(""))))
     origin = F.coalesce(F.col(source_column).cast("string"), F.lit(_NONE))
     drawn = docs.withColumns({"_origin": origin, "_key": key, "_u": _uniform(seed, key)})
-    known = rates(docs, weights, scale, source_column, text_column).select(F.col("origin").alias("_origin"), F.col("cdf").alias("_cdf"))
-    times = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    copies = drawn.join(known, "_origin").withColumn("_times", times).where("_times > 0").select(*docs.columns, "_key", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy"))
+    known = cut(rates(docs, weights, scale, source_column, text_column).select(F.col("origin").alias("_origin"), F.col("first").alias("_first"), F.col("cdf").alias("_cdf")))
+    on = ["_origin"]
+    if (known.agg(F.sum(F.size("_cdf"))).first()[0] or 0) <= BROADCAST_ENTRIES:
+        known = F.broadcast(known)
+    else:
+        on = ["_origin", "_salt"]
+        drawn = drawn.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int"))
+        known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    below = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
+    copies = drawn.join(known, on).withColumn("_times", F.col("_first") + below).where("_times > 0").select(*docs.columns, "_key", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy"))
     return copies.withColumn("order_key", _uniform(f"{seed}-order", F.col("_key"), F.col("copy").cast("string"))).drop("_key").orderBy("order_key")

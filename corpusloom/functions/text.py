@@ -62,9 +62,14 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(as_column(text)), F.lit(WORD), F.lit(0))
 
 
+def strip(text: Column | str) -> Column:
+    """The text without outer white space of any kind."""
+    return F.regexp_replace(as_column(text), r"^\s+|\s+$", "")
+
+
 def content_hash(text: Column | str) -> Column:
     """SHA-256 of the text without outer white space."""
-    return F.sha2(F.trim(as_column(text)), 256)
+    return F.sha2(strip(text), 256)
 
 
 def line_count(text: Column | str) -> Column:
@@ -79,12 +84,12 @@ def split_lines(text: Column | str) -> Column:
 
 
 def has_content(text: Column | str) -> Column:
-    return F.trim(as_column(text)) != ""
+    return as_column(text).rlike(r"\S")
 
 
 def indexable_chunk(text: Column | str) -> Column:
     """Neither empty nor a short comment."""
-    t = F.trim(as_column(text))
+    t = strip(text)
     return (F.length(t) > 0) & ~((F.length(t) < 10) & t.startswith("#"))
 
 
@@ -134,7 +139,7 @@ def grounded(answer: Column, sources: Column, refusal: str) -> Column:
 
 def strip_fence(text: Column | str) -> Column:
     """What a fenced code block holds, or the text itself."""
-    t = F.trim(as_column(text))
+    t = strip(text)
     inner = F.regexp_extract(t, r"(?s)^```(?:json)?\s*(.*?)\s*```$", 1)
     return F.when(inner != "", inner).otherwise(t)
 

@@ -16,6 +16,7 @@ from .fixtures import CODE_CHUNKS_SQL, CODE_LINES_SQL, SHORT_LINES_SQL, code_chu
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+STRIPPED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
 
 
@@ -37,12 +38,12 @@ def tokenize_stats(spark, sf):
     return load(spark, sf, "documents").groupBy("lang").agg(F.sum(F.size(t.tokens("text"))).alias("n_tokens"), F.sum(t.line_count("text").cast("long")).alias("n_lines"), F.count("*").alias("n_docs"))
 
 
-@query("SELECT sha256(trim(text)) AS content_hash, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
+@query(f"SELECT sha256({STRIPPED}) AS content_hash, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
 def content_hash_dedup(spark, sf):
     return load(spark, sf, "documents").groupBy(t.content_hash("text").alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, substr(text, 1, 500) AS preview FROM documents WHERE length(trim(text)) > 0 AND NOT (length(trim(text)) < 10 AND starts_with(trim(text), '#'))")
+@query(f"SELECT doc_id, substr(text, 1, 500) AS preview FROM documents WHERE length({STRIPPED}) > 0 AND NOT (length({STRIPPED}) < 10 AND starts_with({STRIPPED}, '#'))")
 def chunk_filter(spark, sf):
     return load(spark, sf, "documents").where(t.indexable_chunk("text")).select("doc_id", F.substring("text", 1, 500).alias("preview"))
 
@@ -61,9 +62,6 @@ def language_map(spark, sf):
     return paths.select("path", t.language_of("path").alias("language"), t.ignored_path("path").alias("ignored"), t.is_dependency_file(t.file_name("path")).alias("manifest"))
 
 
-_HOST = r"[a-z0-9.-]+\.example\.(?:com|org|net)"
-
-
 @query("SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^https?://([^/]+)/', 1) AS host, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS owner, regexp_extract(url, '^https?://[^/]+/[a-z]+/([0-9]+)', 1) AS name FROM pages WHERE regexp_matches(url, '^https?://[^/]+/[a-z]+/[0-9]+')")
 def url_parse(spark, sf):
     u = F.col("url")

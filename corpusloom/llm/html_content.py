@@ -301,7 +301,7 @@ def training_pages(n: int = 600, seed: int = 11) -> list[str]:
             if chance() < 0.05:
                 body.append(pick((advert, sidebar, form))())
         if chance() < 0.08:  # no element of its own
-            return "".join(re.sub(r"^<(\w+)", r"<\1 data-content=1", x) for x in body)
+            return "".join(x if "data-content" in x.partition(">")[0] else re.sub(r"^<(\w+)", r"<\1 data-content=1", x) for x in body)
         inner = "".join(body) + (comments() if chance() < 0.1 else "")
         kind = chance()
         if kind < 0.55:

@@ -47,42 +47,49 @@ _P = 0x100000001B3
 _WORD_BYTE = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and its inverse modulo 2**64."""
+def _powers(n: int) -> np.ndarray:
+    """P**i modulo 2**64."""
     with np.errstate(over="ignore"):
-        up, down = np.full(n, _P, dtype=np.uint64), np.full(n, pow(_P, -1, 1 << 64), dtype=np.uint64)
-        up[0] = down[0] = 1
-        return np.cumprod(up), np.cumprod(down)
-
-
-_up, _down = _powers(1 << 16)
+        up = np.full(n, _P, dtype=np.uint64)
+        up[0] = 1
+        return np.cumprod(up)
 
 
 class Words:
     """The words of some texts: their distinct forms, and for each word its form and text."""
 
     def __init__(self, texts: list[str]):
-        global _up, _down
         raw = [t.lower().encode("utf-8", "replace") for t in texts]
         data = np.frombuffer(b"\0\0" + b"\n".join(raw) + b"\0\0\0\0", dtype=np.uint8)
         inside = _WORD_BYTE[data]
         inside[:2] = inside[-4:] = False
         edge = np.diff(inside.astype(np.int8))
         start, end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
-        if len(data) >= len(_up):
-            _up, _down = _powers(2 * len(data))
         with np.errstate(over="ignore"):
-            total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _up[: len(data)])])
-            hashes = (total[end] - total[start]) * _down[start]
+            up = _powers(int((end - start).max(initial=0)) + 1)
+            place = np.zeros(len(data), dtype=np.int32)
+            place[start] = start
+            np.maximum.accumulate(place, out=place)
+            np.subtract(np.arange(len(data), dtype=np.int32), place, out=place)
+            np.minimum(place, len(up) - 1, out=place)
+            term = data.astype(np.uint64)
+            term += np.uint64(1)
+            term *= up[place]
+            del place
+            # every second sum is what lies between two words
+            hashes = np.add.reduceat(term, np.stack([start, end], axis=1).ravel())[::2] if len(start) else np.zeros(0, dtype=np.uint64)
+            del term
         self.hashes, first, self.form = np.unique(hashes, return_index=True, return_inverse=True)
         sizes = np.array([len(r) + 1 for r in raw])
         begins = 2 + np.cumsum(sizes) - sizes
         self.text = np.searchsorted(begins, start, side="right") - 1
         self.counts = np.bincount(self.text, minlength=len(texts))
         # the four-byte pieces of each distinct form, with one separator on either side
-        plain = np.where(inside, data, np.uint8(0)).astype(np.uint32)
-        gram = plain[:-3] | (plain[1:-2] << 8) | (plain[2:-1] << 16) | (plain[3:] << 24)
-        bucket = (gram * np.uint32(2654435761)) >> np.uint32(32 - CHAR_BITS)
+        bucket = np.where(inside, data, np.uint8(0)).astype(np.uint32)
+        for step in (1, 2):  # two doublings join four bytes
+            bucket = bucket[:-step] | (bucket[step:] << np.uint32(8 * step))
+        bucket *= np.uint32(2654435761)
+        bucket >>= np.uint32(32 - CHAR_BITS)
         n = np.maximum(end[first] - start[first] - 1, 1)
         at = np.cumsum(n) - n
         self.piece_at, self.piece_n = at, n

@@ -39,24 +39,26 @@ _OFFSETS = tuple(sum(WIDTHS[:i]) for i in range(5))
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def simhash64(text: str | None, words: int) -> int:
-    """Bit i is set if it is set in over half of the shingles' XXH64 values (seed 42)."""
+def simhash(text: str | None, words: int, lanes: int = 1) -> list[int]:
+    """Signed 64-bit lanes; bit i of the first is set if it is set in over half of the
+    shingles' XXH64 values (seed 42), further lanes take hashes of those values."""
     found = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
     if not found:
-        return 0
+        return [0] * lanes
     n = max(1, len(found) - words + 1)
     joined, hash64 = b" ".join, xxhash.xxh64_intdigest
-    total = np.zeros(64, dtype=np.int64)
+    total = np.zeros((lanes, 64), dtype=np.int64)
     for first in range(0, n, 1 << 18):
         h = np.array([hash64(joined(found[i : i + words]), 42) for i in range(first, min(n, first + (1 << 18)))], dtype="<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little", signed=True)
+        for lane in range(lanes):
+            total[lane] += np.unpackbits(_rehash(h, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.ascontiguousarray(np.packbits(2 * total > n, axis=1, bitorder="little")).view("<i8").ravel().tolist()
 
 
 def _fingerprint_map(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [simhash64(t.as_py(), words) for t in batch.column(1)]
+            prints = [simhash(t.as_py(), words)[0] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "print"])
 
     return run
@@ -137,12 +139,122 @@ def near_duplicates(docs: DataFrame, words: int = 4, id_column: str = "doc_id",
     return prints.join(found, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# --------------------------------------------------------------------- deduplication
+#: Lanes of 64 bits in a wide fingerprint, and the bits in which near copies may differ:
+#: what shingle sets of Jaccard likeness 0.8 are expected to differ in, 256 acos(8 / 9) / pi,
+#: give or take 6.
+LANES, WIDE_BITS = 4, 39
+#: Orders in which wide fingerprints are sorted, and neighbours each is compared with.
+ORDERS, NEIGHBOURS = 32, 32
+
+_WIDE = ["p0", "p1", "p2", "p3"]
+_GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _rehash(h: np.ndarray, lane: int) -> np.ndarray:
+    """Further hashes of a shingle from its first; lane 0 is the hash itself."""
+    if not lane:
+        return h
+    with np.errstate(over="ignore"):
+        x = h + _GOLDEN * np.uint64(lane)
+        x = (x ^ (x >> np.uint64(30))) * _M1
+        x = (x ^ (x >> np.uint64(27))) * _M2
+        return x ^ (x >> np.uint64(31))
+
+
+def _wide_map(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [simhash(t.as_py(), words, LANES) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([p[i] for p in prints], pa.int64()) for i in range(LANES)]], names=["id", *_WIDE])
+
+    return run
+
+
+def _order_map():
+    """Each fingerprint once for every order: its first 64 bits there, to sort by."""
+    turns = [np.random.default_rng(t).permutation(64 * LANES)[:64] for t in range(ORDERS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(LANES)], axis=1).astype("<i8")
+            bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")
+            for t, turn in enumerate(turns):
+                keys = np.ascontiguousarray(np.packbits(bits[:, turn], axis=1)).view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, dtype=np.int32)), pa.array(keys.astype(np.int64)), *batch.columns], names=["turn", "key", "id", *_WIDE])
+
+    return run
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node of its component): as few as join the same nodes."""
+    nodes, local = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = local[: len(a)], local[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            on = label != np.arange(len(nodes))
+            return nodes[on], nodes[label[on]]
+        label = new
+
+
+def _neighbour_map():
+    """Rows sorted by (turn, key): links between near neighbours, as a forest a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            turn, ids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            prints = np.stack([batch.column(3 + i).to_numpy() for i in range(LANES)], axis=1).view(np.uint64)
+            if held is not None:
+                turn, ids, prints = (np.concatenate(p) for p in zip(held, (turn, ids, prints)))
+            pairs = []
+            for lag in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
+                apart = np.bitwise_count(prints[lag:] ^ prints[:-lag]).sum(axis=1)
+                on = np.flatnonzero((apart <= WIDE_BITS) & (turn[lag:] == turn[:-lag]))
+                pairs.append((ids[on], ids[on + lag]))
+            held = turn[-NEIGHBOURS:], ids[-NEIGHBOURS:], prints[-NEIGHBOURS:]
+            a, b = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, dtype=np.int64) for i in (0, 1))
+            if len(a):
+                a, b = _forest(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def wide_links(classes: DataFrame) -> DataFrame:
+    """(a, b): edges that join the near copies among rows (id, p0, p1, p2, p3).
+
+    Fingerprints are sorted in ``ORDERS`` fixed orders of their bits and compared with their
+    next ``NEIGHBOURS``; near copies share a long prefix in some order. The work is linear
+    in the rows and dealt by ranges, so a large group of copies neither makes pairs of all
+    its members nor meets in one task.
+    """
+    rows = classes.mapInArrow(_order_map(), "turn int, key long, id long, p0 long, p1 long, p2 long, p3 long")
+    return rows.repartitionByRange("turn", "key").sortWithinPartitions("turn", "key").mapInArrow(_neighbour_map(), "a long, b long")
+
+
 def deduplicate(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The row of the smallest id of every group of near copies, and one of repeated rows.
 
+    Two rows are near copies if their wide fingerprints differ in at most ``WIDE_BITS``
+    bits, or the first 64 bits, found by pigeonring filtering, in at most ``MAX_BITS``.
     Rows without an id are told apart by their texts and follow all rows with one.
     """
     marked = docs.withColumn("_id", F.coalesce(F.col(id_column).cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(text_column), F.lit(1 << 61))))
-    groups = near_duplicates(marked, words, "_id", text_column)
-    kept = groups.select(F.col("component_id").alias("_id")).distinct()
+    source = spread(marked.select("_id", F.col(text_column).cast("string").alias("text")))
+    prints = source.mapInArrow(_wide_map(words), "id long, p0 long, p1 long, p2 long, p3 long")
+    classes = cut(prints.groupBy(*_WIDE).agg(F.min("id").alias("id")).select("id", *_WIDE))
+    firsts = cut(classes.groupBy("p0").agg(F.min("id").alias("first")))
+    same = classes.join(firsts, "p0").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    x, y = firsts.select(F.col("p0").alias("x"), F.col("first").alias("a")), firsts.select(F.col("p0").alias("y"), F.col("first").alias("b"))
+    near = links(firsts.select(F.col("p0").alias("print"))).join(x, "x").join(y, "y").select("a", "b")
+    groups = connected_components(same.union(near).union(wide_links(classes)))
+    copies = groups.where("node <> component").select(F.col("node").alias("id"))
+    kept = classes.join(copies, "id", "left_anti").select(F.col("id").alias("_id"))
     return marked.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)

@@ -164,3 +164,37 @@ def test_graph_recall():
         graph.add(v)
     hits = sum(int((x @ x[i]).argsort()[-2]) in {j for _, j in graph.search(x[i], 64)} for i in range(0, 1500, 15))
     assert hits >= 90
+
+
+def test_deduplicate_joins_near_copies_and_leaves_the_rest(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.randint(150, 400))] for _ in range(120)]
+    rows, near = [], set()
+    for i, words in enumerate(base):
+        rows.append((i * 10, " ".join(words)))
+        for j in range(1, i % 5):
+            copy = list(words)
+            copy[rng.randrange(len(copy))] = "new"
+            rows.append((i * 10 + j, " ".join(copy)))
+            near.add(i * 10 + j)
+    # half of another text is no near copy
+    rows += [(5000 + i, " ".join(base[i][: len(base[i]) // 2] + [rng.choice(vocabulary) for _ in range(len(base[i]) // 2)])) for i in range(40)]
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {k for k, _ in rows} - near
+
+
+def test_wide_links_lose_no_crowd(spark):
+    """A crowd of thousands of near copies, dealt over many partitions, is one component."""
+    rng = np.random.default_rng(8)
+    center = rng.integers(-(2**63), 2**63 - 1, 4)
+    prints = []
+    for _ in range(3000):
+        bits = np.zeros(256, dtype=np.uint8)
+        bits[rng.choice(256, 12, replace=False)] = 1
+        prints.append(center ^ np.packbits(bits).view("<i8"))
+    rows = [(i, *map(int, p)) for i, p in enumerate(prints)] + [(9000 + i, *map(int, rng.integers(-(2**63), 2**63 - 1, 4))) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, p0 long, p1 long, p2 long, p3 long").repartition(16)
+    edges = simhash.wide_links(df)
+    groups = {r.node: r.component for r in components.connected_components(edges).collect()}
+    assert groups == {i: 0 for i in range(3000)} and edges.count() < 64 * len(rows)

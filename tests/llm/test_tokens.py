@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -21,9 +22,15 @@ def docs(spark, rows=ROWS):
     return spark.createDataFrame([(a, b, "x") for a, b in rows], "doc_id long, text string, ids string")
 
 
-def ids_of(path, text):
+@lru_cache
+def library(path):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
+    return t
+
+
+def ids_of(path, text):
+    t = library(path)
     return [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -152,12 +159,12 @@ def test_costs_are_balanced():
 
 def test_token_counts(spark):
     vocabulary = token_counts.zipf_vocabulary(PIECE)
-    library = Tokenizer(models.Unigram([("<unk>", -60.0)] + vocabulary + [(f"<0x{i:02X}>", -90.0) for i in range(256)], unk_id=0, byte_fallback=True))
+    unigram = Tokenizer(models.Unigram([("<unk>", -60.0)] + vocabulary + [(f"<0x{i:02X}>", -90.0) for i in range(256)], unk_id=0, byte_fallback=True))
     rows = token_counts.count_tokens(docs(spark), PIECE).collect()
     got = {r.doc_id: (r.n_words, r.n_tokens) for r in rows}
     for key, text in ROWS:
         words = [token_counts.SPACE + w for w in (text or "").split()]
-        assert got[key] == (len(words), sum(len(library.encode(w).ids) for w in words))
+        assert got[key] == (len(words), sum(len(unigram.encode(w).ids) for w in words))
     counter = token_counts.UnigramCounter(vocabulary)
     words = sorted({token_counts.SPACE + w for _, t in ROWS for w in (t or "").split()} | {"▁" + "xyz" * 9, "▁日本"})
     assert counter.trie(words) == [counter.one(w) for w in words]

@@ -239,9 +239,7 @@ def link(a: Shard, b: Shard, cosine: float) -> tuple[np.ndarray, np.ndarray, lis
                 into_a[m] += b.counts[k].sum()
                 into_b[k] += a.counts[m].sum()
                 forest.join(int(a.ids[m[0]]), int(b.ids[k[0]]))
-                if a is not b:  # each shard's own task ties the ball together
-                    continue
-                continue
+                continue  # each shard with itself has tied its balls together
             for first in range(0, len(m), 512):
                 part = m[first : first + 512]
                 on = a.unit[part] @ b.unit[k].T >= cosine

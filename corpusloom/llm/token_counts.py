@@ -89,7 +89,7 @@ class UnigramCounter:
 
     def trie(self, words: list[str]) -> list[int]:
         """Tokens of many words, shared prefixes computed once."""
-        words, at = sorted(words), None
+        words = sorted(words)
         n = np.array([len(w) for w in words], dtype=np.int64)
         width = int(n.max())
         flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")

@@ -89,9 +89,8 @@ def _name_parts(value: Column) -> Column:
     return F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, "surname").otherwise(F.concat(F.lit("given-"), _gender(value))).alias("kind"), w.alias("norm")))
 
 
-def _entities(value: Column) -> Column:
+def _entities(value: Column, kind: Column) -> Column:
     """What of one match needs a surrogate: (kind, normalised form)."""
-    kind = _kind(value)
     one = lambda norm: F.array(F.struct(kind.alias("kind"), norm.alias("norm")))
     none = F.array().cast("array<struct<kind:string,norm:string>>")
     return F.when(kind == "none", none).when(kind == "name", _name_parts(value)).when(kind == "email", F.array(F.struct(kind.alias("kind"), F.lower(value).alias("norm")), F.struct(F.lit("domain").alias("kind"), F.lower(F.substring_index(value, "@", -1)).alias("norm")))).when(kind.isin("phone", "card", "ssn"), one(_digits(value))).when(kind == "secret", one(F.regexp_replace(value, f"^(?i:{_ASSIGNED})", ""))).when(kind == "iban", one(F.regexp_replace(value, " ", ""))).otherwise(one(value))
@@ -202,7 +201,7 @@ def _spaced(value: Column, text: Column) -> Column:
 
 def _rendered() -> Column:
     """A match in its own format; ``parts`` are the surrogates of its entities in order."""
-    value, kind, first, last = F.col("value"), _kind(F.col("value")), F.col("parts")[0], F.element_at("parts", -1)
+    value, kind, first, last = F.col("value"), F.col("match"), F.col("parts")[0], F.element_at("parts", -1)
     email = F.concat(first, F.lit("@"), last)
     titled = F.regexp_extract(value, rf"^((?:{'|'.join(TITLES_MALE + TITLES_FEMALE + TITLES_OTHER)})\.? )", 1)
     return (
@@ -224,10 +223,10 @@ def replace(docs: DataFrame, key: str = "corpus", text_column: str = "text") ->
     dirty = marked.where(F.size("_found") > 0).withColumn("_tid", F.md5(text))
 
     texts = cut(dirty.groupBy("_tid").agg(F.first("_found").alias("_found")))
-    values = cut(texts.select(F.explode("_found").alias("value")).distinct().withColumn("entities", _entities(F.col("value"))).where(F.size("entities") > 0))
-    parts = values.select("value", F.posexplode("entities").alias("at", "e")).select("value", "at", "e.kind", "e.norm")
+    values = cut(texts.select(F.explode("_found").alias("value")).distinct().withColumn("match", _kind(F.col("value"))).where("match <> 'none'"))
+    parts = cut(values.select("value", "match", F.posexplode(_entities(F.col("value"), F.col("match"))).alias("at", "e")).select("value", "match", "at", "e.kind", "e.norm"))
     known = assign(parts, key)
-    rendered = parts.join(known, ["kind", "norm"]).groupBy("value").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "surrogate"))), lambda x: x["surrogate"]).alias("parts")).select("value", _rendered().alias("now"))
+    rendered = parts.join(known, ["kind", "norm"]).groupBy("value", "match").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "surrogate"))), lambda x: x["surrogate"]).alias("parts")).select("value", _rendered().alias("now"))
     surnames = parts.where("kind = 'surname'").join(known, ["kind", "norm"]).groupBy("value").agg(F.first("norm").alias("was"), F.first("surrogate").alias("is"))
     rendered = cut(rendered.join(surnames, "value", "left"))
 

@@ -104,6 +104,7 @@ def _pack_map(path: str, spaced: bool, end_id: int, capacity: int, with_ids: boo
                         keys, held, tokens = [], [], 0
         if held:
             yield packed()
+        enc.settle()
 
     return run
 

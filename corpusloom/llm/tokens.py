@@ -16,15 +16,19 @@ import re
 import numpy as np
 
 #: Words remembered by one Python worker before the memory is emptied.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 800_000
 #: Words joined into one text for the library.
 JOINED_WORDS = 1000
+#: Characters of simple texts that are cut and looked up together.
+STEP_CHARS = 1_500_000
 
 # without U+0130, which becomes two characters in lower case
 _LATIN = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u012f\\u0131-\\u024f"
 _OTHER = re.compile(f"[^ \\n!-&(-~{_LATIN}]")
-_SPACED_PARTS = re.compile(f" ?[{_LATIN}]+| ?[0-9]+| ?[^ \\n{_LATIN}0-9]+|\\n")
-_PLAIN_PARTS = re.compile(f"[{_LATIN}]+|[0-9]|[^ \\n{_LATIN}0-9]+")
+# kinds of bytes in a simple text; a byte over 127 is part of a letter
+_SPACE, _LINE, _LETTER, _DIGIT, _SIGN = range(5)
+_KIND = np.array([_SPACE if i == 32 else _LINE if i == 10 else _DIGIT if 48 <= i <= 57 else _LETTER if i > 127 or chr(i).isalpha() else _SIGN for i in range(256)], dtype=np.int8)
+_P = np.uint64(0x9E3779B97F4A7C15)
 _UNSURE = r"\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
 #: White space beside a space or at either end: such texts are not cut.
 _AFTER, _BEFORE, _ENDS = (re.compile(p) for p in (f" [{_UNSURE}]", f" (?<=[{_UNSURE}] )", f"^[{_UNSURE}]|[{_UNSURE}]\\Z"))
@@ -59,17 +63,25 @@ class WordEncoder:
         #: Tokens that begin (spaced) or end (otherwise) a word of a joined text.
         self.edge = np.array([x.startswith("Ġ") if spaced else x.endswith("</w>") for x in names])
         self.line = names.index("Ċ") if spaced else None
-        self.memo: dict[str, bytes] = {}
+        #: Ids by a word's 64-bit hash.
+        self.memo: dict[int, bytes] = {}
+        self.recent: list[int] = []
+
+    def settle(self) -> None:
+        """At the end of a task: keep the words of the last texts, among them all frequent
+        ones, and free the rest, as the worker may go on to other work."""
+        self.memo = {k: self.memo[k] for k in self.recent if k in self.memo}
+        self.recent = []
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _separately(self, words: list[str]) -> None:
-        for word, ids in zip(words, self._library(words)):
-            self.memo[word] = np.array(ids, dtype=self.dtype).tobytes()
+    def _separately(self, words: list[str]) -> list[bytes]:
+        return [np.array(ids, dtype=self.dtype).tobytes() for ids in self._library(words)]
 
-    def _together(self, words: list[str], between: str) -> None:
+    def _together(self, words: list[str], between: str) -> list[bytes]:
         """Encode words in one text, and cut its ids again where a word begins or ends."""
+        out: list[bytes] = []
         for i in range(0, len(words), JOINED_WORDS):
             part = words[i : i + JOINED_WORDS]
             ids = np.array(self._library([between.join(part)])[0], dtype=self.dtype)
@@ -83,47 +95,101 @@ class WordEncoder:
                 ends = np.flatnonzero(self.edge[ids]) + 1
                 starts = np.append(0, ends[:-1])
             if len(starts) != len(part) or len(ends) != len(part):
-                self._separately(part)
+                out += self._separately(part)
                 continue
             flat, width = ids.tobytes(), self.dtype.itemsize
-            self.memo.update((w, flat[a:b]) for w, a, b in zip(part, (starts * width).tolist(), (ends * width).tolist()))
+            out += map(flat.__getitem__, map(slice, (starts * width).tolist(), (ends * width).tolist()))
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, each one piece for the tokenizer."""
+        if not self.spaced:
+            return self._together(words, " ")
+        out: list[bytes] = [b""] * len(words)
+        kinds: tuple[list[int], ...] = ([], [], [])
+        for i, w in enumerate(words):
+            kinds[0 if w[0] == " " else 1 if w != "\n" else 2].append(i)
+        for at, encoded in ((kinds[0], "" if kinds[0] else None), (kinds[1], "\n" if kinds[1] else None)):
+            if encoded is not None:
+                for i, ids in zip(at, self._together([words[i] for i in at], encoded)):
+                    out[i] = ids
+        for i, ids in zip(kinds[2], self._separately([words[i] for i in kinds[2]])):
+            out[i] = ids
+        return out
 
-    def _learn(self, texts: list[list[str]], whole_words: bool) -> None:
+    def _simple(self, texts: list[str]) -> list[bytes]:
+        """Ids of simple texts: pieces are cut, hashed and looked up all together."""
+        raw = [t.encode() for t in texts]
+        sizes = np.array([len(r) + 1 for r in raw], dtype=np.int64)
+        data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
+        kind = _KIND[data]
+        new = np.empty(len(data), dtype=bool)
+        new[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=new[1:])
+        if self.spaced:
+            new[1:] &= kind[:-1] != _SPACE  # a space belongs to what follows it
+        else:
+            new |= kind == _DIGIT
+        begins = np.cumsum(sizes) - sizes
+        new[begins] = True
+        new[begins + sizes - 1] = True  # the line end after each text
+        at = np.flatnonzero(new)
+        end = np.append(at[1:], len(data))
+        with np.errstate(over="ignore"):
+            length = end - at
+            power = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(int(length.max()), _P, dtype=np.uint64)]))
+            term = data.astype(np.uint64)
+            term += np.uint64(1)
+            term *= power[np.arange(len(data)) - np.repeat(at, length)]
+            hashes = np.add.reduceat(term, at) ^ (length.astype(np.uint64) << np.uint64(48))
+        keep = np.ones(len(at), dtype=bool)
+        if not self.spaced:
+            keep = (kind[at] != _SPACE) & (kind[at] != _LINE)
+        keep[np.searchsorted(at, begins + sizes - 1)] = False
+        at, end, hashes = at[keep], end[keep], hashes[keep]
+        forms, first, form = np.unique(hashes, return_index=True, return_inverse=True)
+        keys = forms.tolist()
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        new = [w for w in set().union(*texts) if w not in self.memo]
-        if not self.spaced:
-            self._separately(new) if whole_words else self._together(new, " ")
-            return
-        self._together([w for w in new if w[0] == " "], "")
-        rest = [w for w in new if w[0] != " "]
-        self._separately([w for w in rest if "\n" in w])
-        self._together([w for w in rest if "\n" not in w], "\n")
+        if lost := [i for i, k in enumerate(keys) if k not in self.memo]:
+            a, b, whole = at[first[lost]].tolist(), end[first[lost]].tolist(), data.tobytes()
+            self.memo.update(zip((keys[i] for i in lost), self._words([whole[x:y].decode() for x, y in zip(a, b)])))
+        self.recent = keys
+        found = list(map(self.memo.__getitem__, keys))
+        width = self.dtype.itemsize
+        n = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // width
+        flat = np.frombuffer(b"".join(found), dtype=self.dtype)
+        start, n_piece = (np.cumsum(n) - n)[form], n[form]
+        upto = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(n_piece)])
+        ids = flat[np.repeat(start - upto[:-1], n_piece) + np.arange(int(upto[-1]))].tobytes()
+        cuts = (upto[np.searchsorted(at, np.append(begins, len(data)))] * width).tolist()
+        return [ids[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        find = (_SPACED_PARTS if self.spaced else _PLAIN_PARTS).findall
-        for first in range(0, len(texts), 256):
-            parts, words, whole = {}, {}, []
-            for i in range(first, min(first + 256, len(texts))):
-                if not (text := texts[i]):
-                    continue
-                if simple(text):
-                    parts[i] = find(text)
-                elif regular(text):
-                    cut = text.split(" ")
-                    words[i] = [cut[0], *(" " + w for w in cut[1:])] if self.spaced else cut
-                else:
-                    whole.append(i)
-            for cuts, of_words in ((parts, False), (words, True)):
-                if cuts:
-                    self._learn(list(cuts.values()), of_words)
-                    get = self.memo.__getitem__
-                    for i, cut in cuts.items():
-                        out[i] = b"".join(map(get, cut))
-            if whole:
-                for i, ids in zip(whole, self._library([texts[i] for i in whole])):
-                    out[i] = np.array(ids, dtype=self.dtype).tobytes()
+        plain, chars = [], 0
+
+        def flush() -> None:
+            nonlocal plain, chars
+            if plain:
+                for i, ids in zip(plain, self._simple([texts[i] for i in plain])):
+                    out[i] = ids
+            plain, chars = [], 0
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if simple(text):
+                plain.append(i)
+                chars += len(text)
+                if chars >= STEP_CHARS:
+                    flush()
+            elif self.spaced and regular(text):
+                words = text.split(" ")
+                out[i] = b"".join([*self._separately(words[:1]), *self._together([" " + w for w in words[1:]], "")])
+            else:
+                out[i] = self._separately([text])[0]
+        flush()
         return out
 
 

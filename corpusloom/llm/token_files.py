@@ -4,9 +4,9 @@
 code of at most ``MAX_BITS`` bits a token, and writes three Parquet folders:
 
 * ``code``   (token, bits): code lengths; the canonical code follows from them;
-* ``blocks`` (part, block, doc_ids, lengths, payload, offsets): consecutive documents in
-  ascending doc_id order, coded as one bit stream, with the bit length of every
-  ``STEP`` tokens so that any stretch can be decoded alone;
+* ``blocks`` (part, block, start, doc_ids, lengths, stream, offsets): consecutive documents
+  in ascending doc_id order, coded as one bit stream, with the ids before it in its part
+  and the bit length of every ``STEP`` tokens, so that any stretch can be decoded alone;
 * ``index``  (part, first): how many ids the parts before this one hold.
 
 ``read_token_files`` decodes them again. Documents with the same doc_id stay separate
@@ -33,8 +33,6 @@ MAX_BITS = 18
 STEP = 256
 #: Tokens a block gathers before it is closed; a longer document is a block of its own.
 BLOCK_TOKENS = 1 << 18
-#: Documents whose counts shape the code of the intermediate table only.
-DRAFT_DOCS = 400
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -83,20 +81,33 @@ class Codec:
         filled = np.repeat((order.astype(np.uint32) << 5) | bits.astype(np.uint32), room)
         self.table[: len(filled)] = filled
 
-    def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
-        """The bit stream, most significant bit first, and the bits of every STEP tokens."""
+    def encode(self, texts: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+        """For each text its bit stream, most significant bit first, from a whole byte on,
+        and the bits of every STEP tokens."""
+        n = np.array([len(t) for t in texts], dtype=np.int64)
+        ids = np.concatenate(texts) if len(texts) else np.zeros(0, dtype=np.int64)
+        if not len(ids):
+            return [(b"", b"")] * len(texts)
         size = self.lengths[ids].astype(np.int64)
-        end = np.cumsum(size)
-        total = int(end[-1]) if len(ids) else 0
-        at = end - size
+        upto = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(size)])
+        last = np.cumsum(n)
+        first = last - n
+        bits = upto[last] - upto[first]
+        room = -(-bits // 8)
+        begin = np.cumsum(room) - room
+        at = upto[:-1] + np.repeat(begin * 8 - upto[first], n)
         word, shift = at >> 5, (64 - (at & 31) - size).astype(np.uint64)
         placed = self.codes[ids] << shift
-        n = (total >> 5) + 2
-        high = np.bincount(word, weights=(placed >> np.uint64(32)).astype(np.float64), minlength=n)
-        low = np.bincount(word + 1, weights=(placed & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=n)
-        stream = (high + low).astype(np.uint32).astype(">u4").tobytes()[: (total + 7) // 8]
-        marks = np.append(end[STEP - 1 :: STEP], total) if len(ids) % STEP else end[STEP - 1 :: STEP]
-        return stream, np.diff(marks, prepend=0).astype("<u2").tobytes()
+        words = (int(begin[-1] + room[-1]) >> 2) + 2
+        high = np.bincount(word, weights=(placed >> np.uint64(32)).astype(np.float64), minlength=words)
+        low = np.bincount(word + 1, weights=(placed & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=words)
+        stream = (high + low).astype(np.uint32).astype(">u4").tobytes()
+        marks = -(-n // STEP)
+        k = np.arange(int(marks.sum())) - np.repeat(np.cumsum(marks) - marks, marks)
+        start = np.repeat(first, marks) + k * STEP
+        gaps = (upto[np.minimum(start + STEP, np.repeat(last, marks))] - upto[start]).astype("<u2").tobytes()
+        to = 2 * np.cumsum(marks)
+        return [(stream[a : a + c], gaps[d - 2 * m : d]) for a, c, d, m in zip(begin.tolist(), room.tolist(), to.tolist(), marks.tolist())]
 
     def decode(self, parts: list[tuple[bytes, bytes, int]]) -> np.ndarray:
         """Ids of several streams (stream, offsets, tokens), one after another."""
@@ -113,77 +124,67 @@ class Codec:
             byte += len(stream) + 8
         pos, left = np.concatenate(at), np.concatenate(counts)
         order = np.argsort(-left, kind="stable")
-        first = np.cumsum(left) - left
-        pos, left, base = pos[order], left[order], first[order]
-        out = np.empty(int(left.sum()), dtype=np.uint32)
-        alive = np.searchsorted(-left, -np.arange(1, STEP + 1), side="right")
-        mask = np.int64((1 << MAX_BITS) - 1)
-        for step in range(int(left[0])):
+        p, size = pos[order], left[order]
+        wide = data.astype(np.uint32)
+        windows = (wide[:-3] << 24) | (wide[1:-2] << 16) | (wide[2:-1] << 8) | wide[3:]
+        alive = np.searchsorted(-size, -np.arange(1, STEP + 1), side="right")
+        found = np.zeros((int(size[0]), len(p)), dtype=np.uint32)
+        mask, spare = np.int64((1 << MAX_BITS) - 1), 32 - MAX_BITS
+        for step, row in enumerate(found):
             k = int(alive[step])
-            p = pos[:k]
-            b = p >> 3
-            window = (data[b].astype(np.int64) << 24) | (data[b + 1].astype(np.int64) << 16) | (data[b + 2].astype(np.int64) << 8) | data[b + 3]
-            hit = self.table[(window >> (32 - MAX_BITS - (p & 7))) & mask]
-            out[base[:k] + step] = hit >> 5
-            p += hit & 31
-        return out
+            now = p[:k]
+            hit = self.table[(windows[now >> 3] >> (spare - (now & 7))) & mask]
+            row[:k] = hit >> 5
+            now += hit & 31
+        lanes = np.empty((len(p), len(found)), dtype=np.uint32)
+        lanes[order] = found.T
+        return lanes[np.arange(len(found)) < left[:, None]]
 
 
-_STAGE = "doc_id long, n_tokens int, stream binary, offsets binary, tokens array<int>, counts array<long>"
-_BLOCKS = "part int, block int, doc_ids array<long>, lengths array<int>, stream binary, offsets binary"
+_STAGE = "doc_id long, n_tokens int, ids binary, tokens array<int>, counts array<long>"
+_BLOCKS = "part int, block int, start long, doc_ids array<long>, lengths array<int>, stream binary, offsets binary"
 _DOCS = "part int, doc_id long, part_start long, n_tokens long, ids_crc32 long"
 
 
-def _encode_map(path: str, spaced: bool, end_id: int, vocabulary: int, lengths: bytes):
-    """Rows of coded documents, and one last row with the ids a task has counted."""
+def _encode_map(path: str, spaced: bool, end_id: int, vocabulary: int):
+    """Rows of encoded documents, and one last row with the ids a task has counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, codec = encoder(path, spaced), Codec(np.frombuffer(lengths, dtype=np.uint8))
+        enc = encoder(path, spaced)
         seen = np.zeros(vocabulary, dtype=np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("stream", pa.binary()), ("offsets", pa.binary()), ("tokens", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("tokens", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         for batch in batches:
             keys = batch.column(0)
             for i in range(0, batch.num_rows, 512):
-                ids = [np.frombuffer(x + end, dtype=enc.dtype) for x in enc.encode(batch.column(1).slice(i, 512).to_pylist())]
-                seen += np.bincount(np.concatenate(ids), minlength=vocabulary)
-                coded = [codec.encode(x) for x in ids]
+                ids = [x + end for x in enc.encode(batch.column(1).slice(i, 512).to_pylist())]
+                seen += np.bincount(np.frombuffer(b"".join(ids), dtype=enc.dtype), minlength=vocabulary)
                 n = len(ids)
-                yield pa.RecordBatch.from_arrays([keys.slice(i, 512), pa.array([len(x) for x in ids], pa.int32()), pa.array([x[0] for x in coded], pa.binary()), pa.array([x[1] for x in coded], pa.binary()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([keys.slice(i, 512), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int32()), pa.array(ids, pa.binary()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64()))], schema=schema)
         used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([used.tolist()], pa.list_(pa.int32())), pa.array([seen[used].tolist()], pa.list_(pa.int64()))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([used.tolist()], pa.list_(pa.int32())), pa.array([seen[used].tolist()], pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
-def _count_map(path: str, spaced: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, spaced)
-        for batch in batches:
-            for ids in enc.encode(batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, dtype=enc.dtype).astype(np.int32))], names=["token"])
-
-    return run
-
-
-def _block_map(draft: bytes, final: bytes):
-    """Sorted documents of a part, recoded from the draft code into blocks of the final one."""
+def _block_map(code: bytes, width: str):
+    """Sorted documents of a part, coded in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old, new = Codec(np.frombuffer(draft, dtype=np.uint8)), Codec(np.frombuffer(final, dtype=np.uint8))
-        part, block, held, tokens = TaskContext.get().partitionId(), 0, [], 0
+        codec = Codec(np.frombuffer(code, dtype=np.uint8))
+        part, block, held, tokens, start = TaskContext.get().partitionId(), 0, [], 0, 0
 
         def closed() -> pa.RecordBatch:
-            stream, marks = new.encode(old.decode([(s, m, n) for _, n, s, m in held]))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([[k for k, *_ in held]], pa.list_(pa.int64())), pa.array([[n for _, n, *_ in held]], pa.list_(pa.int32())), pa.array([stream], pa.binary()), pa.array([marks], pa.binary())], names=["part", "block", "doc_ids", "lengths", "stream", "offsets"])
+            [(stream, marks)] = codec.encode([np.frombuffer(b"".join(ids for _, _, ids in held), dtype=width)])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([[k for k, _, _ in held]], pa.list_(pa.int64())), pa.array([[n for _, n, _ in held]], pa.list_(pa.int32())), pa.array([stream], pa.binary()), pa.array([marks], pa.binary())], names=["part", "block", "start", "doc_ids", "lengths", "stream", "offsets"])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 held.append(row)
                 tokens += row[1]
                 if tokens >= BLOCK_TOKENS:
                     yield closed()
-                    block, held, tokens = block + 1, [], 0
+                    block, start, held, tokens = block + 1, start + tokens, [], 0
         if held:
             yield closed()
 
@@ -197,22 +198,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, spaced: boo
     spark = docs.sparkSession
     vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    sample = source.limit(DRAFT_DOCS).mapInArrow(_count_map(tokenizer, spaced), "token int").groupBy("token").count()
-    guess = np.ones(vocabulary, dtype=np.int64)
-    for token, n in sample.collect():  # one row an id of the vocabulary at most
-        guess[token] += 64 * n
-    draft = code_lengths(guess).tobytes()
-    coded = staged(spread(source).mapInArrow(_encode_map(tokenizer, spaced, end_id, vocabulary, draft), _STAGE), "tokens")
+    coded = staged(spread(source).mapInArrow(_encode_map(tokenizer, spaced, end_id, vocabulary), _STAGE), "tokens")
 
     counts = np.zeros(vocabulary, dtype=np.int64)
     for token, n in coded.where("tokens is not null").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy("x.tokens").agg(F.sum("x.counts")).collect():
-        counts[token] = n  # again one row an id
+        counts[token] = n  # one row an id of the vocabulary at most
     final = code_lengths(counts)
     spark.createDataFrame([(int(t), int(final[t])) for t in np.flatnonzero(final)], "token int, bits int").coalesce(1).write.parquet(f"{path}/code")
 
-    rows = coded.where("n_tokens is not null").select("doc_id", "n_tokens", "stream", "offsets")
-    parts = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "stream")
-    parts.mapInArrow(_block_map(draft, final.tobytes()), _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    rows = coded.where("n_tokens is not null").select("doc_id", "n_tokens", "ids")
+    parts = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
+    width = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    parts.mapInArrow(_block_map(final.tobytes(), width), _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     _index(spark, path).write.parquet(f"{path}/index")
 
 
@@ -254,13 +251,7 @@ def _opened(spark: SparkSession, path: str) -> tuple[bytes, DataFrame]:
     lengths = np.zeros(max((t for t, _ in code), default=0) + 1, dtype=np.uint8)
     for token, bits in code:
         lengths[token] = bits
-    blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
-    size = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
-    # a part holds few blocks; only their sizes are ordered, the streams stay where they are
-    sizes = blocks.select("part", "block", size.alias("n"))
-    before = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("at"))
-    return lengths.tobytes(), blocks.join(starts, ["part", "block"]).select("part", "at", "doc_ids", "lengths", "stream", "offsets")
+    return lengths.tobytes(), spark.read.schema(_BLOCKS).parquet(f"{path}/blocks").select("part", "start", "doc_ids", "lengths", "stream", "offsets")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

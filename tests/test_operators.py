@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
-from corpusloom.operators import evaluation, graph, indexing, retrieval, review, rules, similarity
+from corpusloom.operators import chat, evaluation, graph, indexing, retrieval, review, rules, similarity
 
 
 def one(spark, column, **values):
@@ -231,3 +231,17 @@ def test_review_runs_planned_agents_in_order(spark):
     make = lambda name, score: lambda: spark.createDataFrame([(name, score)], "agent string, score int")
     out = review.run_review(spark, "security", {n: make(n, s) for n, s in (("security", 60), ("dependencies", 80), ("testing", 1))}, progress=seen.append)
     assert seen == ["security", "dependencies"] and out.count() == 2
+
+
+def test_answers_are_grounded(spark):
+    chunks = spark.createDataFrame([(1, "src/a.py", "f", 1, 2, "def f(): pass"), (2, "src/b.py", None, 3, 9, "x" * 5000), (3, "src/c.py", "g", 1, 1, "late")], "id long, file_path string, symbol_name string, start_line int, end_line int, content string")
+    ranked = spark.createDataFrame([(1, 1, 1), (1, 3, 2), (2, 2, 1)], "query_id long, id long, rank int")
+    found = chat.contexts(ranked, chunks, 300)
+    row = found.where("query_id = 1").first()
+    assert row.context.startswith("File: src/a.py | Symbol: f | Lines: 1-2\n```\ndef f(): pass\n```\nFile: src/c.py") and row.sources == ["src/a.py", "src/c.py"]
+    assert found.where("query_id = 2").count() == 0  # the first block alone is over the budget
+    asked = spark.createDataFrame([(1, "where"), (2, "what")], "query_id long, text string")
+    told = {r.query_id: r.answer for r in chat.answers(asked, found, lambda qs, cs: ["see src/a.py" if c else "nothing known" for c in cs]).collect()}
+    assert told == {1: "see src/a.py", 2: "nothing known"}
+    assert chat.answers(asked.where("query_id = 1"), found, lambda qs, cs: ["trust me"] * len(qs)).first().answer == chat.REFUSAL
+    assert chat.ready(spark.createDataFrame([("a", "ready"), ("b", "error")], "id string, status string")).count() == 1

@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, spread
@@ -42,17 +42,24 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 def simhash(text: str | None, words: int, lanes: int = 1) -> list[int]:
     """Signed 64-bit lanes; bit i of the first is set if it is set in over half of the
     shingles' XXH64 values (seed 42), further lanes take hashes of those values."""
+    return _bits(_hashes(text, words), lanes)
+
+
+def _hashes(text: str | None, words: int) -> np.ndarray:
+    """The XXH64 value of every shingle."""
     found = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
-    if not found:
-        return [0] * lanes
-    n = max(1, len(found) - words + 1)
     joined, hash64 = b" ".join, xxhash.xxh64_intdigest
+    n = max(1, len(found) - words + 1) if found else 0
+    return np.fromiter((hash64(joined(found[i : i + words]), 42) for i in range(n)), dtype="<u8", count=n)
+
+
+def _bits(hashes: np.ndarray, lanes: int = 1) -> list[int]:
     total = np.zeros((lanes, 64), dtype=np.int64)
-    for first in range(0, n, 1 << 18):
-        h = np.array([hash64(joined(found[i : i + words]), 42) for i in range(first, min(n, first + (1 << 18)))], dtype="<u8")
+    for first in range(0, len(hashes), 1 << 18):
+        h = hashes[first : first + (1 << 18)]
         for lane in range(lanes):
             total[lane] += np.unpackbits(_rehash(h, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.ascontiguousarray(np.packbits(2 * total > n, axis=1, bitorder="little")).view("<i8").ravel().tolist()
+    return np.ascontiguousarray(np.packbits(2 * total > len(hashes), axis=1, bitorder="little")).view("<i8").ravel().tolist()
 
 
 def _fingerprint_map(words: int):
@@ -239,22 +246,148 @@ def wide_links(classes: DataFrame) -> DataFrame:
     return rows.repartitionByRange("turn", "key").sortWithinPartitions("turn", "key").mapInArrow(_neighbour_map(), "a long, b long")
 
 
+# Exact likeness: prefixes of the shingle sets name the candidates, the sets decide.
+#: Near copies share at least 4 of 5 shingles of their union; the tests are in whole numbers.
+LIKENESS = (4, 5)
+#: One document in ``SAMPLE`` is read for the order of shingles: those with ``COMMON`` or
+#: more sampled documents, the ``MAX_COMMON`` most frequent of them, come last. Any order
+#: gives the same links; this one keeps common passages out of the prefixes.
+SAMPLE, COMMON, MAX_COMMON = 16, 16, 1 << 17
+
+
+def _node(shingles: np.ndarray) -> int:
+    """A set's own number: equal sets are one node."""
+    return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), 7))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, dtype=np.uint64)]).view(np.int64), pa.int64()))
+
+
+def _set_map(words: int, common):
+    """(id, t, node, print, size, keys) of every row; the keys are the first shingles of its
+    set, as many as a near copy cannot all lack. A set that a task meets again has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_count = common.value
+        sorter = np.argsort(by_count)
+        known, seen = by_count[sorter], set()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                nodes, prints, sizes, keys = [], [], [], []
+                for text in part.column(2):
+                    hashes = _hashes(text.as_py(), words)
+                    x = np.unique(hashes)
+                    nodes.append(_node(x))
+                    prints.append(_bits(hashes)[0])
+                    sizes.append(len(x))
+                    if not len(x) or nodes[-1] in seen:
+                        keys.append(x[:0])
+                        continue
+                    seen.add(nodes[-1])
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                        x = x[np.argsort(np.where(known[at] == x, sorter[at] + 1, 0), kind="stable")]
+                    keys.append(x[: len(x) - _least(len(x)) + 1])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), _lists(keys)], names=["id", "t", "node", "print", "size", "keys"])
+
+    return run
+
+
+def _member_map(words: int):
+    """(node, shingles) of every row's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                sets = [np.unique(_hashes(t.as_py(), words)) for t in batch.column(2).slice(i, 256)]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), _lists(sets)], names=["node", "shingles"])
+
+    return run
+
+
+def _least(n: int) -> int:
+    """Shingles that a set of n shares with any near copy, at least."""
+    return -(-LIKENESS[0] * n // LIKENESS[1])
+
+
+def _alike(shared: Column, a: Column, b: Column) -> Column:
+    """Whether sets of a and b shingles with ``shared`` common ones are near copies."""
+    return sum(LIKENESS) * shared >= LIKENESS[0] * (a + b)
+
+
+def _promising(pairs: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (a, size_a, b, size_b), one row a shared prefix key, that may be
+    near copies. Up to the earlier end of both prefixes they share no more than was counted,
+    beyond it no more than that set has left."""
+    left = lambda n: F.ceil(LIKENESS[0] * F.col(n) / LIKENESS[1]) - 1
+    counted = pairs.where((F.col("size_a") * LIKENESS[1] >= F.col("size_b") * LIKENESS[0]) & (F.col("size_b") * LIKENESS[1] >= F.col("size_a") * LIKENESS[0])).groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("n"))
+    return counted.where(_alike(F.col("n") + F.greatest(left("size_a"), left("size_b")), F.col("size_a"), F.col("size_b"))).select("a", "b")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, source: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are near copies."""
+    pairs = cut(pairs)
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = source.join(rows.join(wanted, "node", "left_semi").select(F.col("id").alias("_id"), F.col("t").alias("_t")), ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"])
+    sets = cut(texts.select("_id", "_t", "text").mapInArrow(_member_map(words), "node long, shingles array<long>"))
+    a, b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return pairs.join(a, "a").join(b, "b").where(_alike(shared, F.size("set_a"), F.size("set_b"))).select("a", "b")
+
+
+def _common(source: DataFrame, words: int) -> np.ndarray:
+    """Common shingles, the least frequent first; at most MAX_COMMON."""
+    some = source.where(F.pmod("_t", F.lit(SAMPLE)) == 0).mapInArrow(_member_map(words), "node long, shingles array<long>").dropDuplicates(["node"])
+    top = some.select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MAX_COMMON)
+    return np.array([r[0] for r in top.collect()][::-1], dtype=np.int64).view(np.uint64)
+
+
+def likeness_links(source: DataFrame, prints: DataFrame, rows: DataFrame, known: DataFrame, words: int) -> DataFrame:
+    """(a, b): edges that, with ``known`` ones, join all nodes of Jaccard likeness 0.8.
+
+    ``source`` has (_id, _t, text), ``prints`` the prefixes, ``rows`` a row (id, t) of every
+    node. Near copies share a key of their prefixes. First every set is compared with the smallest node of its keys,
+    which joins groups of copies without making all their pairs; then, for keys that still
+    hold several components, all pairs of unlike components are compared. No key is dropped
+    and no pair that may reach the likeness is left out.
+    """
+    index = prints.select("node", "size", F.explode("keys").alias("key"))
+    key = Window.partitionBy("key")
+    held = index.select("*", F.min("node").over(key).alias("lo"), F.max("node").over(key).alias("hi")).where("lo < hi")
+    held = cut(held.select("key", "node", "size", "lo").distinct())
+    lows = held.where("node = lo").select("key", F.col("node").alias("a"), F.col("size").alias("size_a"))
+    stars = held.where("node <> lo").select("key", F.col("node").alias("b"), F.col("size").alias("size_b")).join(lows, "key")
+    first = cut(_verified(_promising(stars), rows, source, words))
+    groups = connected_components(known.union(first))
+    told = held.join(groups, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("c"))
+    open_keys = cut(told.select("*", F.min("c").over(key).alias("lo"), F.max("c").over(key).alias("hi")).where("lo < hi").drop("lo", "hi"))
+    x, y = (open_keys.select("key", F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("c").alias(f"c_{k}")) for k in "ab")
+    rest = x.join(y, "key").where("a < b and c_a <> c_b")
+    return first.union(_verified(_promising(rest), rows, source, words))
+
+
 def deduplicate(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The row of the smallest id of every group of near copies, and one of repeated rows.
 
-    Two rows are near copies if their wide fingerprints differ in at most ``WIDE_BITS``
-    bits, or the first 64 bits, found by pigeonring filtering, in at most ``MAX_BITS``.
-    Rows without an id are told apart by their texts and follow all rows with one.
+    Two rows are near copies if their sets of shingles have a Jaccard likeness of 0.8 or
+    more, found exactly at any table size, or their SimHashes differ in at most ``MAX_BITS``
+    bits. A row is its id and its text: rows of one id with unlike texts stay apart. Rows
+    without an id follow all rows with one. Sets are told apart by 64-bit hashes.
     """
-    marked = docs.withColumn("_id", F.coalesce(F.col(id_column).cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(text_column), F.lit(1 << 61))))
-    source = spread(marked.select("_id", F.col(text_column).cast("string").alias("text")))
-    prints = source.mapInArrow(_wide_map(words), "id long, p0 long, p1 long, p2 long, p3 long")
-    classes = cut(prints.groupBy(*_WIDE).agg(F.min("id").alias("id")).select("id", *_WIDE))
-    firsts = cut(classes.groupBy("p0").agg(F.min("id").alias("first")))
-    same = classes.join(firsts, "p0").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    x, y = firsts.select(F.col("p0").alias("x"), F.col("first").alias("a")), firsts.select(F.col("p0").alias("y"), F.col("first").alias("b"))
-    near = links(firsts.select(F.col("p0").alias("print"))).join(x, "x").join(y, "y").select("a", "b")
-    groups = connected_components(same.union(near).union(wide_links(classes)))
-    copies = groups.where("node <> component").select(F.col("node").alias("id"))
-    kept = classes.join(copies, "id", "left_anti").select(F.col("id").alias("_id"))
-    return marked.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
+    text = F.col(text_column).cast("string")
+    marked = docs.withColumn("_id", F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1))).withColumn("_t", F.xxhash64(text))
+    source = spread(marked.select("_id", "_t", text.alias("text")))
+    common = docs.sparkSession.sparkContext.broadcast(_common(source, words))  # at most 1 MB
+    prints = cut(source.mapInArrow(_set_map(words, common), "id long, t long, node long, print long, size int, keys array<long>"))
+    rows = cut(prints.groupBy("node").agg(F.min(F.struct("id", "t")).alias("r")).select("node", "r.id", "r.t"))
+    firsts = cut(prints.groupBy("print").agg(F.min("node").alias("first")))
+    same = prints.join(firsts, "print").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    x, y = firsts.select(F.col("print").alias("x"), F.col("first").alias("a")), firsts.select(F.col("print").alias("y"), F.col("first").alias("b"))
+    known = cut(same.union(links(firsts.select("print")).join(x, "x").join(y, "y").select("a", "b")))
+    groups = connected_components(known.union(likeness_links(source, prints, rows, known, words)))
+    named = rows.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min(F.struct("id", "t")).alias("r"))
+    kept = named.select(F.col("r.id").alias("_id"), F.col("r.t").alias("_t"))
+    return marked.join(kept, ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"]).select(*docs.columns)

@@ -198,3 +198,35 @@ def test_wide_links_lose_no_crowd(spark):
     edges = simhash.wide_links(df)
     groups = {r.node: r.component for r in components.connected_components(edges).collect()}
     assert groups == {i: 0 for i in range(3000)} and edges.count() < 64 * len(rows)
+
+
+def jaccard_groups(rows):
+    sets = {}
+    for i, text in rows:
+        w = text.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    prints = {i: brute_print(text, 5) for i, text in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4]
+    close = [(a, b) for a in sets for b in sets if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
+    return smallest(sets, pairs + close), len(pairs)
+
+
+@pytest.mark.parametrize("common", [simhash.COMMON, 2])
+def test_deduplicate_is_exact_at_the_likeness(spark, monkeypatch, common):
+    """Copies on both sides of likeness 0.8 (or within 4 bits), and a passage that many texts share."""
+    monkeypatch.setattr(simhash, "COMMON", common)
+    monkeypatch.setattr(simhash, "SAMPLE", 1 if common == 2 else 16)
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    passage, rows = rng.choices(vocabulary, k=60), []
+    for i in range(60):
+        words = rng.choices(vocabulary, k=rng.choice((6, 30, 150, 300))) + (passage if i % 3 else [])
+        rows.append((i * 10, " ".join(words)))
+        for j in range(1, 5):
+            copy = list(words)
+            for _ in range(len(words) * rng.randint(1, 6) // 200 + (j > 2)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            rows.append((i * 10 + j, " ".join(copy)))
+    want, n = jaccard_groups(rows)
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i in want if want[i] == i} and 100 < n and len(kept) > 90

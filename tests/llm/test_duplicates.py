@@ -230,3 +230,11 @@ def test_deduplicate_is_exact_at_the_likeness(spark, monkeypatch, common):
     want, n = jaccard_groups(rows)
     kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {i for i in want if want[i] == i} and 100 < n and len(kept) > 90
+
+
+def test_deduplicate_keeps_unlike_texts_of_one_id(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(rng.choices(WORDS, k=80)) for _ in range(3))
+    rows = [(1, a), (2, a.upper()), (2, b), (3, b + " end"), (3, c), (3, c)]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == [(1, a), (2, b), (3, c)]

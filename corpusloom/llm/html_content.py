@@ -29,7 +29,10 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .common import spread
 
 # How HTML's elements behave.
-RAW = ("script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "title", "head", "select")
+# RAW elements are left out up to their end tag. TO_END ones without an end tag reach to the
+# end of the page; of others without one only the tag is left out.
+RAW = ("script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "title", "select")
+TO_END = frozenset({"script", "style", "textarea"})
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img br picture source input link meta base area col embed param track".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends an open element of the second set, up to one of the third.
@@ -44,7 +47,8 @@ CLOSES = {
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 _QUOTED = r"""(?:"[^"]*"|'[^']*'|[^'">])*"""
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW)})\b{_QUOTED}>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/)?(?P<tag>[a-z][^\s/>]*)(?P<rest>{_QUOTED})>|<[!?/][^>]*(?:>|\Z)|<[a-z][^>]*\Z", re.I | re.S)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<end>/)?(?P<tag>[a-z][^\s/>]*)(?P<rest>{_QUOTED})>|<[!?/][^>]*(?:>|\Z)|<[a-z][^>]*\Z", re.I | re.S)
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
@@ -83,21 +87,32 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         flush()
         del stack[depth:]
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, unended = 0, set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             text.append(piece)
             if links:
                 n_linked += len(piece)
         at = m.end()
-        if m["raw"]:
-            if m["raw"].lower() in ("select", "textarea"):
-                text.append(" ")
-            continue
         if not (tag := m["tag"]):
             continue
         tag = tag.lower()
+        if tag in RAW and not m["end"]:
+            if tag in ("select", "textarea"):
+                text.append(" ")
+            if tag in ("svg", "math") and m["rest"].endswith("/"):
+                continue
+            if tag not in unended and (end := _ENDS[tag].search(page, at)):
+                at = end.end()
+            elif tag in TO_END:
+                at = len(page)
+            else:
+                unended.add(tag)
+            continue
+        if tag == "head":  # what belongs there is RAW or void; anything else begins the body
+            flush()
+            continue
         if tag in INLINE:
             if tag == "a":
                 links = 0 if m["end"] else 1

@@ -230,3 +230,19 @@ def test_pipeline(spark, tmp_path):
     assert set(ids[4]) <= set(ids[3])
     assert seen[5].agg(F.sum("length")).first()[0] == sum(n for _, n in {(r.sequence_id, r.offset): (r.doc_id, r.length) for r in seen[5].collect()}.values())
     assert cp.run(spark, str(tmp_path)).count() > 0
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<head><title>x</title><meta charset=utf-8><body><p>Article text is here.", "Article text is here."),
+    ("<head><title>x</title><style>p{}</style><p>Article text is here.</p>", "Article text is here."),
+    ("<p>One.</p><svg class=i/><p>Two.</p><math/><p>Three.</p>", "One. Two. Three."),
+    ("<p>One.</p><svg class=i><p>Two.</p><iframe src=x><p>Three.</p>", "One. Two. Three."),
+    ("<p>One.</p><svg><text>no</text></svg><p>Two.</p><script>var a = '<p>no</p>';", "One. Two."),
+])
+def test_unclosed_elements_lose_no_text(page, want):
+    assert " ".join(t for _, t in html_content.parse(page)[1]) == want
+    assert html_content.trained().text(f"<article>{page}") != ""
+
+
+def test_many_unclosed_elements_take_linear_time():
+    assert html_content.parse("<svg><p>a" * 50_000)[1][-1][1] == "a"

@@ -245,16 +245,25 @@ class Model:
         return _sigmoid(best)
 
 
+def _gap(ch: str) -> bool:
+    """Whether a character parts words, as in ``Words``."""
+    return ch < "\x80" and not ch.isalnum()
+
+
 def _stretches(text: str) -> Iterator[str]:
-    """A text in stretches cut at white space that share at least a window of words."""
+    """A text in stretches cut between words that share at least a window of words, or as
+    many as half of ``STEP_CHARS`` holds; a word longer than that half may be cut."""
     at = 0
     while len(text) - at > STEP_CHARS:
-        cut = text.rfind(" ", at + STEP_CHARS // 2, at + STEP_CHARS)
-        cut = at + STEP_CHARS if cut < 0 else cut
+        least = at + max(1, STEP_CHARS // 2)
+        cut = next((i for i in range(at + STEP_CHARS, least, -1) if _gap(text[i])), at + STEP_CHARS)
         yield text[at:cut]
-        back = cut
-        for _ in range(WINDOW):
-            back = max(at + 1, text.rfind(" ", at + 1, back))
+        back, found = cut, 0
+        for i in range(cut - 1, least - 1, -1):
+            if not _gap(text[i]) and _gap(text[i - 1]):
+                back, found = i, found + 1
+                if found == WINDOW:
+                    break
         at = back
     yield text[at:]
 

@@ -246,3 +246,16 @@ def test_unclosed_elements_lose_no_text(page, want):
 
 def test_many_unclosed_elements_take_linear_time():
     assert html_content.parse("<svg><p>a" * 50_000)[1][-1][1] == "a"
+
+
+def test_stretches_advance_without_spaces(monkeypatch):
+    monkeypatch.setattr(toxicity, "STEP_CHARS", 3000)
+    words = [f"w{i}" for i in range(4000)]
+    for gap in "\n", "\t", ",", " ":
+        parts = list(toxicity._stretches(gap.join(words)))
+        assert len(parts) < 30 and set(words) == {w for p in parts for w in p.split(gap) if w}
+        held = [p.strip(gap).split(gap) for p in parts]
+        assert all(b[0] in a and len(a) - a.index(b[0]) == toxicity.WINDOW for a, b in zip(held, held[1:]))
+    for text in ("x" * 20_000, "\u4e2d" * 20_000, "-" * 20_000, "\n".join(["y" * 700] * 40)):
+        parts = list(toxicity._stretches(text))
+        assert len(parts) <= len(text) // 1500 + 1 and sum(map(len, parts)) >= len(text) - len(parts) and max(map(len, parts)) <= 3000

@@ -1,7 +1,7 @@
 """Surrogates for personal data, with DataFrame functions only.
 
 Detected entities: e-mail addresses, telephone numbers, payment cards that pass the Luhn
-test, IP addresses, social security numbers, IBANs, access keys and assigned secrets, and
+test, IPv4 and IPv6 addresses, social security numbers, IBANs, access keys and assigned secrets, and
 persons named after a title or by a known given name. Each distinct entity, in a
 normalised form that its spellings share, gets one keyed surrogate of its own type:
 
@@ -9,7 +9,13 @@ normalised form that its spellings share, gets one keyed surrogate of its own ty
   lengths stay; country codes, card issuers and top-level domains are kept, card check
   digits made valid again, and IP octets stay in range;
 * given names keep their gender and script, and every part of a name has its own
-  surrogate, so that "Mr. Ivan Petrov", "Mr. Petrov" and a later bare "Petrov" agree.
+  surrogate, so that "Mr. Ivan Petrov", "Mr. Petrov" and a later bare "Petrov" or "Ivan" in
+  that text agree.
+
+Not detected: telephone numbers without country code, parentheses, area code parted as in
+212-555-0100, or trunk 0 (bare runs of digits may be anything); IPv6 addresses without a
+group of three digits or with an IPv4 tail; persons without a title or known given name.
+Spellings of one IPv6 address that differ in more than case are entities of their own.
 
 A surrogate that is also some original, or that two entities share, is drawn again with
 the next attempt number until none is left, so distinct entities stay distinct and equal
@@ -37,6 +43,7 @@ ENDINGS = {"latin": {"m": "us", "f": "ina", "x": "er"}, "cyrillic": {"m": "ий"
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåçèéêëìíîïñòóôõöùúûü", "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜ", "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 
 _NAME = r"\p{Lu}[\p{L}'’-]+"
+_HEX = "[0-9A-Fa-f]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _TITLED = rf"\b(?:{'|'.join(TITLES_MALE + TITLES_FEMALE + TITLES_OTHER)})\.? {_NAME}(?: {_NAME})?"
 _GIVEN = rf"\b(?:{'|'.join(GIVEN_MALE + GIVEN_FEMALE)}) {_NAME}"
@@ -48,13 +55,14 @@ PATTERNS = {
     "key": r"\bAKIA[A-Z0-9]{16}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{{3}})(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|(?:{_HEX}:){{1,7}}:|:(?::{_HEX}){{1,7}})(?![\p{{L}}\p{{N}}:])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
+    "phone": r"(?<![0-9])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![\p{L}0-9.,+-])[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.| [0-9]{3} )[0-9]{4}(?![\p{L}0-9-]|[.,][0-9])|(?<![\p{L}0-9.,+-])0[1-9][0-9]{1,3}[ /-][0-9]{5,8}(?![\p{L}0-9-]|[.,][0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "name": rf"{_TITLED}|{_GIVEN}",
 }
 ANY = "|".join(PATTERNS.values())
-_HINT = rf"[0-9@]|AKIA|(?i:token|password|passwd|secret|api.?key)|{_TITLED}|{_GIVEN}"
+_HINT = rf"[0-9@]|::|(?:{_HEX}:){{7}}|AKIA|(?i:token|password|passwd|secret|api.?key)|{_TITLED}|{_GIVEN}"
 
 
 def _digits(value: Column) -> Column:
@@ -93,7 +101,7 @@ def _entities(value: Column, kind: Column) -> Column:
     """What of one match needs a surrogate: (kind, normalised form)."""
     one = lambda norm: F.array(F.struct(kind.alias("kind"), norm.alias("norm")))
     none = F.array().cast("array<struct<kind:string,norm:string>>")
-    return F.when(kind == "none", none).when(kind == "name", _name_parts(value)).when(kind == "email", F.array(F.struct(kind.alias("kind"), F.lower(value).alias("norm")), F.struct(F.lit("domain").alias("kind"), F.lower(F.substring_index(value, "@", -1)).alias("norm")))).when(kind.isin("phone", "card", "ssn"), one(_digits(value))).when(kind == "secret", one(F.regexp_replace(value, f"^(?i:{_ASSIGNED})", ""))).when(kind == "iban", one(F.regexp_replace(value, " ", ""))).otherwise(one(value))
+    return F.when(kind == "none", none).when(kind == "name", _name_parts(value)).when(kind == "email", F.array(F.struct(kind.alias("kind"), F.lower(value).alias("norm")), F.struct(F.lit("domain").alias("kind"), F.lower(F.substring_index(value, "@", -1)).alias("norm")))).when(kind.isin("phone", "card", "ssn"), one(_digits(value))).when(kind == "ip6", one(F.lower(value))).when(kind == "secret", one(F.regexp_replace(value, f"^(?i:{_ASSIGNED})", ""))).when(kind == "iban", one(F.regexp_replace(value, " ", ""))).otherwise(one(value))
 
 
 def _draw(key: str, attempt: Column) -> Column:
@@ -141,12 +149,14 @@ def _surrogate(key: str, attempt: Column) -> Column:
     body = F.concat(F.substring(norm, 1, 1), F.substring(fresh, F.lit(2), F.length(norm) - 2))
     card = F.concat(body, ((10 - _luhn(body, True) % 10) % 10).cast("string"))
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(digest, i, 254) + 1).cast("string")), ".")
+    # an address has at most 39 places, the digest 64
+    hexes = F.array_join(F.transform(F.split(norm, ""), lambda ch, i: F.when(ch.isin(":", ""), ch).otherwise(F.substring(digest, i + 1, F.lit(1)))), "")
     local = F.substring_index(fresh, "@", 1)
     domain = F.concat(F.substring(fresh, F.lit(1), F.length(norm) - F.length(F.substring_index(norm, ".", -1))), F.substring_index(norm, ".", -1))
     phone_head = F.when(F.length(norm) > 10, F.length(norm) - 10).otherwise(0)
     phone = F.concat(F.substring(norm, F.lit(1), phone_head), (_number(digest, F.lit(14), 8) + 2).cast("string"), F.substring(fresh, phone_head + 2, F.lit(64)))
     return (
-        F.when(kind == "card", card).when(kind == "ip", octets).when(kind == "email", local).when(kind == "domain", domain).when(kind == "phone", phone)
+        F.when(kind == "card", card).when(kind == "ip", octets).when(kind == "ip6", hexes).when(kind == "email", local).when(kind == "domain", domain).when(kind == "phone", phone)
         .when(kind == "key", F.concat(F.lit("AKIA"), F.substring(fresh, F.lit(5), F.lit(16))))
         .when(kind == "iban", F.concat(F.substring(norm, 1, 2), F.substring(fresh, F.lit(3), F.lit(40))))
         .when(kind == "secret", F.when(norm.rlike("^[0-9a-f]+$"), F.substring(F.concat(digest, F.sha2(digest, 256)), F.lit(1), F.length(norm))).otherwise(fresh))
@@ -209,6 +219,7 @@ def _rendered() -> Column:
         .when(kind.isin("phone", "card", "ssn"), _filled(value, first))
         .when(kind == "secret", F.concat(F.regexp_extract(value, f"^((?i:{_ASSIGNED}))", 1), first))
         .when(kind == "iban", _spaced(value, first))
+        .when(kind == "ip6", F.when(F.upper(value) == value, F.upper(first)).otherwise(first))
         .when(kind == "name", F.concat(titled, F.array_join("parts", " ")))
         .otherwise(first)
     )
@@ -227,13 +238,13 @@ def replace(docs: DataFrame, key: str = "corpus", text_column: str = "text") ->
     parts = cut(values.select("value", "match", F.posexplode(_entities(F.col("value"), F.col("match"))).alias("at", "e")).select("value", "match", "at", "e.kind", "e.norm"))
     known = assign(parts, key)
     rendered = parts.join(known, ["kind", "norm"]).groupBy("value", "match").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "surrogate"))), lambda x: x["surrogate"]).alias("parts")).select("value", _rendered().alias("now"))
-    surnames = parts.where("kind = 'surname'").join(known, ["kind", "norm"]).groupBy("value").agg(F.first("norm").alias("was"), F.first("surrogate").alias("is"))
-    rendered = cut(rendered.join(surnames, "value", "left"))
+    named = parts.where("kind = 'surname' or kind like 'given-%'").join(known, ["kind", "norm"]).groupBy("value").agg(F.collect_set(F.struct(F.col("norm").alias("was"), F.col("surrogate").alias("is"))).alias("names"))
+    rendered = cut(rendered.join(named, "value", "left"))
 
     places = texts.select("_tid", F.posexplode("_found").alias("at", "value")).join(rendered, "value", "left")
-    new = places.groupBy("_tid").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("now", "value").alias("now")))).alias("_new"), F.collect_set(F.when(F.col("was").isNotNull(), F.struct("was", "is"))).alias("_names"), F.count("now").alias("n_entities"))
+    new = places.groupBy("_tid").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("now", "value").alias("now")))).alias("_new"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("_names"), F.count("now").alias("n_entities"))
     between = F.split(text, ANY, -1)
-    # a bare surname elsewhere in the text follows the person it belongs to
+    # a bare surname or given name elsewhere in the text follows the person it belongs to
     between = F.transform(between, lambda t: F.aggregate("_names", t, lambda out, n: F.regexp_replace(out, F.concat(F.lit(r"(?<![\p{L}])"), n["was"], F.lit(r"(?![\p{L}])")), n["is"])))
     joined = F.array_join(F.zip_with(between, F.concat(F.transform("_new", lambda x: x["now"]), F.array(F.lit(""))), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
     changed = dirty.drop("_found").join(new, "_tid").withColumn(text_column, joined)

@@ -259,3 +259,20 @@ def test_stretches_advance_without_spaces(monkeypatch):
     for text in ("x" * 20_000, "\u4e2d" * 20_000, "-" * 20_000, "\n".join(["y" * 700] * 40)):
         parts = list(toxicity._stretches(text))
         assert len(parts) <= len(text) // 1500 + 1 and sum(map(len, parts)) >= len(text) - len(parts) and max(map(len, parts)) <= 3000
+
+
+def test_surrogates_of_plain_phones_ipv6_and_bare_given_names(spark):
+    texts = [
+        "Call 212-555-0100, 212.555.0100 or 212 555 0100; Berlin 030 1234567.",
+        "From 2001:db8:0:1:1:1:1:1 and 2001:DB8::FF00:42 to fe80::abcd, not std::vector, a[1::2] or 12:30:45.",
+        "Mrs. Anna Petrov spoke. Later Anna left and Petrov stayed, Annabel too.",
+        "Version 1.234.567, 10,000-20,000, 2024-01-15 and 100 200 items.",
+    ]
+    out = replaced(spark, texts)
+    assert out[3] == texts[3]
+    a, b, c = re.search(r"Call (\d{3}-\d{3}-\d{4}), (\d{3}\.\d{3}\.\d{4}) or (\d{3} \d{3} \d{4}); Berlin \d{3} \d{7}\.", out[0]).groups()
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) == re.sub(r"\D", "", c) != "2125550100" and "1234567" not in out[0]
+    assert not re.search("db8|fe80", out[1], re.I) and out[1].endswith(", not std::vector, a[1::2] or 12:30:45.")
+    assert re.match(r"From [0-9a-f]{4}(:[0-9a-f]+){7} and [0-9A-F]{4}:[0-9A-F]{3}::[0-9A-F]{4}:[0-9A-F]{2} to [0-9a-f]{4}::[0-9a-f]{4},", out[1])
+    first, last, bare, later = re.search(r"Mrs\. (\w+) (\w+) spoke\. Later (\w+) left and (\w+) stayed, Annabel too", out[2]).groups()
+    assert first == bare != "Anna" and last == later != "Petrov"

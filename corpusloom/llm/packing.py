@@ -6,8 +6,8 @@ shard, whole sequences are first cut off long documents; what remains is taken i
 descending length, each piece going to the sequence of lowest estimated cost, linear plus
 quadratic in the piece lengths, that still has room. The capacities of a shard add up to
 its tokens: full sequences, and for the last few tokens sequences of a power of two,
-which need no padding. So nothing is padded, and a piece is cut only where a sequence is
-full.
+which need no padding. So nothing is padded, and a piece is cut only if no sequence of its
+shard has room for it whole; what is left of it then takes its turn by its length.
 
 A null or empty text is its end id alone. Rows with the same doc_id are packed as separate
 documents. ``sequence_id`` is unique over the table, not consecutive. An empty table gives
@@ -32,8 +32,6 @@ SEQUENCE_TOKENS = 4096
 SHARD_TOKENS = 1 << 21
 #: Piece length at which the quadratic attention cost equals the linear cost.
 BALANCE_TOKENS = 2048.0
-#: Sequences looked at, cheapest first, for one that takes a piece whole.
-LOOK = 8
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -54,23 +52,38 @@ def pack_lengths(lengths: list[int], capacity: int = SEQUENCE_TOKENS) -> list[tu
             rest.append((n % capacity, doc, whole * capacity))
     total = sum(n for n, _, _ in rest)
     room = [capacity] * (total // capacity) + [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if total % capacity >> b & 1]
-    used = [0] * len(room)
-    heap = [(0.0, -room[i], i) for i in range(len(room))]
-    heapq.heapify(heap)
-    rest.sort(key=lambda x: (-x[0], x[1]))
-    for n, doc, start in rest:
-        while n:
-            tried = [heapq.heappop(heap) for _ in range(min(LOOK, len(heap)))]
-            at = next((k for k, (_, _, i) in enumerate(tried) if room[i] - used[i] >= n), 0)
-            cost, key, i = tried.pop(at)
-            size = min(n, room[i] - used[i])
-            pieces.append((doc, start, size, n_seq + i, used[i]))
-            used[i] += size
-            for other in tried:
-                heapq.heappush(heap, other)
-            if used[i] < room[i]:
-                heapq.heappush(heap, (cost + piece_cost(size), key, i))
-            n, start = n - size, start + size
+    used, cost = [0] * len(room), [0.0] * len(room)
+    rest = [(-n, doc, start) for n, doc, start in rest]
+    heapq.heapify(rest)
+    # Pieces only get shorter, so a sequence that has room for one stays ``ready`` until it is
+    # used. The others wait, the roomiest first; ``cheap`` has them by cost for what must be
+    # cut. Entries of the last two that no longer hold are passed over.
+    ready: list[tuple[float, int, int]] = []
+    wait, cheap = [(-room[i], i) for i in range(len(room))], [(0.0, -room[i], i) for i in range(len(room))]
+    heapq.heapify(wait)
+    heapq.heapify(cheap)
+    while rest:
+        n, doc, start = heapq.heappop(rest)
+        n = -n
+        while wait and -wait[0][0] >= n:
+            free, i = heapq.heappop(wait)
+            if -free == room[i] - used[i]:
+                heapq.heappush(ready, (cost[i], -room[i], i))
+        if ready:
+            i = heapq.heappop(ready)[2]
+        else:
+            while cheap[0][0] != cost[cheap[0][2]] or used[cheap[0][2]] == room[cheap[0][2]]:
+                heapq.heappop(cheap)
+            i = cheap[0][2]
+        size = min(n, room[i] - used[i])
+        pieces.append((doc, start, size, n_seq + i, used[i]))
+        used[i] += size
+        cost[i] += piece_cost(size)
+        if used[i] < room[i]:
+            heapq.heappush(wait, (used[i] - room[i], i))
+            heapq.heappush(cheap, (cost[i], -room[i], i))
+        if size < n:
+            heapq.heappush(rest, (size - n, doc, start + size))
     return pieces
 
 

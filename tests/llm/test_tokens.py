@@ -169,3 +169,29 @@ def test_token_counts(spark):
     words = sorted({token_counts.SPACE + w for _, t in ROWS for w in (t or "").split()} | {"▁" + "xyz" * 9, "▁日本"})
     assert counter.trie(words) == [counter.one(w) for w in words]
     assert token_counts.count_tokens(docs(spark, []), PIECE).count() == 0
+
+
+def test_pieces_are_cut_only_if_no_sequence_has_room():
+    """Against a search over all sequences, for many sequences that are nearly full."""
+    rng, n_cut = random.Random(6), 0
+    for trial in range(30):
+        lengths = [rng.randint(1, 63) if trial % 2 else rng.choice((5, 23, 29, 41)) for _ in range(300)]
+        got = packing.pack_lengths(lengths, 64)
+        total = sum(lengths)
+        room = [64] * (total // 64) + [1 << b for b in range(5, -1, -1) if total % 64 >> b & 1]
+        free, cost = list(room), [0.0] * len(room)
+        rest = sorted((-n, doc, 0) for doc, n in enumerate(lengths))
+        want = []
+        while rest:
+            n, doc, start = rest.pop(0)
+            fits = [i for i, r in enumerate(free) if r >= -n] or [i for i, r in enumerate(free) if r]
+            i = min(fits, key=lambda i: (cost[i], -room[i], i))
+            size = min(-n, free[i])
+            want.append((doc, start, size, i, room[i] - free[i]))
+            free[i] -= size
+            cost[i] += packing.piece_cost(size)
+            if size < -n:
+                rest = sorted([*rest, (n + size, doc, start + size)])
+                n_cut += 1
+        assert got == want
+    assert n_cut

@@ -4,14 +4,16 @@ Each map task gathers shards of about ``SHARD_TOKENS`` tokens and packs a shard
 the work needs no shuffle and no task holds more than one shard (or one document). In a
 shard, whole sequences are first cut off long documents; what remains is taken in
 descending length, each piece going to the sequence of lowest estimated cost, linear plus
-quadratic in the piece lengths, that still has room. The capacities of a shard add up to
-its tokens: full sequences, and for the last few tokens sequences of a power of two,
-which need no padding. So nothing is padded, and a piece is cut only if no sequence of its
-shard has room for it whole; what is left of it then takes its turn by its length.
+quadratic in the piece lengths, that still has room. A piece is cut only if no sequence of
+its shard has room for it whole; what is left of it then takes its turn by its length. A
+shard opens as many sequences as its tokens fill; the rest, less than one sequence, goes to
+the task's next shard. Only a task's last rest is dealt to sequences of a power of two,
+which need no padding, so nothing is padded.
 
 A null or empty text is its end id alone. Rows with the same doc_id are packed as separate
-documents. ``sequence_id`` is unique over the table, not consecutive. An empty table gives
-no rows.
+documents. Equal lengths follow the order of arrival in the task. A document longer than a
+shard is a shard of its own. Other columns are not read, whatever their names.
+``sequence_id`` is unique over the table, not consecutive. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ SHARD_TOKENS = 1 << 21
 #: Piece length at which the quadratic attention cost equals the linear cost.
 BALANCE_TOKENS = 2048.0
 
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+_PIECES = ", ".join(f"{name} long" for name in _NAMES)
 
 
 def piece_cost(length: int, balance: float = BALANCE_TOKENS) -> float:
@@ -42,6 +45,12 @@ def piece_cost(length: int, balance: float = BALANCE_TOKENS) -> float:
 
 def pack_lengths(lengths: list[int], capacity: int = SEQUENCE_TOKENS) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) for every piece."""
+    return pack_shard(lengths, capacity, True)[0]
+
+
+def pack_shard(lengths: list[int], capacity: int, last: bool) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
+    """Pieces as of ``pack_lengths``, and (document, start, length) of what is left over,
+    less than one sequence; nothing is if this is the ``last`` shard."""
     pieces, rest, n_seq = [], [], 0
     for doc, n in enumerate(lengths):
         whole = n // capacity
@@ -51,7 +60,10 @@ def pack_lengths(lengths: list[int], capacity: int = SEQUENCE_TOKENS) -> list[tu
         if n % capacity:
             rest.append((n % capacity, doc, whole * capacity))
     total = sum(n for n, _, _ in rest)
-    room = [capacity] * (total // capacity) + [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if total % capacity >> b & 1]
+    room = [capacity] * (total // capacity)
+    if last:
+        room += [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if total % capacity >> b & 1]
+    free = sum(room)
     used, cost = [0] * len(room), [0.0] * len(room)
     rest = [(-n, doc, start) for n, doc, start in rest]
     heapq.heapify(rest)
@@ -62,12 +74,12 @@ def pack_lengths(lengths: list[int], capacity: int = SEQUENCE_TOKENS) -> list[tu
     wait, cheap = [(-room[i], i) for i in range(len(room))], [(0.0, -room[i], i) for i in range(len(room))]
     heapq.heapify(wait)
     heapq.heapify(cheap)
-    while rest:
+    while rest and free:
         n, doc, start = heapq.heappop(rest)
         n = -n
         while wait and -wait[0][0] >= n:
-            free, i = heapq.heappop(wait)
-            if -free == room[i] - used[i]:
+            most, i = heapq.heappop(wait)
+            if -most == room[i] - used[i]:
                 heapq.heappush(ready, (cost[i], -room[i], i))
         if ready:
             i = heapq.heappop(ready)[2]
@@ -78,45 +90,47 @@ def pack_lengths(lengths: list[int], capacity: int = SEQUENCE_TOKENS) -> list[tu
         size = min(n, room[i] - used[i])
         pieces.append((doc, start, size, n_seq + i, used[i]))
         used[i] += size
+        free -= size
         cost[i] += piece_cost(size)
         if used[i] < room[i]:
             heapq.heappush(wait, (used[i] - room[i], i))
             heapq.heappush(cheap, (cost[i], -room[i], i))
         if size < n:
             heapq.heappush(rest, (size - n, doc, start + size))
-    return pieces
+    return pieces, [(doc, start, -n) for n, doc, start in sorted(rest)]
 
 
 def _pack_map(path: str, spaced: bool, end_id: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, spaced)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
-        next_id, keys, held, tokens = TaskContext.get().partitionId() << 33, [], [], 0
-
-        def packed() -> pa.RecordBatch:
-            nonlocal next_id
-            pieces = pack_lengths([len(x) for x in held], capacity)
-            cols = list(zip(*pieces))
-            cuts = [held[d][s : s + n] for d, s, n, _, _ in pieces]
-            arrays = [pa.array([keys[d] for d in cols[0]], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array([crc32_ids(x) for x in cuts], pa.int64()), pa.array([len(held[d]) for d in cols[0]], pa.int64()), pa.array([next_id + s for s in cols[3]], pa.int64()), pa.array(cols[4], pa.int64())]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            if with_ids:
-                arrays.append(pa.array([x.astype(np.int32) for x in cuts], pa.list_(pa.int32())))
-                names.append("ids")
-            next_id += max(cols[3]) + 1
-            return pa.RecordBatch.from_arrays(arrays, names=names)
+        next_id, held, tokens = TaskContext.get().partitionId() << 33, [], 0
+
+        def packed(last: bool) -> Iterator[pa.RecordBatch]:
+            """``held`` has (doc_id, tokens of the document, start, ids from there)."""
+            nonlocal next_id, held, tokens
+            pieces, left = pack_shard([len(x[3]) for x in held], capacity, last)
+            if pieces:
+                cuts = [held[d][3][s : s + n] for d, s, n, _, _ in pieces]
+                columns = zip(*((held[d][0], held[d][2] + s, n, crc32_ids(x), held[d][1], next_id + q, at) for (d, s, n, q, at), x in zip(pieces, cuts)))
+                arrays = [pa.array(c, pa.int64()) for c in columns]
+                if with_ids:
+                    arrays.append(pa.array([x.astype(np.int32) for x in cuts], pa.list_(pa.int32())))
+                next_id += max(p[3] for p in pieces) + 1
+                yield pa.RecordBatch.from_arrays(arrays, names=[*_NAMES, "ids"][: len(arrays)])
+            held = [(held[d][0], held[d][1], held[d][2] + s, held[d][3][s : s + n].copy()) for d, s, n in left]
+            tokens = sum(len(x[3]) for x in held)
 
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 for key, ids in zip(batch.column(0).slice(i, 256).to_pylist(), enc.encode(batch.column(1).slice(i, 256).to_pylist())):
-                    held.append(np.frombuffer(ids + end, dtype=enc.dtype))
-                    keys.append(key)
-                    tokens += len(held[-1])
+                    whole = np.frombuffer(ids + end, dtype=enc.dtype)
+                    held.append((key, len(whole), 0, whole))
+                    tokens += len(whole)
                     if tokens >= SHARD_TOKENS:
-                        yield packed()
-                        keys, held, tokens = [], [], 0
+                        yield from packed(False)
         if held:
-            yield packed()
+            yield from packed(True)
         enc.settle()
 
     return run

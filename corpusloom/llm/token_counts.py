@@ -10,7 +10,9 @@ reads its count at its terminal node.
 Probabilities follow Zipf's law over the order of a public vocabulary, whose pieces are
 listed by merge rank; nothing is trained. A character that is no piece is spelled in bytes,
 each a token, at a penalty. A null or empty text, or one of white space only, has 0 tokens.
-Rows that repeat are counted alike.
+Rows that repeat are counted alike, ties go to the shorter last piece, words of any length
+are segmented whole, and an empty table gives no rows. Other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -66,6 +68,7 @@ class UnigramCounter:
         n = np.array([len(p) for p in pieces], dtype=np.int64)
         keys = _hash(codes)[np.arange(len(pieces)), n]
         order = np.argsort(keys)
+        self.codes, self.sizes = codes[order], n[order]
         self.keys, self.values = keys[order], np.array([self.score[p] for p in pieces])[order]
         self.lengths = set(n.tolist())
         with np.errstate(over="ignore"):
@@ -118,7 +121,9 @@ class UnigramCounter:
                         continue
                     key = prefix[at, d] - prefix[at, d - k] * self.power[k]
                     i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                    on = np.flatnonzero(self.keys[i] == key)
+                    on = np.flatnonzero((self.keys[i] == key) & (self.sizes[i] == k))
+                    # the hash has found the piece, its characters decide
+                    on = on[(codes[at[on], d - k : d] == self.codes[i[on], :k]).all(axis=1)]
                     up = node[at[on], d - k]
                     total = best[d - k][up] + self.values[i[on]]
                     # a piece of one character is always taken before its spelling

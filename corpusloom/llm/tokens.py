@@ -5,7 +5,9 @@ distinct word once with the library and joins the remembered ids. A text is only
 places where the tokenizer itself always cuts: in texts of Latin letters, ASCII digits and
 punctuation, between letters, digits and punctuation; in other texts, at single spaces
 between characters that are not white space. A text that fits neither goes to the library
-whole.
+whole, as does one that holds the content of a special token. Words are remembered by
+their bytes; hashes only group the words of one batch, and every grouped word is compared
+with the word that stands for its group.
 """
 
 from __future__ import annotations
@@ -55,7 +57,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -63,9 +64,13 @@ class WordEncoder:
         #: Tokens that begin (spaced) or end (otherwise) a word of a joined text.
         self.edge = np.array([x.startswith("Ġ") if spaced else x.endswith("</w>") for x in names])
         self.line = names.index("Ċ") if spaced else None
-        #: Ids by a word's 64-bit hash.
-        self.memo: dict[int, bytes] = {}
-        self.recent: list[int] = []
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)), re.I) if added else None
+        #: Characters one of which a text with a special token holds.
+        self.marks = {t[0].lower() for t in added} | {t[0].upper() for t in added}
+        #: Ids by a word's bytes.
+        self.memo: dict[bytes, bytes] = {}
+        self.recent: list[bytes] = []
 
     def settle(self) -> None:
         """At the end of a task: keep the words of the last texts, among them all frequent
@@ -73,6 +78,9 @@ class WordEncoder:
         self.memo = {k: self.memo[k] for k in self.recent if k in self.memo}
         self.recent = []
 
+    def _has_special(self, text: str) -> bool:
+        return any(c in text for c in self.marks) and self.special.search(text) is not None
+
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -147,13 +155,16 @@ class WordEncoder:
             keep = (kind[at] != _SPACE) & (kind[at] != _LINE)
         keep[np.searchsorted(at, begins + sizes - 1)] = False
         at, end, hashes = at[keep], end[keep], hashes[keep]
-        forms, first, form = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = forms.tolist()
+        _, first, form = np.unique(hashes, return_index=True, return_inverse=True)
+        apart = self._unlike(data, at, end, first[form])
+        first = np.append(first, apart)
+        form[apart] = np.arange(len(first) - len(apart), len(first))
+        whole = data.tobytes()
+        keys = list(map(whole.__getitem__, map(slice, at[first].tolist(), end[first].tolist())))
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        if lost := [i for i, k in enumerate(keys) if k not in self.memo]:
-            a, b, whole = at[first[lost]].tolist(), end[first[lost]].tolist(), data.tobytes()
-            self.memo.update(zip((keys[i] for i in lost), self._words([whole[x:y].decode() for x, y in zip(a, b)])))
+        if lost := list(dict.fromkeys(k for k in keys if k not in self.memo)):
+            self.memo.update(zip(lost, self._words([k.decode() for k in lost])))
         self.recent = keys
         found = list(map(self.memo.__getitem__, keys))
         width = self.dtype.itemsize
@@ -165,6 +176,20 @@ class WordEncoder:
         cuts = (upto[np.searchsorted(at, np.append(begins, len(data)))] * width).tolist()
         return [ids[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
 
+    @staticmethod
+    def _unlike(data: np.ndarray, at: np.ndarray, end: np.ndarray, stand: np.ndarray) -> np.ndarray:
+        """The words that differ from the word ``stand`` which has the same hash."""
+        length = end - at
+        other = at[stand]
+        same = length == end[stand] - other
+        n = np.where(same, length, 0)
+        begin = np.cumsum(n) - n
+        step = np.arange(int(n.sum()))
+        differ = data[step + np.repeat(at - begin, n)] != data[step + np.repeat(other - begin, n)]
+        if differ.any():
+            same[np.searchsorted(begin + n, np.flatnonzero(differ), side="right")] = False
+        return np.flatnonzero(~same)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         plain, chars = [], 0
@@ -179,7 +204,9 @@ class WordEncoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if simple(text):
+            if self._has_special(text):
+                out[i] = self._separately([text])[0]
+            elif simple(text):
                 plain.append(i)
                 chars += len(text)
                 if chars >= STEP_CHARS:

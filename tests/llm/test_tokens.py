@@ -24,9 +24,7 @@ def docs(spark, rows=ROWS):
 
 @lru_cache
 def library(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def ids_of(path, text):
@@ -48,6 +46,20 @@ def test_encoder_equals_the_library_on_odd_texts(path, spaced):
         assert np.frombuffer(got, enc.dtype).tolist() == ids_of(path, text)[:-1], text
 
 
+@pytest.mark.parametrize("path,spaced", [(BYTE, True), (WORD, False)])
+def test_words_whose_hashes_collide_keep_their_ids(path, spaced):
+    """A Thue-Morse word and its complement collide in any polynomial hash modulo 2**64."""
+    words = []
+    for size in (1024, 2048):
+        bits = [i.bit_count() & 1 for i in range(size)]
+        words += ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    texts = [" ".join(words), *words, "see " + words[1] + ", " + words[0], "<|endoftext|>" + words[2], "a <|endoftext|> b", "a <|ENDOFTEXT|> b"]
+    enc = tokens.WordEncoder(path, spaced)
+    for batch in (texts, texts[::-1], [words[1]], [words[0]]):
+        for text, got in zip(batch, enc.encode(batch)):
+            assert np.frombuffer(got, enc.dtype).tolist() == ids_of(path, text)[:-1]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 60), max_size=700), max_size=8))
 def test_huffman_round_trip(lists):
@@ -195,3 +207,27 @@ def test_pieces_are_cut_only_if_no_sequence_has_room():
                 n_cut += 1
         assert got == want
     assert n_cut
+
+
+def test_rests_of_a_task_are_pooled(spark, monkeypatch):
+    """Only the last shard of a task has sequences below the full length."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 6000)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(("a", "word", "of", "text")) for _ in range(rng.choice((3, 40, 700, 9000)))) if i % 9 else None) for i in range(120)]
+    got = packing.pack(docs(spark, rows).coalesce(1).repartition(4), WORD, with_ids=True).collect()
+    by_doc = check_packing(got, [ids_of(WORD, t) for _, t in rows])
+    for key, text in rows:
+        [pieces] = [v for (k, _), v in by_doc.items() if k == key]
+        assert [i for r in sorted(pieces, key=lambda r: r.start) for i in r.ids] == ids_of(WORD, text)
+    size = {}
+    for r in got:
+        size[r.sequence_id] = size.get(r.sequence_id, 0) + r.length
+    short = [q >> 33 for q, n in size.items() if n < packing.SEQUENCE_TOKENS]
+    assert len(short) <= 12 * len(set(short)) and all(short.count(t) == len({n for q, n in size.items() if q >> 33 == t and n < packing.SEQUENCE_TOKENS}) for t in set(short))
+
+
+def test_clashing_hashes_do_not_make_a_piece(monkeypatch):
+    monkeypatch.setattr(token_counts, "_B", np.uint64(1))  # a hash that anagrams share
+    counter = token_counts.UnigramCounter([("▁ab", -1.0), ("▁", -2.0), ("a", -3.0), ("b", -3.0), ("ab", -4.0)])
+    words = ["▁ba", "▁ab", "▁aab", "▁abba"]
+    assert counter.trie(words) == [counter.one(w) for w in sorted(words)]

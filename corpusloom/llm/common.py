@@ -58,6 +58,13 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def inner(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns called c0, c1, ... in order, and their names by the old ones,
+    so that an operator's own columns clash with none; ``toDF`` gives the old names back."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(reversed(df.columns), reversed(names)))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give Python-heavy maps a task for each core when the input is one small file.
 

@@ -12,8 +12,9 @@ the same principle holds; nothing is dropped.
 
 A null or empty text, or one of white space only, has fingerprint zero and links like any
 other. Rows that repeat a doc_id stay separate rows of the same component. A null doc_id
-keeps its row; its component is the smallest doc_id that it reaches, null if none. An
-empty table gives no rows.
+keeps its row; its component is the smallest doc_id that it reaches, null if none. Texts of
+any length are read whole. An empty table gives no rows. Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, spread
+from .common import cut, inner, spread
 from .components import connected_components
 
 MAX_BITS = 4
@@ -39,10 +40,10 @@ _OFFSETS = tuple(sum(WIDTHS[:i]) for i in range(5))
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def simhash(text: str | None, words: int, lanes: int = 1) -> list[int]:
-    """Signed 64-bit lanes; bit i of the first is set if it is set in over half of the
-    shingles' XXH64 values (seed 42), further lanes take hashes of those values."""
-    return _bits(_hashes(text, words), lanes)
+def simhash(text: str | None, words: int) -> int:
+    """The 64 bits as a signed integer; a bit is set if it is set in over half of the
+    shingles' XXH64 values (seed 42)."""
+    return _bits(_hashes(text, words))
 
 
 def _hashes(text: str | None, words: int) -> np.ndarray:
@@ -53,19 +54,18 @@ def _hashes(text: str | None, words: int) -> np.ndarray:
     return np.fromiter((hash64(joined(found[i : i + words]), 42) for i in range(n)), dtype="<u8", count=n)
 
 
-def _bits(hashes: np.ndarray, lanes: int = 1) -> list[int]:
-    total = np.zeros((lanes, 64), dtype=np.int64)
+def _bits(hashes: np.ndarray) -> int:
+    total = np.zeros(64, dtype=np.int64)
     for first in range(0, len(hashes), 1 << 18):
         h = hashes[first : first + (1 << 18)]
-        for lane in range(lanes):
-            total[lane] += np.unpackbits(_rehash(h, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.ascontiguousarray(np.packbits(2 * total > len(hashes), axis=1, bitorder="little")).view("<i8").ravel().tolist()
+        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def _fingerprint_map(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [simhash(t.as_py(), words)[0] for t in batch.column(1)]
+            prints = [simhash(t.as_py(), words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "print"])
 
     return run
@@ -147,105 +147,6 @@ def near_duplicates(docs: DataFrame, words: int = 4, id_column: str = "doc_id",
 
 
 # --------------------------------------------------------------------- deduplication
-#: Lanes of 64 bits in a wide fingerprint, and the bits in which near copies may differ:
-#: what shingle sets of Jaccard likeness 0.8 are expected to differ in, 256 acos(8 / 9) / pi,
-#: give or take 6.
-LANES, WIDE_BITS = 4, 39
-#: Orders in which wide fingerprints are sorted, and neighbours each is compared with.
-ORDERS, NEIGHBOURS = 32, 32
-
-_WIDE = ["p0", "p1", "p2", "p3"]
-_GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _rehash(h: np.ndarray, lane: int) -> np.ndarray:
-    """Further hashes of a shingle from its first; lane 0 is the hash itself."""
-    if not lane:
-        return h
-    with np.errstate(over="ignore"):
-        x = h + _GOLDEN * np.uint64(lane)
-        x = (x ^ (x >> np.uint64(30))) * _M1
-        x = (x ^ (x >> np.uint64(27))) * _M2
-        return x ^ (x >> np.uint64(31))
-
-
-def _wide_map(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = [simhash(t.as_py(), words, LANES) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([p[i] for p in prints], pa.int64()) for i in range(LANES)]], names=["id", *_WIDE])
-
-    return run
-
-
-def _order_map():
-    """Each fingerprint once for every order: its first 64 bits there, to sort by."""
-    turns = [np.random.default_rng(t).permutation(64 * LANES)[:64] for t in range(ORDERS)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(LANES)], axis=1).astype("<i8")
-            bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")
-            for t, turn in enumerate(turns):
-                keys = np.ascontiguousarray(np.packbits(bits[:, turn], axis=1)).view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, dtype=np.int32)), pa.array(keys.astype(np.int64)), *batch.columns], names=["turn", "key", "id", *_WIDE])
-
-    return run
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smallest node of its component): as few as join the same nodes."""
-    nodes, local = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = local[: len(a)], local[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        new = new[new]
-        if (new == label).all():
-            on = label != np.arange(len(nodes))
-            return nodes[on], nodes[label[on]]
-        label = new
-
-
-def _neighbour_map():
-    """Rows sorted by (turn, key): links between near neighbours, as a forest a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            turn, ids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            prints = np.stack([batch.column(3 + i).to_numpy() for i in range(LANES)], axis=1).view(np.uint64)
-            if held is not None:
-                turn, ids, prints = (np.concatenate(p) for p in zip(held, (turn, ids, prints)))
-            pairs = []
-            for lag in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
-                apart = np.bitwise_count(prints[lag:] ^ prints[:-lag]).sum(axis=1)
-                on = np.flatnonzero((apart <= WIDE_BITS) & (turn[lag:] == turn[:-lag]))
-                pairs.append((ids[on], ids[on + lag]))
-            held = turn[-NEIGHBOURS:], ids[-NEIGHBOURS:], prints[-NEIGHBOURS:]
-            a, b = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, dtype=np.int64) for i in (0, 1))
-            if len(a):
-                a, b = _forest(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return run
-
-
-def wide_links(classes: DataFrame) -> DataFrame:
-    """(a, b): edges that join the near copies among rows (id, p0, p1, p2, p3).
-
-    Fingerprints are sorted in ``ORDERS`` fixed orders of their bits and compared with their
-    next ``NEIGHBOURS``; near copies share a long prefix in some order. The work is linear
-    in the rows and dealt by ranges, so a large group of copies neither makes pairs of all
-    its members nor meets in one task.
-    """
-    rows = classes.mapInArrow(_order_map(), "turn int, key long, id long, p0 long, p1 long, p2 long, p3 long")
-    return rows.repartitionByRange("turn", "key").sortWithinPartitions("turn", "key").mapInArrow(_neighbour_map(), "a long, b long")
-
-
 # Exact likeness: prefixes of the shingle sets name the candidates, the sets decide.
 #: Near copies share at least 4 of 5 shingles of their union; the tests are in whole numbers.
 LIKENESS = (4, 5)
@@ -253,6 +154,8 @@ LIKENESS = (4, 5)
 #: more sampled documents, the ``MAX_COMMON`` most frequent of them, come last. Any order
 #: gives the same links; this one keeps common passages out of the prefixes.
 SAMPLE, COMMON, MAX_COMMON = 16, 16, 1 << 17
+#: Unlike sets that share one key beyond which a second shared shingle is asked for.
+CROWDED = 256
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -267,7 +170,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def _set_map(words: int, common):
     """(id, t, node, print, size, keys) of every row; the keys are the first shingles of its
-    set, as many as a near copy cannot all lack. A set that a task meets again has none."""
+    set, as many as a near copy shares two of, so that it shares one of all but the last. A
+    set that a task meets again has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_count = common.value
@@ -281,7 +185,7 @@ def _set_map(words: int, common):
                     hashes = _hashes(text.as_py(), words)
                     x = np.unique(hashes)
                     nodes.append(_node(x))
-                    prints.append(_bits(hashes)[0])
+                    prints.append(_bits(hashes))
                     sizes.append(len(x))
                     if not len(x) or nodes[-1] in seen:
                         keys.append(x[:0])
@@ -290,7 +194,7 @@ def _set_map(words: int, common):
                     if len(known):
                         at = np.minimum(np.searchsorted(known, x), len(known) - 1)
                         x = x[np.argsort(np.where(known[at] == x, sorter[at] + 1, 0), kind="stable")]
-                    keys.append(x[: len(x) - _least(len(x)) + 1])
+                    keys.append(x[: len(x) - _least(len(x)) + 2])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), _lists(keys)], names=["id", "t", "node", "print", "size", "keys"])
 
     return run
@@ -318,12 +222,22 @@ def _alike(shared: Column, a: Column, b: Column) -> Column:
     return sum(LIKENESS) * shared >= LIKENESS[0] * (a + b)
 
 
-def _promising(pairs: DataFrame) -> DataFrame:
+def _sizes_fit() -> Column:
+    """Whether sets of size_a and size_b shingles can be near copies at all."""
+    return (F.col("size_a") * LIKENESS[1] >= F.col("size_b") * LIKENESS[0]) & (F.col("size_b") * LIKENESS[1] >= F.col("size_a") * LIKENESS[0])
+
+
+def _promising(pairs: DataFrame, uncounted: DataFrame | None = None) -> DataFrame:
     """(a, b) of the pairs (a, size_a, b, size_b), one row a shared prefix key, that may be
     near copies. Up to the earlier end of both prefixes they share no more than was counted,
-    beyond it no more than that set has left."""
+    beyond it no more than that set has left. ``uncounted`` (node, more) says how many keys
+    of a node ``pairs`` leaves out."""
     left = lambda n: F.ceil(LIKENESS[0] * F.col(n) / LIKENESS[1]) - 1
-    counted = pairs.where((F.col("size_a") * LIKENESS[1] >= F.col("size_b") * LIKENESS[0]) & (F.col("size_b") * LIKENESS[1] >= F.col("size_a") * LIKENESS[0])).groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("n"))
+    counted = pairs.where(_sizes_fit()).groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("n"))
+    if uncounted is not None:
+        for k in "ab":
+            counted = counted.join(uncounted.select(F.col("node").alias(k), F.col("more").alias(f"more_{k}")), k, "left")
+        counted = counted.withColumn("n", F.col("n") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0))))
     return counted.where(_alike(F.col("n") + F.greatest(left("size_a"), left("size_b")), F.col("size_a"), F.col("size_b"))).select("a", "b")
 
 
@@ -345,28 +259,48 @@ def _common(source: DataFrame, words: int) -> np.ndarray:
     return np.array([r[0] for r in top.collect()][::-1], dtype=np.int64).view(np.uint64)
 
 
+def _shared(index: DataFrame, value: str, key: list[str]) -> DataFrame:
+    """The rows of ``index`` whose key is that of more than one ``value``, with the least of
+    them as lo. The least and greatest are aggregated before the shuffle, and the join has
+    one row a key on one side, so a key of many rows can be split."""
+    ends = index.groupBy(*key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    return index.join(ends.drop("hi"), key)
+
+
 def likeness_links(source: DataFrame, prints: DataFrame, rows: DataFrame, known: DataFrame, words: int) -> DataFrame:
     """(a, b): edges that, with ``known`` ones, join all nodes of Jaccard likeness 0.8.
 
     ``source`` has (_id, _t, text), ``prints`` the prefixes, ``rows`` a row (id, t) of every
-    node. Near copies share a key of their prefixes. First every set is compared with the smallest node of its keys,
-    which joins groups of copies without making all their pairs; then, for keys that still
-    hold several components, all pairs of unlike components are compared. No key is dropped
-    and no pair that may reach the likeness is left out.
+    node. Near copies share a key of their prefixes. First every set is compared with the
+    smallest node of its keys, which joins groups of copies without making all their pairs;
+    then, for keys that still hold several components, unlike components are compared: all
+    of them if the key has at most ``CROWDED`` rows, else those that share one more shingle
+    of the prefixes, as near copies do. No key is dropped and no pair that may reach the
+    likeness is left out.
     """
-    index = prints.select("node", "size", F.explode("keys").alias("key"))
-    key = Window.partitionBy("key")
-    held = index.select("*", F.min("node").over(key).alias("lo"), F.max("node").over(key).alias("hi")).where("lo < hi")
-    held = cut(held.select("key", "node", "size", "lo").distinct())
+    # a set of n shingles needs n - least + 1 keys; one more is at hand for crowded keys
+    first_keys = F.slice("keys", F.lit(1), F.greatest(F.size("keys") - F.when(F.col("size") > 1, 1).otherwise(0), F.lit(0)))
+    index = prints.select("node", "size", F.explode(first_keys).alias("key"))
+    held = cut(_shared(index, "node", ["key"]).select("key", "node", "size", "lo").distinct())
     lows = held.where("node = lo").select("key", F.col("node").alias("a"), F.col("size").alias("size_a"))
     stars = held.where("node <> lo").select("key", F.col("node").alias("b"), F.col("size").alias("size_b")).join(lows, "key")
     first = cut(_verified(_promising(stars), rows, source, words))
     groups = connected_components(known.union(first))
     told = held.join(groups, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("c"))
-    open_keys = cut(told.select("*", F.min("c").over(key).alias("lo"), F.max("c").over(key).alias("hi")).where("lo < hi").drop("lo", "hi"))
-    x, y = (open_keys.select("key", F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("c").alias(f"c_{k}")) for k in "ab")
-    rest = x.join(y, "key").where("a < b and c_a <> c_b")
-    return first.union(_verified(_promising(rest), rows, source, words))
+    open_keys = cut(_shared(told, "c", ["key"]).select("key", "node", "size", "c", "n"))
+
+    def paired(keys: DataFrame, on: list[str]) -> DataFrame:
+        x, y = (keys.select(*on, F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("c").alias(f"c_{k}")) for k in "ab")
+        return x.join(y, on).where("a < b and c_a <> c_b")
+
+    calm, crowded = paired(open_keys.where(F.col("n") <= CROWDED), ["key"]), open_keys.where(F.col("n") > CROWDED).drop("n")
+    if not crowded.take(1):
+        return first.union(_verified(_promising(calm), rows, source, words))
+    rest = _promising(calm, crowded.groupBy("node").agg(F.count("*").alias("more")))
+    second = prints.where(F.size("keys") > 0).select("node", F.explode("keys").alias("second")).distinct()
+    twice = crowded.join(second, "node").where("second <> key")
+    rest = rest.union(paired(twice, ["key", "second"]).where(_sizes_fit()).select("a", "b")).distinct()
+    return first.union(_verified(rest, rows, source, words))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -374,11 +308,14 @@ def deduplicate(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text
 
     Two rows are near copies if their sets of shingles have a Jaccard likeness of 0.8 or
     more, found exactly at any table size, or their SimHashes differ in at most ``MAX_BITS``
-    bits. A row is its id and its text: rows of one id with unlike texts stay apart. Rows
-    without an id follow all rows with one. Sets are told apart by 64-bit hashes.
+    bits. A row is its id and its text: rows of one id with unlike texts stay apart; of rows
+    equal in both, one stays, whichever it is. Rows without an id follow all rows with one.
+    Sets are told apart by 64-bit hashes. Input columns may have any names and are returned
+    as they are.
     """
-    text = F.col(text_column).cast("string")
-    marked = docs.withColumn("_id", F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1))).withColumn("_t", F.xxhash64(text))
+    outer, column = inner(docs)
+    text = F.col(column[text_column]).cast("string")
+    marked = outer.withColumn("_id", F.coalesce(F.col(column[id_column]).cast("long"), F.lit((1 << 63) - 1))).withColumn("_t", F.xxhash64(text))
     source = spread(marked.select("_id", "_t", text.alias("text")))
     common = docs.sparkSession.sparkContext.broadcast(_common(source, words))  # at most 1 MB
     prints = cut(source.mapInArrow(_set_map(words, common), "id long, t long, node long, print long, size int, keys array<long>"))
@@ -390,4 +327,4 @@ def deduplicate(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text
     groups = connected_components(known.union(likeness_links(source, prints, rows, known, words)))
     named = rows.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min(F.struct("id", "t")).alias("r"))
     kept = named.select(F.col("r.id").alias("_id"), F.col("r.t").alias("_t"))
-    return marked.join(kept, ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"]).select(*docs.columns)
+    return marked.join(kept, ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"]).select(*outer.columns).toDF(*docs.columns)

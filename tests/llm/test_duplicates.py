@@ -184,22 +184,6 @@ def test_deduplicate_joins_near_copies_and_leaves_the_rest(spark):
     assert kept == {k for k, _ in rows} - near
 
 
-def test_wide_links_lose_no_crowd(spark):
-    """A crowd of thousands of near copies, dealt over many partitions, is one component."""
-    rng = np.random.default_rng(8)
-    center = rng.integers(-(2**63), 2**63 - 1, 4)
-    prints = []
-    for _ in range(3000):
-        bits = np.zeros(256, dtype=np.uint8)
-        bits[rng.choice(256, 12, replace=False)] = 1
-        prints.append(center ^ np.packbits(bits).view("<i8"))
-    rows = [(i, *map(int, p)) for i, p in enumerate(prints)] + [(9000 + i, *map(int, rng.integers(-(2**63), 2**63 - 1, 4))) for i in range(500)]
-    df = spark.createDataFrame(rows, "id long, p0 long, p1 long, p2 long, p3 long").repartition(16)
-    edges = simhash.wide_links(df)
-    groups = {r.node: r.component for r in components.connected_components(edges).collect()}
-    assert groups == {i: 0 for i in range(3000)} and edges.count() < 64 * len(rows)
-
-
 def jaccard_groups(rows):
     sets = {}
     for i, text in rows:
@@ -211,10 +195,12 @@ def jaccard_groups(rows):
     return smallest(sets, pairs + close), len(pairs)
 
 
-@pytest.mark.parametrize("common", [simhash.COMMON, 2])
-def test_deduplicate_is_exact_at_the_likeness(spark, monkeypatch, common):
-    """Copies on both sides of likeness 0.8 (or within 4 bits), and a passage that many texts share."""
+@pytest.mark.parametrize("common,crowded", [(simhash.COMMON, simhash.CROWDED), (2, simhash.CROWDED), (simhash.COMMON, 1)])
+def test_deduplicate_is_exact_at_the_likeness(spark, monkeypatch, common, crowded):
+    """Copies on both sides of likeness 0.8 (or within 4 bits), and a passage that many texts
+    share; with ``CROWDED`` 1 every key asks for a second shared shingle."""
     monkeypatch.setattr(simhash, "COMMON", common)
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     monkeypatch.setattr(simhash, "SAMPLE", 1 if common == 2 else 16)
     rng = random.Random(21)
     vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(3000)]

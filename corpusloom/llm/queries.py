@@ -80,7 +80,7 @@ ORACLES: dict[str, str] = {
         c AS (SELECT origin, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY origin ORDER BY k) AS cdf FROM r, range(0, 2000) AS t(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 30)),
         d AS (SELECT *, coalesce(source, chr(0)) AS origin, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS key FROM documents),
         n AS (SELECT d.*, (SELECT count(*) FROM c WHERE c.origin = d.origin AND c.cdf <= {_unit("'mix|' || key")}) AS times FROM d)
-        SELECT doc_id, text, lang, source, n_chars, CAST(k AS INT) AS copy, {_unit("'mix-order|' || key || '|' || CAST(k AS VARCHAR)")} AS order_key FROM n, range(1, 2000) AS t(k) WHERE k <= times""",
+        SELECT doc_id, text, lang, source, n_chars, CAST(k AS BIGINT) AS copy, {_unit("'mix-order|' || key || '|' || CAST(k AS VARCHAR)")} AS order_key FROM n, range(1, 2000) AS t(k) WHERE k <= times""",
     "op8_hnsw_near_duplicates": """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
         l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93::DOUBLE),
         r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),

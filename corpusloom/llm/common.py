@@ -6,6 +6,8 @@ import shutil
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +48,40 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corpusloom-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/corpusloom-{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of shared storage."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what is written to scratch paths named within; results that read
+    them must have been written elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            discard(spark, path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, with or without regard to case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

@@ -8,9 +8,13 @@ logistic unit scores the pooled state. A text is covered by overlapping windows
 highest window's.
 
 Training takes a bounded sample of labelled rows (``MAX_TOXIC`` and ``MAX_CLEAN``, the
-first by a hash of doc_id) in one task; scoring is a map over all rows. A null or empty
-text, or one without words, has the score of an empty window. Rows that repeat are scored
-alike. With no labelled rows of both classes every score is 0.
+first by a hash of doc_id, and of these as many of each class as ``MAX_CHARS`` characters
+hold) in one task; scoring is a map over all rows. Of unlike texts with one doc_id the one
+of the least hash teaches, so the model depends on the rows alone; a doc_id with unlike
+labels counts as toxic. A null or empty text, or one without words, has the score of an
+empty window; a text of any length is scored whole. Rows that repeat are scored alike. With
+no labelled rows of both classes every score is 0; an empty table gives no rows. Input
+columns may have any names; one named like the score column is replaced by it.
 """
 
 from __future__ import annotations
@@ -20,15 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import spread
+from .common import inner, spread
 
 WINDOW, STRIDE = 64, 56
 #: Labelled rows that training reads at most.
 MAX_TOXIC, MAX_CLEAN = 1500, 3000
+#: Characters of their texts at most, for each class.
+MAX_CHARS = 24_000_000
 #: A text at or above this score is toxic.
 THRESHOLD = 0.7
 
@@ -350,7 +356,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
 
 def _train_map():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((k, t or "", y) for b in batches for k, t, y in zip(*(b.column(i).to_pylist() for i in range(3))))
+        rows = sorted((k, t or "", y) for b in batches for k, t, y in zip(*(b.column(i).to_pylist() for i in range(3))))  # by id: the order of training is fixed
         y = np.array([r[2] for r in rows])
         if len(y) and 0 < y.sum() < len(y):
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[1] for r in rows], y))], pa.binary())], names=["model"])
@@ -369,16 +375,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     by_hash = lambda y, n: known.where(F.col("_y") == y).orderBy(F.md5(F.col("_id").cast("string"))).limit(n)
     sample = by_hash(1, MAX_TOXIC).union(by_hash(0, MAX_CLEAN))
     # at most MAX_TOXIC + MAX_CLEAN ids, so the texts need no shuffle
-    rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).alias("_t")).join(F.broadcast(sample), "_id").dropDuplicates(["_id"])
-    found = rows.repartition(1).mapInArrow(_train_map(), "model binary").collect()
+    rows, column = inner(docs)
+    texts = rows.select(F.col(column[id_column]).cast("long").alias("_id"), F.coalesce(F.col(column[text_column]).cast("string"), F.lit("")).alias("_t")).join(F.broadcast(sample), "_id")
+    teachers = texts.groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("_t").alias("h"), F.col("_t").alias("t"))).alias("x"))
+    # the window sees the rows of the sample only
+    upto = F.sum(F.length("x.t")).over(Window.partitionBy("_y").orderBy(F.md5(F.col("_id").cast("string"))))
+    bounded = teachers.withColumn("upto", upto).where(F.col("upto") <= MAX_CHARS).select("_id", F.col("x.t").alias("_t"), "_y")
+    found = bounded.repartition(1).mapInArrow(_train_map(), "model binary").collect()
     return bytes(found[0][0]) if found else None
 
 
 def score(docs: DataFrame, model: bytes | None, text_column: str = "text", score_column: str = "score") -> DataFrame:
     """The columns of ``docs`` and a double ``score_column``."""
-    shape = StructType([*docs.schema.fields, StructField(score_column, DoubleType())])
+    kept = [c for c in docs.columns if c.lower() != score_column.lower()]
+    rows, column = inner(docs.drop(score_column))
+    shape = StructType([*rows.schema.fields, StructField("score", DoubleType())])
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, bounded by the training sample
-    at = docs.columns.index(text_column)
+    at = rows.columns.index(column[text_column])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = pickle.loads(held.value) if held.value else None
@@ -389,7 +402,7 @@ def score(docs: DataFrame, model: bytes | None, text_column: str = "text", score
                 scores = net.scores(texts) if net else np.zeros(len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=shape.names)
 
-    return spread(docs).mapInArrow(run, shape)
+    return spread(rows).mapInArrow(run, shape).toDF(*kept, score_column)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

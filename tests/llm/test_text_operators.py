@@ -247,6 +247,7 @@ def test_gradients():
 
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
+    from corpusloom.llm.common import staged
 
     rows = toxic_corpus(240, 3)
     docs = [(i, t, "en", f"s{i % 3}", len(t)) for i, t, _ in rows] + [(500, rows[1][1], "en", "s0", 1), (501, rows[1][1].upper(), "en", "s0", 1), (502, None, "en", "s1", 0), (503, "write to ann.lee@mail.example.com", "en", None, 5)]
@@ -255,7 +256,7 @@ def test_pipeline(spark, tmp_path):
     d = spark.read.parquet(str(tmp_path / "documents.parquet"))
     columns, seen = d.columns, [d]
     for name, stage in cp.STAGES:
-        seen.append(cp.staged(stage(spark, seen[-1], str(tmp_path)), "test"))
+        seen.append(staged(stage(spark, seen[-1], str(tmp_path)), "test"))
     assert all(s.columns == columns for s in seen[:-1])
     ids = [sorted(r.doc_id for r in s.select("doc_id").collect()) for s in seen]
     toxic = {i for i, _, y in rows if y}

@@ -154,6 +154,8 @@ LIKENESS = (4, 5)
 #: more sampled documents, the ``MAX_COMMON`` most frequent of them, come last. Any order
 #: gives the same links; this one keeps common passages out of the prefixes.
 SAMPLE, COMMON, MAX_COMMON = 16, 16, 1 << 17
+#: Slots of a set's parity bits. Two sets differ in at least as many shingles as slots.
+PARITY = 512
 #: Unlike sets that share one key beyond which a second shared shingle is asked for.
 CROWDED = 256
 
@@ -163,13 +165,19 @@ def _node(shingles: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), 7))
 
 
+def _parity(shingles: np.ndarray) -> list[int]:
+    """For each of ``PARITY`` slots, whether an odd number of the set's shingles lies there."""
+    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, dtype=np.uint64)]).view(np.int64), pa.int64()))
 
 
 def _set_map(words: int, common):
-    """(id, t, node, print, size, keys) of every row; the keys are the first shingles of its
+    """(id, t, node, print, size, keys, parity) of every row; the keys are the first shingles of its
     set, as many as a near copy shares two of, so that it shares one of all but the last. A
     set that a task meets again has none."""
 
@@ -180,13 +188,14 @@ def _set_map(words: int, common):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                nodes, prints, sizes, keys = [], [], [], []
+                nodes, prints, sizes, keys, parity = [], [], [], [], []
                 for text in part.column(2):
                     hashes = _hashes(text.as_py(), words)
                     x = np.unique(hashes)
                     nodes.append(_node(x))
                     prints.append(_bits(hashes))
                     sizes.append(len(x))
+                    parity.append(_parity(x))
                     if not len(x) or nodes[-1] in seen:
                         keys.append(x[:0])
                         continue
@@ -195,16 +204,39 @@ def _set_map(words: int, common):
                         at = np.minimum(np.searchsorted(known, x), len(known) - 1)
                         x = x[np.argsort(np.where(known[at] == x, sorter[at] + 1, 0), kind="stable")]
                     keys.append(x[: len(x) - _least(len(x)) + 2])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), _lists(keys)], names=["id", "t", "node", "print", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), _lists(keys), pa.array(parity, pa.list_(pa.int64()))], names=["id", "t", "node", "print", "size", "keys", "parity"])
 
     return run
 
 
-def _member_map(words: int):
-    """(node, shingles) of every row's set."""
+#: Bits of the filters over text hashes, 2 MB. A filter only spares work: texts that pass it
+#: by chance are sorted out by joins, so its fixed size never changes a result.
+FILTER_BITS = 1 << 24
+
+
+def _filter(hashes: DataFrame, column: str):
+    """The hashes that occur in ``column``, as a broadcast bitmap of ``FILTER_BITS`` bits,
+    put together by the executors from buckets of 4 KB."""
+    place = F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1  # Spark's buckets begin at 1
+    buckets = hashes.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    bitmap = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for k, bits in buckets:
+        bitmap[(k - 1) * 4096 : k * 4096] = np.frombuffer(bits, dtype=np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def _passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes % FILTER_BITS
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _member_map(words: int, wanted=None):
+    """(node, shingles) of every row's set, or of those whose text hash passes a filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if wanted is not None:
+                batch = batch.filter(pa.array(_passes(wanted.value, batch.column(1).to_numpy())))
             for i in range(0, batch.num_rows, 256):
                 sets = [np.unique(_hashes(t.as_py(), words)) for t in batch.column(2).slice(i, 256)]
                 yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), _lists(sets)], names=["node", "shingles"])
@@ -212,6 +244,16 @@ def _member_map(words: int):
     return run
 
 
+def _filter_map(held, inside: bool):
+    """The rows whose text hash, the last column, passes a filter, or those that do not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_passes(held.value, batch.column(batch.num_columns - 1).to_numpy()) == inside))
+
+    return run
+
+
 def _least(n: int) -> int:
     """Shingles that a set of n shares with any near copy, at least."""
     return -(-LIKENESS[0] * n // LIKENESS[1])
@@ -242,11 +284,17 @@ def _promising(pairs: DataFrame, uncounted: DataFrame | None = None) -> DataFram
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, source: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are near copies."""
-    pairs = cut(pairs)
+    """The pairs (a, b) whose shingle sets are near copies. Pairs whose parity bits tell them
+    apart go first; of the rest, sets are made where their texts lie, so no text is shuffled."""
+    for k in "ab":
+        pairs = pairs.join(rows.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("parity").alias(f"parity_{k}")), k)
+    apart = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY // 64)), F.lit(0))
+    # sets of likeness r differ in (1 - r) / (1 + r) of their sizes' sum
+    pairs = cut(pairs.where(apart * sum(LIKENESS) <= (LIKENESS[1] - LIKENESS[0]) * (F.col("size_a") + F.col("size_b"))).select("a", "b"))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = source.join(rows.join(wanted, "node", "left_semi").select(F.col("id").alias("_id"), F.col("t").alias("_t")), ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"])
-    sets = cut(texts.select("_id", "_t", "text").mapInArrow(_member_map(words), "node long, shingles array<long>"))
+    texts = rows.join(wanted, "node", "left_semi")
+    sets = source.mapInArrow(_member_map(words, _filter(texts, "t")), "node long, shingles array<long>")
+    sets = cut(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
     a, b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return pairs.join(a, "a").join(b, "b").where(_alike(shared, F.size("set_a"), F.size("set_b"))).select("a", "b")
@@ -259,12 +307,15 @@ def _common(source: DataFrame, words: int) -> np.ndarray:
     return np.array([r[0] for r in top.collect()][::-1], dtype=np.int64).view(np.uint64)
 
 
-def _shared(index: DataFrame, value: str, key: list[str]) -> DataFrame:
+def _shared(index: DataFrame, value: str) -> DataFrame:
     """The rows of ``index`` whose key is that of more than one ``value``, with the least of
-    them as lo. The least and greatest are aggregated before the shuffle, and the join has
-    one row a key on one side, so a key of many rows can be split."""
-    ends = index.groupBy(*key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    return index.join(ends.drop("hi"), key)
+    them as lo. Aggregation and join share one shuffle; the join holds a row a key and
+    streams the others, however many one key has."""
+    dealt = index.repartition("key")
+    # both sides name all columns, so that their shuffle is the same
+    last = F.max(F.struct(value, *(c for c in index.columns if c not in ("key", value))))[value]
+    ends = dealt.groupBy("key").agg(F.min(value).alias("lo"), last.alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    return dealt.join(ends.drop("hi"), "key")
 
 
 def likeness_links(source: DataFrame, prints: DataFrame, rows: DataFrame, known: DataFrame, words: int) -> DataFrame:
@@ -281,13 +332,13 @@ def likeness_links(source: DataFrame, prints: DataFrame, rows: DataFrame, known:
     # a set of n shingles needs n - least + 1 keys; one more is at hand for crowded keys
     first_keys = F.slice("keys", F.lit(1), F.greatest(F.size("keys") - F.when(F.col("size") > 1, 1).otherwise(0), F.lit(0)))
     index = prints.select("node", "size", F.explode(first_keys).alias("key"))
-    held = cut(_shared(index, "node", ["key"]).select("key", "node", "size", "lo").distinct())
+    held = cut(_shared(index, "node").select("key", "node", "size", "lo").distinct())
     lows = held.where("node = lo").select("key", F.col("node").alias("a"), F.col("size").alias("size_a"))
     stars = held.where("node <> lo").select("key", F.col("node").alias("b"), F.col("size").alias("size_b")).join(lows, "key")
     first = cut(_verified(_promising(stars), rows, source, words))
     groups = connected_components(known.union(first))
     told = held.join(groups, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("c"))
-    open_keys = cut(_shared(told, "c", ["key"]).select("key", "node", "size", "c", "n"))
+    open_keys = cut(_shared(told, "c").select("key", "node", "size", "c", "n"))
 
     def paired(keys: DataFrame, on: list[str]) -> DataFrame:
         x, y = (keys.select(*on, F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("c").alias(f"c_{k}")) for k in "ab")
@@ -297,9 +348,14 @@ def likeness_links(source: DataFrame, prints: DataFrame, rows: DataFrame, known:
     if not crowded.take(1):
         return first.union(_verified(_promising(calm), rows, source, words))
     rest = _promising(calm, crowded.groupBy("node").agg(F.count("*").alias("more")))
-    second = prints.where(F.size("keys") > 0).select("node", F.explode("keys").alias("second")).distinct()
+    near = prints.where(F.size("keys") > 0).select("keys", "node")
+    near = near.mapInArrow(_filter_map(_filter(crowded, "node"), True), near.schema)
+    second = near.join(crowded.select("node").distinct(), "node", "left_semi").select("node", F.explode("keys").alias("second")).distinct()
     twice = crowded.join(second, "node").where("second <> key")
-    rest = rest.union(paired(twice, ["key", "second"]).where(_sizes_fit()).select("a", "b")).distinct()
+    both = paired(twice, ["key", "second"]).where(_sizes_fit()).groupBy("a", "b", "size_a", "size_b", "key").agg(F.count("*").alias("n"))
+    # here all that the longer prefixes share is counted, the key itself aside
+    left = F.greatest(*(F.ceil(LIKENESS[0] * F.col(k) / LIKENESS[1]) for k in ("size_a", "size_b"))) - 2
+    rest = rest.union(both.where(_alike(F.col("n") + 1 + left, F.col("size_a"), F.col("size_b"))).select("a", "b")).distinct()
     return first.union(_verified(rest, rows, source, words))
 
 
@@ -318,13 +374,21 @@ def deduplicate(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text
     marked = outer.withColumn("_id", F.coalesce(F.col(column[id_column]).cast("long"), F.lit((1 << 63) - 1))).withColumn("_t", F.xxhash64(text))
     source = spread(marked.select("_id", "_t", text.alias("text")))
     common = docs.sparkSession.sparkContext.broadcast(_common(source, words))  # at most 1 MB
-    prints = cut(source.mapInArrow(_set_map(words, common), "id long, t long, node long, print long, size int, keys array<long>"))
-    rows = cut(prints.groupBy("node").agg(F.min(F.struct("id", "t")).alias("r")).select("node", "r.id", "r.t"))
+    prints = cut(source.mapInArrow(_set_map(words, common), "id long, t long, node long, print long, size int, keys array<long>, parity array<long>"))
+    rows = cut(prints.groupBy("node").agg(F.min(F.struct("id", "t", "size", "parity")).alias("r")).select("node", "r.*"))
     firsts = cut(prints.groupBy("print").agg(F.min("node").alias("first")))
     same = prints.join(firsts, "print").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     x, y = firsts.select(F.col("print").alias("x"), F.col("first").alias("a")), firsts.select(F.col("print").alias("y"), F.col("first").alias("b"))
     known = cut(same.union(links(firsts.select("print")).join(x, "x").join(y, "y").select("a", "b")))
     groups = connected_components(known.union(likeness_links(source, prints, rows, known, words)))
     named = rows.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min(F.struct("id", "t")).alias("r"))
+    # rows that fall, and rows that repeat: only they meet in a shuffle, and what passes by chance
+    fallen = rows.select("id", "t").join(named.select("r.id", "r.t"), ["id", "t"], "left_anti")
+    # a text under two ids, or a set with two texts, has one row in ``rows``: the others fall too
+    others = prints.select("id", "t").join(rows.select("id", "t"), ["id", "t"], "left_anti")
+    repeated = prints.groupBy("id", "t").count().where("count > 1").select("id", "t")
+    some = _filter(fallen.union(others).union(repeated), "t")
     kept = named.select(F.col("r.id").alias("_id"), F.col("r.t").alias("_t"))
-    return marked.join(kept, ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"]).select(*outer.columns).toDF(*docs.columns)
+    alone = marked.mapInArrow(_filter_map(some, False), marked.schema)
+    met = marked.mapInArrow(_filter_map(some, True), marked.schema).join(kept, ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"])
+    return alone.select(*outer.columns).union(met.select(*outer.columns)).toDF(*docs.columns)

@@ -1,51 +1,84 @@
 """Exact vector search, BM25, hybrid merge and rerank for a batch of queries.
 
-Queries are a stated set: ``queries(query_id, text)`` or ``queries(query_id, embedding)``.
-Everything else is partitioned by document. A vector search keeps the best k a partition
-and query before the one shuffle; BM25 keeps only tokens that some query holds before it
-counts anything.
+Queries are a stated set: ``queries(query_id, text)`` or ``queries(query_id, embedding)``,
+handled in blocks. Everything else is partitioned by document: a task scores its documents
+where they lie against a block of queries, keeps a running best k for each query over all
+its batches, and emits them once, so the one shuffle sees k rows a query and task. BM25
+counts the asked words of each document in one pass over the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.storage import cut
 
 K1, B = 1.5, 0.75
 #: How many more candidates than results are fetched from either side.
 SEMANTIC_FACTOR, KEYWORD_FACTOR = 5, 10
-#: Query vectors held by every task, a batch at most.
-MAX_QUERIES = 10_000
+#: Queries that a task holds at a time.
+BLOCK_QUERIES = 4096
+#: Documents scored at a time, and terms of a block that are multiplied at a time.
+STEP_ROWS, STEP_TERMS = 1024, 4096
+#: Candidate ids up to which they are broadcast to the texts (16 MB), instead of shuffled.
+BROADCAST_IDS = 1 << 21
 
+_SCORED = "query_id long, id long, score double"
 
-def _score_map(ids: list, matrix: np.ndarray, k: int, decimals: int):
-    """Best k rows of a partition for every query, ties at the rounding edge included."""
+
+class _Best:
+    """The k best (score, id) of each query so far; ties go to the smaller id."""
+
+    def __init__(self, ids: list[int], k: int):
+        self.ids, self.k = ids, k
+        self.scores, self.keys = [np.zeros(0)] * len(ids), [np.zeros(0, dtype=np.int64)] * len(ids)
+
+    def add(self, scores: np.ndarray, keys: np.ndarray, least: float) -> None:
+        """``scores`` (query, row) of rows ``keys``; those up to ``least`` are no candidates."""
+        for q, row in enumerate(scores):
+            held = self.scores[q]
+            on = np.flatnonzero(row > least) if len(held) < self.k else np.flatnonzero(row >= held[-1])
+            if not len(on):
+                continue
+            s, i = np.concatenate([held, row[on]]), np.concatenate([self.keys[q], keys[on]])
+            order = np.lexsort((i, -s))[: self.k]
+            self.scores[q], self.keys[q] = s[order], i[order]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for q, s, i in zip(self.ids, self.scores, self.keys):
+            if len(s):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), q), pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "id", "score"])
+
+
+def _blocks(rows: list, size: int = BLOCK_QUERIES) -> list[list]:
+    return [rows[i : i + size] for i in range(0, len(rows), size)]
+
+
+def _united(frames: list[DataFrame], like: DataFrame) -> DataFrame:
+    return reduce(DataFrame.union, frames) if frames else like.sparkSession.createDataFrame([], _SCORED)
+
+
+def _cosine_map(ids: list, matrix: np.ndarray, k: int, decimals: int):
     unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    slack = 10.0**-decimals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_s, best_i = np.zeros((len(ids), 0)), np.zeros(0, dtype=np.int64)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        top = _Best(ids, k)
         for batch in batches:
-            vectors = batch.column(1)
-            keys = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-            rows = np.stack([np.asarray(v, dtype=np.float64) for v in vectors.to_pylist()]) if batch.num_rows else np.zeros((0, matrix.shape[1]))
-            norm = np.linalg.norm(rows, axis=1)
-            scores = np.divide(rows @ unit.T, norm[:, None], out=np.zeros((len(rows), len(ids))), where=norm[:, None] > 0).T
-            for q in range(len(ids)):
-                s = scores[q]
-                if len(s) > k:
-                    edge = np.partition(s, len(s) - k)[len(s) - k] - slack
-                    keep = np.flatnonzero(s >= edge)
-                else:
-                    keep = np.arange(len(s))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), ids[q]), pa.int64()), pa.array(keys[keep], pa.int64()), pa.array(s[keep], pa.float64())], names=["query_id", "id", "raw"])
+            for at in range(0, batch.num_rows, STEP_ROWS):
+                part = batch.slice(at, STEP_ROWS)
+                rows = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                norm = np.linalg.norm(rows, axis=1)[:, None]
+                scores = np.divide(rows @ unit.T, norm, out=np.zeros((len(rows), len(ids))), where=norm > 0)
+                top.add(np.round(scores.T, decimals), part.column(0).to_numpy(), -np.inf)
+        yield from top.rows()
 
     return run
 
@@ -53,16 +86,21 @@ def _score_map(ids: list, matrix: np.ndarray, k: int, decimals: int):
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", decimals: int = 6) -> DataFrame:
     """(query_id, id, score, rank) of the k most similar rows by cosine; zero vectors score 0.
 
-    Filter ``vectors`` before the call: the filter reaches the scan.
+    Vectors that are null, hold null components or have another length than a query cannot
+    be compared with it. Filter ``vectors`` before the call: the filter reaches the scan.
     """
-    batch = queries.select("query_id", "embedding").limit(MAX_QUERIES + 1).collect()
-    if len(batch) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} query vectors a batch")
-    ids = [r[0] for r in batch]
-    matrix = np.array([r[1] for r in batch], dtype=np.float64).reshape(len(batch), -1)
-    rows = vectors.where(F.col(vector_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"))
-    found = rows.mapInArrow(_score_map(ids, matrix, k, decimals), "query_id long, id long, raw double")
-    return best(found.select("query_id", "id", F.round("raw", decimals).alias("score")), k)
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    asked = queries.where(whole("embedding")).select("query_id", "embedding").collect()  # the stated set
+    by_size: dict[int, list] = {}
+    for row in asked:
+        by_size.setdefault(len(row[1]), []).append(row)
+    found = []
+    for size, rows in by_size.items():
+        fit = vectors.where(whole(vector_column) & (F.size(vector_column) == size)).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"))
+        for block in _blocks(rows):
+            matrix = np.array([r[1] for r in block], dtype=np.float64).reshape(len(block), -1)
+            found.append(fit.mapInArrow(_cosine_map([r[0] for r in block], matrix, k, decimals), _SCORED))
+    return best(_united(found, vectors), k)
 
 
 def best(scored: DataFrame, k: int) -> DataFrame:
@@ -71,31 +109,84 @@ def best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_column: str = "doc_id", text_column: str = "text", decimals: int = 6) -> DataFrame:
-    """(query_id, id, score) of every document that shares a word with a query.
+def _term_map(terms: list[str]):
+    """(id, length, term, tf): how often a document holds each asked term, by its number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = pa.array(terms, pa.string())
+        for batch in batches:
+            words, n = batch.column(1), batch.num_rows
+            sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)
+            at = pc.index_in(words.flatten(), value_set=values)
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            pairs, counts = np.unique(np.repeat(np.arange(n), sizes)[known] * len(terms) + pc.drop_null(at).to_numpy().astype(np.int64), return_counts=True)
+            ends = np.searchsorted(pairs, np.arange(n + 1) * len(terms)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (pairs % max(1, len(terms)), counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32)), *lists], names=["id", "length", "term", "tf"])
+
+    return run
+
+
+def _bm25_map(ids: list, weight: np.ndarray, k: int, mean: float, decimals: int):
+    """``weight`` (term, query) is how often a query holds a term, times its idf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = _Best(ids, k)
+        used = np.flatnonzero(weight.any(axis=1))
+        for batch in batches:
+            for first in range(0, batch.num_rows, STEP_ROWS):
+                part = batch.slice(first, STEP_ROWS)
+                n = part.num_rows
+                row = np.repeat(np.arange(n), pc.list_value_length(part.column(2)).to_numpy())
+                term, tf = (part.column(i).flatten().to_numpy().astype(np.int64) for i in (2, 3))
+                length = part.column(1).to_numpy()[row]
+                value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+                scores = np.zeros((n, len(ids)))
+                for at in range(0, len(used), STEP_TERMS):
+                    some = used[at : at + STEP_TERMS]
+                    place = np.full(len(weight), -1)
+                    place[some] = np.arange(len(some))
+                    on = place[term] >= 0
+                    dense = np.zeros((n, len(some)))
+                    dense[row[on], place[term[on]]] = value[on]
+                    scores += dense @ weight[some]
+                top.add(np.round(scores.T, decimals), part.column(0).to_numpy(), 0.0)
+        yield from top.rows()
+
+    return run
+
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 50, id_column: str = "doc_id", text_column: str = "text", decimals: int = 6) -> DataFrame:
+    """(query_id, id, score, rank): the k best, filled up with documents of score 0 in id order.
 
     A word that a query repeats counts as often. N, the mean length and document
     frequencies are those of ``docs``, so filter it first.
     """
-    words = docs.select(F.col(id_column).cast("long").alias("id"), tokens(text_column).alias("words"))
-    sized = words.select("id", F.size("words").alias("length"), "words")
-    totals = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    terms = asked.select("term").distinct()
-    tf = sized.select("id", "length", F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    part = asked.join(df, "term").crossJoin(F.broadcast(totals)).select("query_id", "term", "times", "mean", F.log(F.lit(1.0) + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))).alias("idf"))
-    tf_part = F.col("tf") * F.lit(K1 + 1.0) / (F.col("tf") + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("length") / F.col("mean")))
-    return tf.join(part, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("times") * F.col("idf") * tf_part), decimals).alias("score"))
-
-
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(query_id, id, score, rank): the k best, filled up with documents of score 0 in id order."""
-    scored = bm25(docs, queries, id_column, text_column)
+    # the stated set of queries, and with it the asked terms
+    asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")).collect()
+    terms = sorted({r.term for r in asked})
+    number = {t: i for i, t in enumerate(terms)}
+    source = docs.select(F.col(id_column).cast("long").alias("id"), tokens(text_column).alias("words"))
+    counted = cut(source.mapInArrow(_term_map(terms), "id long, length int, term array<int>, tf array<int>"))
+    n, mean = counted.agg(F.count("*"), F.avg("length")).first()
+    df = np.zeros(len(terms))
+    for term, count in counted.select(F.explode("term").alias("term")).groupBy("term").count().collect():  # asked terms
+        df[term] = count
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    by_query: dict[int, list] = {}
+    for r in asked:
+        by_query.setdefault(r.query_id, []).append((number[r.term], r.times))
+    found = []
+    for block in _blocks(sorted(by_query), 256):
+        weight = np.zeros((len(terms), len(block)))
+        for q, query in enumerate(block):
+            for term, times in by_query[query]:
+                weight[term, q] = times * idf[term]
+        found.append(counted.mapInArrow(_bm25_map(block, weight, k, mean or 1.0, decimals), _SCORED))
     # only the k smallest ids can be needed to fill up a list of k
     first = docs.select(F.col(id_column).cast("long").alias("id")).orderBy("id").limit(k)
-    filler = queries.select("query_id").crossJoin(first).withColumn("score", F.lit(0.0))
-    return best(scored.unionByName(filler).groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
+    filler = queries.select(F.col("query_id").cast("long").alias("query_id")).crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
+    return best(_united([*found, filler], docs).groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
 
 
 def merge_candidates(semantic: DataFrame, keyword: DataFrame, by: tuple[str, ...] = ("query_id", "id")) -> DataFrame:
@@ -115,7 +206,12 @@ def overlap(merged: DataFrame) -> DataFrame:
 def rerank(merged: DataFrame, docs: DataFrame, queries: DataFrame, semantic: float = 0.7, keyword: float = 0.3, lexical: float = 0.05, id_column: str = "doc_id", text_column: str = "text", decimals: int = 6) -> DataFrame:
     """Candidates with a weighted score of both sides, each relative to its query's best,
     and of the share of query words that the document holds."""
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.array_distinct(tokens(text_column)).alias("words"))
+    # only the texts of candidates are read for words; they are as many as queries ask for
+    merged = cut(merged)
+    ids = merged.select("id").distinct()
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    near = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).join(wanted, "id", "left_semi")
+    texts = near.select("id", F.array_distinct(tokens("text")).alias("words"))
     asked = queries.select("query_id", F.array_distinct(tokens("text")).alias("asked"))
     # the best of a query is an aggregate beside its candidates, not an unpartitioned window
     tops = merged.groupBy("query_id").agg(F.max("semantic").alias("top_semantic"), F.max("keyword").alias("top_keyword"))

@@ -94,9 +94,14 @@ def _vector_queries(spark, sf):
     return load(spark, sf, "embeddings").join(items, F.col("vec_id") == F.col("item_id"), "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-def _vector_sql(where: str, k: int) -> str:
+def _every_20th(spark, sf):
+    """The query set of a search: every row whose id is divisible by 20."""
+    return load(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _vector_sql(where: str, k: int, asked: str = "q.vec_id IN (SELECT item_id FROM benchmark)") -> str:
     cosine = "round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
-    return f"scored AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {cosine} AS score FROM embeddings v, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark) {where}), semantic AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM scored QUALIFY rank <= {k})"
+    return f"scored AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {cosine} AS score FROM embeddings v, embeddings q WHERE {asked} {where}), semantic AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM scored QUALIFY rank <= {k})"
 
 
 def _bm25_sql(where: str, k: int) -> str:
@@ -121,14 +126,14 @@ def bm25_topk_filtered(spark, sf):
     return retrieval.bm25_topk(load(spark, sf, "documents").where(lang.isNull() | (lang == "") | (lang == "en")), _text_queries(spark, sf), 10)
 
 
-@query(f"WITH {_vector_sql('', 10)} SELECT * FROM semantic")
+@query(f"WITH {_vector_sql('', 10, 'q.vec_id % 20 = 0')} SELECT * FROM semantic")
 def vector_topk(spark, sf):
-    return retrieval.vector_topk(load(spark, sf, "embeddings"), _vector_queries(spark, sf), 10)
+    return retrieval.vector_topk(load(spark, sf, "embeddings"), _every_20th(spark, sf), 10)
 
 
-@query(f"WITH {_vector_sql('AND v.label IN (1, 2, 3)', 10)} SELECT * FROM semantic")
+@query(f"WITH {_vector_sql('AND v.label IN (1, 2, 3)', 10, 'q.vec_id % 20 = 0')} SELECT * FROM semantic")
 def vector_topk_filtered(spark, sf):
-    return retrieval.vector_topk(load(spark, sf, "embeddings").where(F.col("label").isin(1, 2, 3)), _vector_queries(spark, sf), 10)
+    return retrieval.vector_topk(load(spark, sf, "embeddings").where(F.col("label").isin(1, 2, 3)), _every_20th(spark, sf), 10)
 
 
 _MERGED = "merged AS (SELECT coalesce(s.query_id, w.query_id) AS query_id, coalesce(s.id, w.id) AS id, coalesce(s.score, 0) AS semantic, coalesce(w.score, 0) AS keyword, s.id IS NOT NULL AS in_s, w.id IS NOT NULL AS in_k FROM semantic s FULL JOIN keyword w ON s.query_id = w.query_id AND s.id = w.id)"

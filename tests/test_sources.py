@@ -41,6 +41,12 @@ def test_manifests(spark):
     assert named == {("flask", "Flask"), ("react_thing", "React"), ("actix-web", "Actix"), ("fastapi", "FastAPI")}
 
 
+def test_comments_above():
+    found = repository._comments("// one\n//  two\n\nclass A {}\nlet x = 1; // aside\nclass B {}\n/**\n * Draws\n *\n * a box.\n */\n\nfunction go() {}\n/* plain */ const f = 1;\n//\nclass C {}")
+    assert found == {3: "one\ntwo", 12: "Draws\na box."}
+    assert repository._comments("/*" + "x*" * 50_000) == {} and repository._comments("// a\n" * 50_000)[50_000].count("a") == 50_000
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, repository_id string")
     storage.append_partitioned(rows, str(tmp_path / "t"), "repository_id")

@@ -7,8 +7,10 @@ and back, and a block of text is kept where its element's marginal for content i
 All tables are counted on labelled pages (``training_pages``), with smoothing.
 
 A null or empty page, or one without content, gives an empty text. Unclosed and unknown
-tags, stray ends and pages cut off in the middle are read as far as they go. Rows that
-repeat are handled alike.
+tags, stray ends and pages cut off in the middle are read as far as they go. Pages of any
+length are read whole, in time linear in their length. Rows that repeat are handled alike,
+an empty table gives no rows, and a marginal of exactly a half is no content. Input columns
+may have any names; those named like the output columns are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import spread
+from .common import inner, spread
 
 # How HTML's elements behave.
 # RAW elements are left out up to their end tag. TO_END ones without an end tag reach to the
@@ -53,6 +55,13 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _SPLIT = re.compile(r"[^a-z]+")
 
 
+#: Elements nested deeper are read as neighbours at this depth, as browsers do.
+MAX_DEPTH = 512
+
+REPEATED = frozenset({"li", "dt", "dd", "tr", "td"})
+#: Share of training articles that end in a list of links.
+REFERENCES = 0.35
+
 #: Frame, content, boilerplate.
 STATES = (0, 1, 2)
 
@@ -69,6 +78,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block elements in page order, each after its parent, and (element, text) blocks."""
     nodes, blocks = [Node("#root", (), -1, 0)], []
     stack, text, links, n_linked = [0], [], 0, 0
+    opened: Counter = Counter()  # elements of a tag on the stack, so that no end searches it in vain
 
     def flush() -> None:
         nonlocal n_linked
@@ -85,6 +95,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     def close_to(depth: int) -> None:
         flush()
+        opened.subtract(nodes[i].tag for i in stack[depth:])
         del stack[depth:]
 
     at, unended = 0, set()
@@ -120,9 +131,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 text.append(" ")
             continue
         if m["end"]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if nodes[stack[i]].tag == tag), 0)
-            if depth:
-                close_to(depth)
+            if opened[tag] > 0:
+                close_to(next(i for i in range(len(stack) - 1, 0, -1) if nodes[stack[i]].tag == tag))
             else:
                 flush()
             continue
@@ -130,7 +140,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         links = 0
         if tag in ENDS_P and nodes[stack[-1]].tag == "p":
             close_to(len(stack) - 1)
-        if tag in CLOSES:
+        if tag in CLOSES and any(opened[t] > 0 for t in CLOSES[tag][0]):
             ends, within = CLOSES[tag]
             for i in range(len(stack) - 1, 0, -1):
                 if nodes[stack[i]].tag in within:
@@ -140,8 +150,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in VOID:
             continue
         names = tuple(w for x in _NAMES.findall(m["rest"]) for w in _SPLIT.split("".join(x).lower()) if w) if m["rest"] else ()
+        if len(stack) > MAX_DEPTH:
+            close_to(MAX_DEPTH)
         nodes.append(Node(tag, names, stack[-1], 1 if "data-content=1" in m["rest"] else 2 if "data-content=0" in m["rest"] else 0))
         stack.append(len(nodes) - 1)
+        opened[tag] += 1
     if at < len(page):
         text.append(page[at:])
     flush()
@@ -201,9 +214,12 @@ class Model:
         """P(content) of every element, by messages up and down the tree."""
         (f00, f01, f02), (f10, f11, f12), (f20, f21, f22) = self.follow
         up, sent = [], []  # evidence and messages of the children so far; message to the parent
-        for found in _evidence(nodes):
+        alike = Counter((n.parent, n.tag) for n in nodes if n.tag in REPEATED)
+        for n, found in zip(nodes, _evidence(nodes)):
             logs = [self.weight[w] for w in found if w in self.weight]
-            sums = [sum(x) for x in zip(*logs)] if logs else [0.0, 0.0, 0.0]
+            # the items of a list look alike for one reason, so together they count once
+            share = alike.get((n.parent, n.tag), 1)
+            sums = [sum(x) / share for x in zip(*logs)] if logs else [0.0, 0.0, 0.0]
             top = max(sums)
             up.append([math.exp(x - top) + 1e-12 for x in sums])
             sent.append((1.0, 1.0, 1.0))
@@ -256,7 +272,18 @@ def training_pages(n: int = 600, seed: int = 11) -> list[str]:
     def named(*names: str) -> str:
         return "" if chance() < 0.1 else f' {pick(("class", "id"))}="{pick(names)}"'
 
+    def linked(share: float) -> str:
+        """Sentences some of whose words are links."""
+        return " ".join(f'<a href="/{w}">{w}</a>' if chance() < share else w for w in (words(1, 6) for _ in range(rng.randint(2, 12)))) + pick((".", ".", "!", ""))
+
+    def references() -> str:
+        kind = pick(("ul", "ol"))
+        items = (pick((f'<a href="/{i}">{words(2, 9)}</a>', f'{words(1, 4)} <a href="/{i}">{words(2, 7)}</a>.', f'<a href="/{i}">{words(2, 7)}</a> {words(1, 6)}')) for i in range(rng.randint(1, 8)))
+        return (f"<h2>{words(1, 2)}</h2>" if chance() < 0.6 else "") + f"<{kind}>" + "".join(f"<li>{x}</li>" for x in items) + f"</{kind}>"
+
     def paragraph() -> str:
+        if link_rich and chance() < link_rich:
+            return pick((lambda: f"<p>{linked(rng.random())}</p>", lambda: f"<p>{linked(0.4)} {sentences(1, 3)}", lambda: f'<p><a href="/x">{words(2, 12)}</a></p>', references))()
         kind = chance()
         if kind < 0.72:
             return f"<p{named('text', 'lead', '', '') if chance() < 0.1 else ''}>{sentences(1, 9) if chance() < 0.85 else words(1, 3) + pick(('.', ''))}" + ("</p>" if chance() < 0.8 else "")
@@ -315,6 +342,8 @@ def training_pages(n: int = 600, seed: int = 11) -> list[str]:
             body.append(paragraph())
             if chance() < 0.05:
                 body.append(pick((advert, sidebar, form))())
+        if chance() < REFERENCES:
+            body.append(references())
         if chance() < 0.08:  # no element of its own
             return "".join(x if "data-content" in x.partition(">")[0] else re.sub(r"^<(\w+)", r"<\1 data-content=1", x) for x in body)
         inner = "".join(body) + (comments() if chance() < 0.1 else "")
@@ -327,6 +356,8 @@ def training_pages(n: int = 600, seed: int = 11) -> list[str]:
 
     pages = []
     for _ in range(n):
+        # every second page has articles with links, up to nearly every paragraph of one
+        link_rich = pick((0.0, 0.0, 0.0, 0.15, 0.35, 0.7))
         before = [f() for f, p in ((head, 0.45), (menu, 0.7), (notice, 0.3), (advert, 0.5), (sidebar, 0.15), (form, 0.1)) if chance() < p]
         after = [f() for f, p in ((sidebar, 0.3), (comments, 0.35), (advert, 0.2), (form, 0.2), (notice, 0.15), (foot, 0.85)) if chance() < p]
         rng.shuffle(before)
@@ -346,15 +377,18 @@ def _extract_map(at: int, model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [model.text(x.as_py()) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*batch.schema.names, "_text", "_n"])
+            kept = [c for i, c in enumerate(batch.columns) if i != at]
+            names = [c for i, c in enumerate(batch.schema.names) if i != at]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
 
     return run
 
 
 def extract(pages: DataFrame, model: Model | None = None, html_column: str = "html") -> DataFrame:
     """The columns of ``pages`` with the html replaced by ``text`` and ``n_chars``."""
-    kept = [c for c in pages.columns if c not in (html_column, "text", "n_chars")]
-    source = pages.select(*kept, F.col(html_column).cast("string").alias("_html"))
-    shape = StructType([*source.schema.fields, StructField("_text", StringType()), StructField("_n", LongType())])
-    found = spread(source).mapInArrow(_extract_map(len(kept), model or trained()), shape)
-    return found.select(*kept, F.col("_text").alias("text"), F.col("_n").alias("n_chars"))
+    rows, column = inner(pages.drop(*(c for c in ("text", "n_chars") if c != html_column)))
+    names = [c for c in pages.columns if c.lower() not in ("text", "n_chars", html_column.lower())]
+    page = column[html_column]
+    shape = StructType([*(f for f in rows.schema.fields if f.name != page), StructField("text", StringType()), StructField("n_chars", LongType())])
+    source = spread(rows.withColumn(page, F.col(page).cast("string")))
+    return source.mapInArrow(_extract_map(rows.columns.index(page), model or trained()), shape).toDF(*names, "text", "n_chars")

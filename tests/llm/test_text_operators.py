@@ -312,3 +312,31 @@ def test_surrogates_of_plain_phones_ipv6_and_bare_given_names(spark):
     assert re.match(r"From [0-9a-f]{4}(:[0-9a-f]+){7} and [0-9A-F]{4}:[0-9A-F]{3}::[0-9A-F]{4}:[0-9A-F]{2} to [0-9a-f]{4}::[0-9a-f]{4},", out[1])
     first, last, bare, later = re.search(r"Mrs\. (\w+) (\w+) spoke\. Later (\w+) left and (\w+) stayed, Annabel too", out[2]).groups()
     assert first == bare != "Anna" and last == later != "Petrov"
+
+
+_P = "<p>This is a plain paragraph of the article, long enough to be one.</p>"
+_FRAME = "<!DOCTYPE html><html><head><title>t</title></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>{}<footer>&copy; 2024 Somebody.</footer></body></html>"
+
+
+@pytest.mark.parametrize("inner,n", [
+    ("<h1>Title of it</h1>" + _P * 2 + '<p><a href="/x">A whole paragraph that is one link</a></p>', 4),
+    ("<h1>Title of it</h1>" + _P * 3 + '<p><a href="/x">Read more</a></p>', 5),
+    ("<h1>Title of it</h1>" + _P * 3 + "<h2>References</h2><ul>" + "".join(f'<li><a href="/r{i}">Some source of number {i}</a></li>' for i in range(5)) + "</ul>", 10),
+    ("<h1>Title of it</h1>" + '<p>This is <a href="/1">a paragraph with</a> some words that <a href="/2">are links to other pages</a> and more text.</p>' * 5, 6),
+    ("<h1>Title of it</h1><p>One short paragraph.</p>", 2),
+])
+def test_linked_text_of_an_article_stays(inner, n):
+    for tag in ("article", 'div class="content"'):
+        page = _FRAME.format(f"<{tag}>{inner}</{tag.split()[0]}>")
+        got = html_content.trained().text(page).split("\n\n")
+        assert len(got) == n and got[0] == "Title of it", (tag, got)
+        assert html_content.trained().text(page.replace("</head>", "")).split("\n\n") == got
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    start = time.time()
+    for page in ("<div>" * 50_000 + "</b></span></x>" * 50_000, "<ul><div>" * 3000 + "<li>a" * 30_000, "<section>" * 60_000 + "text"):
+        html_content.parse(page)
+    assert time.time() - start < 20

@@ -156,7 +156,7 @@ LIKENESS = (4, 5)
 SAMPLE, COMMON, MAX_COMMON = 16, 16, 1 << 17
 #: Slots of a set's parity bits. Two sets differ in at least as many shingles as slots.
 PARITY = 512
-#: Unlike sets that share one key beyond which a second shared shingle is asked for.
+#: Components that share one key beyond which a second shared shingle is asked for.
 CROWDED = 256
 
 
@@ -186,8 +186,8 @@ def _set_map(words: int, common):
         sorter = np.argsort(by_count)
         known, seen = by_count[sorter], set()
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
                 nodes, prints, sizes, keys, parity = [], [], [], [], []
                 for text in part.column(2):
                     hashes = _hashes(text.as_py(), words)
@@ -237,8 +237,8 @@ def _member_map(words: int, wanted=None):
         for batch in batches:
             if wanted is not None:
                 batch = batch.filter(pa.array(_passes(wanted.value, batch.column(1).to_numpy())))
-            for i in range(0, batch.num_rows, 256):
-                sets = [np.unique(_hashes(t.as_py(), words)) for t in batch.column(2).slice(i, 256)]
+            for i in range(0, batch.num_rows, 64):
+                sets = [np.unique(_hashes(t.as_py(), words)) for t in batch.column(2).slice(i, 64)]
                 yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), _lists(sets)], names=["node", "shingles"])
 
     return run
@@ -325,8 +325,8 @@ def likeness_links(source: DataFrame, prints: DataFrame, rows: DataFrame, known:
     node. Near copies share a key of their prefixes. First every set is compared with the
     smallest node of its keys, which joins groups of copies without making all their pairs;
     then, for keys that still hold several components, unlike components are compared: all
-    of them if the key has at most ``CROWDED`` rows, else those that share one more shingle
-    of the prefixes, as near copies do. No key is dropped and no pair that may reach the
+    of them if the key has at most ``CROWDED``, else those that share one more shingle of
+    the prefixes, as near copies do. No key is dropped and no pair that may reach the
     likeness is left out.
     """
     # a set of n shingles needs n - least + 1 keys; one more is at hand for crowded keys
@@ -338,15 +338,21 @@ def likeness_links(source: DataFrame, prints: DataFrame, rows: DataFrame, known:
     first = cut(_verified(_promising(stars), rows, source, words))
     groups = connected_components(known.union(first))
     told = held.join(groups, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("c"))
-    open_keys = cut(_shared(told, "c").select("key", "node", "size", "c", "n"))
+    open_keys = cut(_shared(told, "c").select("key", "node", "size", "c"))
+    components = open_keys.select("key", "c").distinct()
+    several = cut(components.groupBy("key").agg(F.count("*").alias("n")))
+    few = components.join(several.where(F.col("n") <= CROWDED), "key").groupBy("key").agg(F.collect_list("c").alias("others"))
+    # a row meets the rows of the key's other components, not those of its own
+    x = open_keys.join(few, "key").select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.explode(F.filter("others", lambda o: o > F.col("c"))).alias("c"))
+    calm = x.join(open_keys.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), "c"), ["key", "c"])
+    crowded = open_keys.join(several.where(F.col("n") > CROWDED).select("key"), "key", "left_semi")
+    if not crowded.take(1):
+        return first.union(_verified(_promising(calm), rows, source, words))
 
     def paired(keys: DataFrame, on: list[str]) -> DataFrame:
         x, y = (keys.select(*on, F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("c").alias(f"c_{k}")) for k in "ab")
         return x.join(y, on).where("a < b and c_a <> c_b")
 
-    calm, crowded = paired(open_keys.where(F.col("n") <= CROWDED), ["key"]), open_keys.where(F.col("n") > CROWDED).drop("n")
-    if not crowded.take(1):
-        return first.union(_verified(_promising(calm), rows, source, words))
     rest = _promising(calm, crowded.groupBy("node").agg(F.count("*").alias("more")))
     near = prints.where(F.size("keys") > 0).select("keys", "node")
     near = near.mapInArrow(_filter_map(_filter(crowded, "node"), True), near.schema)

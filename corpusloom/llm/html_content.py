@@ -60,7 +60,7 @@ MAX_DEPTH = 512
 
 REPEATED = frozenset({"li", "dt", "dd", "tr", "td"})
 #: Share of training articles that end in a list of links.
-REFERENCES = 0.35
+REFERENCES = 0.2
 
 #: Frame, content, boilerplate.
 STATES = (0, 1, 2)
@@ -254,7 +254,7 @@ class Model:
         return "\n\n".join(t for i, t in blocks if keep[i] > 0.5)
 
 
-def training_pages(n: int = 600, seed: int = 11) -> list[str]:
+def training_pages(n: int = 1500, seed: int = 11) -> list[str]:
     """Labelled pages of many layouts; ``data-content`` marks an element and what is below
     it, up to another mark. Texts are drawn letters, so that only structure teaches."""
     rng = random.Random(seed)

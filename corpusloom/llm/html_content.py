@@ -60,7 +60,7 @@ MAX_DEPTH = 512
 
 REPEATED = frozenset({"li", "dt", "dd", "tr", "td"})
 #: Share of training articles that end in a list of links.
-REFERENCES = 0.2
+REFERENCES = 0.0
 
 #: Frame, content, boilerplate.
 STATES = (0, 1, 2)

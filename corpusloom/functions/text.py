@@ -149,3 +149,49 @@ def overview(languages: Column, frameworks: Column) -> Column:
     named = F.array_join(F.transform(F.array_sort(F.map_entries(languages)), lambda e: F.concat(e["key"], F.lit(" ("), e["value"].cast("string"), F.lit(")"))), ", ")
     used = F.when(F.size(frameworks) > 0, F.concat(F.lit(" using "), F.array_join(F.array_sort(frameworks), ", "))).otherwise("")
     return F.when(F.size(languages) > 0, F.concat(F.lit("Repository with "), named, used, F.lit("."))).otherwise("No supported source files.")
+
+
+def duration_text(ms: Column | str) -> Column:
+    """Milliseconds below a second, else seconds with one place, halves going up; a dash for none."""
+    m = as_column(ms)
+    tenths = F.floor((m + 50) / 100)
+    return F.when(F.coalesce(m, F.lit(0)) == 0, "—").when(m < 1000, F.concat(m.cast("string"), F.lit("ms"))).otherwise(F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("s")))
+
+
+# Colours of the severities.
+SEVERITY_COLOURS = {"critical": "red", "high": "orange", "medium": "yellow", "low": "blue", "info": "muted"}
+
+
+def severity_colour(severity: Column | str) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in SEVERITY_COLOURS.items() for x in kv])[as_column(severity)], F.lit(SEVERITY_COLOURS["info"]))
+
+
+def token_usage(reply: Column | str, text: Column | str) -> Column:
+    """Tokens that a model's JSON reply reports, in total or in and out, in any of the places
+    where providers put them; else a quarter of the text's length."""
+    r = as_column(reply)
+    at = lambda path: F.get_json_object(r, f"$.{path}").try_cast("long")
+    places = []
+    for place, names in (("token_usage", ("input", "output")), ("usage", ("input", "output")), ("usage_metadata", ("input", "output")), ("response_metadata.token_usage", ("prompt", "completion")), ("response_metadata.usage", ("prompt", "completion"))):
+        places += [at(place), at(f"{place}.total_tokens"), sum((F.coalesce(at(f"{place}.{n}_tokens"), F.lit(0)) for n in names), F.lit(0))]
+    return first_nonzero(*places, F.floor(F.length(as_column(text)) / 4))
+
+
+def latency_ms(start: Column | str, end: Column | str) -> Column:
+    """Whole milliseconds between two timestamps."""
+    return F.floor((F.unix_micros(as_column(end).cast("timestamp")) - F.unix_micros(as_column(start).cast("timestamp"))) / 1000)
+
+
+# Folders that an index run leaves out, and its languages by suffix.
+INDEX_IGNORED = (".git", "node_modules", "dist", "build", "venv", "__pycache__")
+INDEX_LANGUAGES = {
+    ".py": "Python", ".js": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript", ".java": "Java", ".cpp": "C++", ".cc": "C++",
+    ".cxx": "C++", ".h": "C++", ".hpp": "C++", ".c": "C++", ".md": "Markdown", ".markdown": "Markdown",
+}
+
+
+def index_language(path: Column | str) -> Column:
+    """The language under which an index run counts a path; null if it leaves it out."""
+    parts = F.split(as_column(path), "/")
+    out = F.exists(parts, lambda p: p.startswith(".") | p.isin(*INDEX_IGNORED))
+    return F.when(~out, F.create_map(*[F.lit(x) for kv in INDEX_LANGUAGES.items() for x in kv])[F.lower(suffix(path))])

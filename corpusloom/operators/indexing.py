@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
+from ..sources.storage import cut
 
 
 def classify_changes(new: DataFrame, old: DataFrame, key: str, digest: str) -> DataFrame:
@@ -81,3 +82,60 @@ def embed(texts: DataFrame, cache: DataFrame, provider: Callable[[list[str]], np
     made = missing.mapInPandas(run, "content_hash string, _made array<double>, _source string")
     rows = keyed.join(known, "content_hash", "left").join(made, "content_hash", "left")
     return rows.select(key, F.coalesce(F.col("_cached").cast("array<double>"), "_made").alias("embedding"), F.when(F.col("_cached").isNotNull(), "cache").otherwise(F.col("_source")).alias("source"))
+
+
+def index_plan(files: DataFrame, hashes: DataFrame) -> DataFrame:
+    """files(file_path, content_hash, n_units) with ``outcome`` and ``n_vectors``.
+
+    A file whose hash is known is unchanged; one without units is empty, and its hash is
+    kept all the same; any other is indexed and adds a vector for each unit.
+    """
+    known = hashes.select("file_path", F.col("content_hash").alias("_known"))
+    outcome = F.when(F.col("content_hash") == F.col("_known"), "unchanged").when(F.col("n_units") == 0, "empty").otherwise("indexed")
+    planned = files.join(known, "file_path", "left").withColumn("outcome", outcome).drop("_known")
+    return planned.withColumn("n_vectors", F.when(F.col("outcome") == "indexed", F.col("n_units")).otherwise(0).cast("long"))
+
+
+def index_counters(plan: DataFrame, *by: str) -> DataFrame:
+    """Files indexed, files skipped and vectors added, of each ``by`` or of all."""
+    indexed = F.count_if(F.col("outcome") == "indexed")
+    return plan.groupBy(*by).agg(indexed.alias("files_indexed"), (F.count("*") - indexed).alias("files_skipped"), F.coalesce(F.sum("n_vectors"), F.lit(0)).alias("vectors_indexed"))
+
+
+def index_repository(files: DataFrame, hashes: DataFrame, vectors: DataFrame, chunk: Callable[[DataFrame], DataFrame], embed_units: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The new (hashes, vectors, counters) after one run over files(file_path, content).
+
+    ``chunk`` gives rows with file_path for the files it gets, ``embed_units`` the rows of
+    ``vectors`` for them. Only files that changed are chunked; what was indexed of them
+    goes. Files that are gone keep their rows: ``classify_changes`` tells them.
+    """
+    hashed = files.withColumn("content_hash", F.sha2("content", 256))
+    changed = cut(to_index(hashed, hashes, "file_path", "content_hash"))
+    units = cut(chunk(changed.drop("content_hash")))
+    counts = units.groupBy("file_path").agg(F.count("*").alias("n_units"))
+    sized = hashed.select("file_path", "content_hash").join(counts, "file_path", "left").fillna(0, ["n_units"])
+    fresh = changed.select("file_path", "content_hash")
+    return upsert(hashes, fresh, "file_path"), delete(vectors, fresh, "file_path").unionByName(embed_units(units)), index_counters(index_plan(sized, hashes))
+
+
+# The status that each step of an index run leads to.
+STATUS = {"queued": "pending", "started": "indexing", "finished": "ready", "failed": "error"}
+
+
+def index_status(steps: DataFrame, key: str, *order: str) -> DataFrame:
+    """(key, status, message) of steps(key, step, message, order...): where the last known
+    step of each key led; only an error keeps its message."""
+    led = steps.where(F.col("step").isin(*STATUS))
+    last = led.groupBy(key).agg(F.max_by(F.struct("step", "message"), F.struct(*order)).alias("l"))
+    status = F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])[F.col("l.step")]
+    return last.select(key, status.alias("status"), F.when(F.col("l.step") == "failed", F.col("l.message")).alias("message"))
+
+
+def cache_put(cache: DataFrame, rows: DataFrame, now: float, ttl: int = 3600) -> DataFrame:
+    """``cache`` with rows(key, value struct) set as JSON; an agent's memory is such a table
+    with keys of review and agent."""
+    return upsert(cache, rows.select("key", F.to_json("value").alias("value"), F.lit(now).alias("written_at"), F.lit(ttl).alias("ttl")), "key")
+
+
+def cache_drop(cache: DataFrame, keys: DataFrame) -> DataFrame:
+    return delete(cache, keys, "key")

@@ -250,3 +250,49 @@ def context_budget(blocks: DataFrame, by: str, order: tuple[str, ...], text_colu
     """The leading blocks of each group whose running length stays within the budget."""
     upto = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return blocks.withColumn("running", F.sum(F.length(text_column)).over(upto)).where(F.col("running") <= budget)
+
+
+def row_key(*hashes: str, path: str = "file_path", line: str = "start_line") -> Column:
+    """The first hash that is there, else path and line."""
+    known = [F.nullif(F.col(h), F.lit("")) for h in hashes]
+    return F.coalesce(*known, F.concat_ws(":", F.col(path), F.col(line).cast("string")))
+
+
+def merge_keyed(semantic: DataFrame, keyword: DataFrame) -> DataFrame:
+    """(query_id, key, semantic, keyword, n_semantic, n_keyword) of rows (query_id, position, key, score).
+
+    Rows of one key and query are one candidate; the last of each side gives its score, a
+    side without it 0. The counts say how many rows of a side fell together.
+    """
+    sides = [rows.groupBy("query_id", "key").agg(F.max_by("score", "position").alias(name), F.count("*").alias(f"n_{name}")) for name, rows in (("semantic", semantic), ("keyword", keyword))]
+    return sides[0].join(sides[1], ["query_id", "key"], "full_outer").fillna(0, ["semantic", "keyword", "n_semantic", "n_keyword"]).select("query_id", "key", "semantic", "keyword", "n_semantic", "n_keyword")
+
+
+def merge_metrics(merged: DataFrame) -> DataFrame:
+    """Candidates of each side, merged ones, their overlap and its share of the semantic keys."""
+    s, k = F.col("n_semantic") > 0, F.col("n_keyword") > 0
+    both = F.count_if(s & k)
+    return merged.groupBy("query_id").agg(F.sum("n_semantic").alias("semantic_candidates"), F.sum("n_keyword").alias("keyword_candidates"), F.count("*").alias("merged_candidates"), both.alias("overlap"), F.round(both / F.greatest(F.count_if(s), F.lit(1)), 6).alias("precision_proxy"))
+
+
+# The fields of a result.
+RESULT_FIELDS = ("content", "file_path", "language", "symbol_name", "chunk_type", "start_line", "end_line", "sha256", "semantic_score", "bm25_score", "rerank_score")
+
+
+def result_rows(ranked: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` of each query with all fields of a result; one that is missing is null,
+    and a content_hash stands for a missing sha256."""
+    there = set(ranked.columns)
+    out = {c: F.col(c) if c in there else F.lit(None).cast("string") for c in RESULT_FIELDS}
+    if "content_hash" in there:
+        out["sha256"] = F.coalesce(F.nullif(out["sha256"], F.lit("")), F.col("content_hash"))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", *[c.alias(name) for name, c in out.items()])
+
+
+def matches(language: str | None = None, metadata: dict[str, str] | None = None, language_column: str = "language", metadata_column: str = "metadata") -> Column:
+    """Whether a row passes: a row without a language passes any; every metadata entry must be equal."""
+    tests = [F.lit(True)]
+    if language:
+        tests.append(F.coalesce(F.col(language_column), F.lit("")).isin("", language))
+    tests += [F.try_element_at(metadata_column, F.lit(k)).eqNullSafe(F.lit(v)) for k, v in (metadata or {}).items()]
+    return reduce(lambda a, b: a & b, tests)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -128,3 +130,36 @@ def run_review(spark: SparkSession, review_type: str, agents: dict, focus: list[
             if progress:
                 progress(name)
     return out
+
+
+# Starter texts by kind: the path they belong to and what they hold.
+ARTIFACTS = {
+    "unit_test": ("tests/test_{stem}.py", "from {stem} import {name}\n\n\ndef test_{name}():\n    assert {name} is not None  # to be replaced by real cases\n"),
+    "integration_test": ("tests/test_{stem}_integration.py", "# Covers the endpoint of {path}: request, response, failure.\n\n\ndef test_{stem}_request():\n    pass\n"),
+    "docstring": ("{path}", "{name}: what this {kind} does.\n\nParameters: none described yet.\nReturns: not described yet.\n"),
+    "api_doc": ("API.md", "### {name}\n\nMethod and path, request body and response body of the endpoint in {path}.\n"),
+}
+
+
+def artifacts(chunks: DataFrame, wanted: dict[str, Column]) -> DataFrame:
+    """(chunk_id, kind, path, content): a starter text for each kind whose condition a chunk
+    meets. A chunk without a symbol is named by its kind of text."""
+    stem = F.regexp_replace(F.element_at(F.split("file_path", "/"), -1), r"(?<=.)\.[^.]*$", "")
+    name = F.coalesce(F.nullif(F.col("symbol_name"), F.lit("")), F.lit("symbol"))
+    values = {"stem": stem, "name": name, "kind": F.col("chunk_type"), "path": F.col("file_path")}
+
+    def filled(text: str) -> Column:
+        parts = re.split(r"\{(\w+)\}", text)
+        return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+    rows = [F.when(test, F.struct(F.lit(kind).alias("kind"), filled(ARTIFACTS[kind][0]).alias("path"), filled(ARTIFACTS[kind][1]).alias("content"))) for kind, test in wanted.items()]
+    return chunks.select("chunk_id", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("a")).select("chunk_id", "a.*")
+
+
+def readme(title: str, languages: list[str], used: list[str], install: dict[str, str]) -> str:
+    """A starter README; ``install`` has a command by language."""
+    lines = [f"# {title}", ""]
+    for name, items in (("Languages", languages), ("Frameworks", used)):
+        lines += [f"{name}: {', '.join(items)}", ""] * bool(items)
+    commands = dict.fromkeys(install[x] for x in languages if x in install)
+    return "\n".join([*lines, "## Setup", "", *(f"    {c}" for c in commands), "", "## Use", "", "## How to contribute", ""])

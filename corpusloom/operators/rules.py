@@ -224,3 +224,24 @@ def gap_scores(units: DataFrame, findings: DataFrame, by: str, penalty: int) ->
     """(by, n_findings, score) of every unit: 100 less ``penalty`` a finding."""
     counts = findings.groupBy(by).agg(F.count("*").alias("n_findings"))
     return units.select(by).distinct().join(counts, by, "left").fillna(0, ["n_findings"]).select(by, "n_findings", F.greatest(F.lit(0), F.lit(100) - F.col("n_findings") * penalty).cast("long").alias("score"))
+
+
+def _notes(counts: DataFrame, by: str, notes: list[tuple[Column, str, str]]) -> DataFrame:
+    rows = F.array(*[F.when(test, F.struct(F.lit(title).alias("title"), F.lit(severity).alias("severity"))) for test, title, severity in notes])
+    return counts.select(by, F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("f")).select(by, "f.*")
+
+
+def test_notes(chunks: DataFrame, by: str) -> DataFrame:
+    """(by, title, severity): what is said of a repository's tests as a whole."""
+    path = F.col("file_path")
+    a_test = F.contains(path, F.lit("/tests/")) | path.startswith("test_") | path.endswith("_test.py") | F.contains(F.lower(path), F.lit("spec"))
+    counts = chunks.groupBy(by).agg(F.count_if(a_test).alias("tests"), F.count_if(F.col("chunk_type").isin("function", "method")).alias("functions"), F.count_if(F.col("content").rlike(ENDPOINT)).alias("endpoints"))
+    tests, functions, endpoints = (F.col(c) > 0 for c in ("tests", "functions", "endpoints"))
+    return _notes(counts, by, [(~tests, "no_test_suite", "high"), (endpoints, "endpoint_coverage", "high"), (~functions & ~endpoints, "limited_signals", "low"), (tests & ~endpoints, "coverage_targets", "medium")])
+
+
+def doc_notes(chunks: DataFrame, gaps: DataFrame, by: str) -> DataFrame:
+    """(by, title, severity): a missing README, or that nothing is missing at all."""
+    readme = chunks.groupBy(by).agg(F.count_if(F.lower("file_path").endswith("readme.md")).alias("readmes"))
+    counts = readme.join(gaps.groupBy(by).agg(F.count("*").alias("gaps")), by, "left")
+    return _notes(counts, by, [(F.col("readmes") == 0, "missing_readme", "high"), ((F.col("readmes") > 0) & F.col("gaps").isNull(), "no_gaps", "low")])

@@ -150,10 +150,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, id_column: str = "doc_id",
 # Exact likeness: prefixes of the shingle sets name the candidates, the sets decide.
 #: Near copies share at least 4 of 5 shingles of their union; the tests are in whole numbers.
 LIKENESS = (4, 5)
-#: One document in ``SAMPLE`` is read for the order of shingles: those with ``COMMON`` or
-#: more sampled documents, the ``MAX_COMMON`` most frequent of them, come last. Any order
-#: gives the same links; this one keeps common passages out of the prefixes.
-SAMPLE, COMMON, MAX_COMMON = 16, 16, 1 << 17
+#: One document in ``SAMPLE`` is read for the order of shingles: those that ``COMMON`` or
+#: more sampled sets hold, the ``MAX_COMMON`` most frequent of them, come last. Any order
+#: gives the same links; this one keeps what many documents share out of the prefixes.
+SAMPLE, COMMON, MAX_COMMON = 16, 2, 1 << 17
 #: Slots of a set's parity bits. Two sets differ in at least as many shingles as slots.
 PARITY = 512
 #: Components that share one key beyond which a second shared shingle is asked for.

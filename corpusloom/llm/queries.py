@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, html_content, mixing, packing, simhash, surrogates, syncmers, token_counts, token_files, toxicity
+from . import dual_tree, hnsw, html_content, mixing, packing, simhash, spelling, surrogates, syncmers, token_counts, token_files, toxicity
 from .common import table
 
 
@@ -53,6 +53,14 @@ def op10_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.lloyd(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -66,13 +74,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_hnsw_near_duplicates,
         op9_simhash_near_duplicates,
         op10_huffman_token_files,
+        op11_dual_tree_lloyd,
+        op13_spelling_variants,
     )
 }
 
+
 def _unit(text: str) -> str:
     return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
 
 
+def _lloyd(rounds: int) -> str:
+    """Each round as two steps: the vectors with their clusters, and the centroids after it."""
+    steps = [
+        """v AS (SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS INTEGER) AS cluster, v AS c FROM v WHERE vec_id IS NOT NULL ORDER BY sha256('1:' || vec_id) LIMIT 16)",
+    ]
+    apart = "CAST(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS (SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, min((d, cluster)) AS best FROM (SELECT row, vec_id, v, cluster, {apart} AS d FROM v, c{i}) GROUP BY row)")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT cluster, list(CAST(floor(total / n) AS BIGINT) ORDER BY place) AS m FROM (SELECT best[2] AS cluster, place, sum(v[place])::DOUBLE AS total, count(*)::DOUBLE AS n FROM a{i}, range(1, 65) AS t(place) GROUP BY 1, 2) GROUP BY 1),
+            c{i + 1} AS (SELECT cluster, coalesce(m, c) AS c FROM c{i} LEFT JOIN s{i} USING (cluster))""")
+    return f"""WITH {', '.join(steps)} SELECT vec_id, best[2] AS cluster, best[1] AS distance, CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia, CAST(sum(best[1]) OVER () AS BIGINT) AS inertia,
+        sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON best[2] = cluster"""
+
+
 #: DuckDB SQL where it can express the operator.
 ORACLES: dict[str, str] = {
     "op3_poisson_mixing": f"""WITH m AS (SELECT coalesce(source, chr(0)) AS origin, sum(greatest(coalesce(length(text), 0), 1))::DOUBLE AS mass FROM documents GROUP BY 1),
@@ -86,4 +114,5 @@ ORACLES: dict[str, str] = {
         r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
         n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
         SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN c ON c.a = vec_id""",
+    "op11_dual_tree_lloyd": _lloyd(3),
 }

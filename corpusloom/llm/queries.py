@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dual_tree, hnsw, html_content, mixing, packing, simhash, spelling, surrogates, syncmers, token_counts, token_files, toxicity
+from . import dual_tree, hnsw, html_content, maxent, mixing, packing, simhash, spelling, surrogates, syncmers, token_counts, token_files, toxicity
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op11_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dual_tree.lloyd(table(spark, sf_dir, "embeddings"))
 
 
+def op12_hashed_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_simhash_near_duplicates,
         op10_huffman_token_files,
         op11_dual_tree_lloyd,
+        op12_hashed_maxent_scores,
         op13_spelling_variants,
     )
 }

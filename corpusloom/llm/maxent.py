@@ -2,7 +2,7 @@
 
 A token's probability is that of its class after the tokens before it, times its own within
 the class. Classes see hashed features of the word before, of the two before, and of the one
-two back alone; words within a class see those of the word before and of the one two back.
+two back alone; words within a class see that of the word before.
 Words without weights of their own form a class that is told apart by counts alone. Features
 are one-hot, so a batch of tokens is scored by summing rows of two tables, in sparse numpy
 batches.
@@ -42,16 +42,16 @@ from pyspark.sql import functions as F
 from .common import cut, spread, staged
 
 #: Words whose counts and ids every task holds, and those that have weights of their own.
-TOP, WORDS = 65_534, 4096
+TOP, WORDS = 65_534, 2048
 #: Frequent words that tell classes apart, tokens that they reach, and clusters to begin with.
-ANCHORS, REACH, CLUSTERS = 63, 6, 48
+ANCHORS, REACH, CLUSTERS = 63, 6, 32
 #: Rows of hashed features of classes and of words.
 CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 8
 #: Parts of the training texts that each round takes, in 16ths.
 SHARES = (4, 12)
 #: Tokens of a task's first gradient step, of any step, of one shuffled stretch, and of a
 #: training task where the cluster has fewer cores than the texts need.
-FIRST, STEP, STRETCH, TASK = 512, 16_384, 1 << 18, 1 << 24
+FIRST, STEP, STRETCH, TASK = 512, 32_768, 1 << 18, 1 << 24
 #: Step size, and how many uses hold a rare row back.
 RATE, PRIOR = 1.2, 6.0
 #: Rows of one block of gains.
@@ -71,9 +71,15 @@ def tokens(text: str | None) -> list[bytes]:
     return found
 
 
-def _mark(word: bytes) -> tuple[int, int]:
-    h = xxhash.xxh3_128_intdigest(word)
-    return (h & (2**64 - 1)) - (1 << 63), ((h >> 64) & (2**32 - 1)) - (1 << 31)
+def _mark(word: bytes) -> bytes:
+    """The 96 bits by which words are told apart."""
+    return xxhash.xxh3_128_digest(word)[:12]
+
+
+def _halves(marks: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    """The marks as longs and ints."""
+    both = np.frombuffer(b"".join(marks), dtype=[("h", "<i8"), ("g", "<i4")])
+    return pa.array(both["h"]), pa.array(both["g"])
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -83,8 +89,7 @@ def held_out(doc_id: int | None) -> bool:
 
 def _count_map():
     def rows(held: Counter) -> pa.RecordBatch:
-        marks = [_mark(w) for w in held]
-        return pa.RecordBatch.from_arrays([pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int32()), pa.array(list(held.values()), pa.int64())], names=["h", "g", "c"])
+        return pa.RecordBatch.from_arrays([*_halves(list(map(_mark, held))), pa.array(list(held.values()), pa.int64())], names=["h", "g", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -100,6 +105,20 @@ def _count_map():
     return run
 
 
+class _Ids(dict):
+    """Ids of words by their bytes, looked up by their mark when a word is first met."""
+
+    def __init__(self, marks: list[bytes]):
+        super().__init__()
+        self.known = {m: i for i, m in enumerate(marks)}
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD:
+            self.clear()
+        self[word] = found = self.known.get(_mark(word), _OTHER)
+        return found
+
+
 _ENCODED = "row long, doc_id long, held boolean, n_tokens long, n_top long, own double, rest double, ids binary, h array<long>, g array<int>, n array<long>"
 
 
@@ -109,29 +128,31 @@ def _encode_map(top):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, logs = top.value
-        known, cache = {m: i for i, m in enumerate(marks)}, {}
+        number = _Ids(marks).__getitem__
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                out: list[list] = [[] for _ in range(11)]
+                out: list[list] = [[] for _ in range(8)]
+                rest: list[bytes] = []
+                counts: list[int] = []
+                ends = [0]
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
                     words = tokens(text.as_py())
-                    for w in set(words).difference(cache):
-                        cache[w] = known.get(_mark(w), _OTHER)
-                    ids = np.fromiter(map(cache.__getitem__, words), dtype=np.uint16, count=len(words))
+                    ids = np.fromiter(map(number, words), dtype=np.uint16, count=len(words))
                     inside = ids != _OTHER
-                    rest = Counter(w for w, i in zip(words, inside.tolist()) if not i)
+                    others = Counter(map(words.__getitem__, np.flatnonzero(~inside).tolist()))
+                    rest.extend(map(_mark, others))
+                    counts.extend(others.values())
+                    ends.append(len(rest))
                     mine = ids[inside]
-                    lg = logs[mine]
-                    h = [_mark(w) for w in rest]
-                    for column, value in zip(out, (row, doc_id, held_out(doc_id), len(words), int(inside.sum()), float(lg[mine < WORDS].sum()), float(lg[mine >= WORDS].sum()), ids.tobytes(), [m[0] for m in h], [m[1] for m in h], list(rest.values()))):
+                    lg, own = logs[mine], mine < WORDS
+                    for column, value in zip(out, (row, doc_id, held_out(doc_id), len(words), len(mine), float(lg[own].sum()), float(lg[~own].sum()), ids.tobytes())):
                         column.append(value)
                     row += 1
-                    if len(cache) > HELD:
-                        cache = {}
-                types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=[f.split()[0] for f in _ENCODED.split(", ")])
+                types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (*_halves(rest), pa.array(counts, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, types)), *lists], names=[f.split()[0] for f in _ENCODED.split(", ")])
 
     return run
 
@@ -178,7 +199,7 @@ class Model:
     def features(self, before: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of either table, as (feature, token)."""
         a, b = before
-        return np.stack([_hashed(CLASS_ROWS, 1, a), _hashed(CLASS_ROWS, 2, a, b), _hashed(CLASS_ROWS, 3, b)]), np.stack([_hashed(WORD_ROWS, 5, a), _hashed(WORD_ROWS, 6, b)])
+        return np.stack([_hashed(CLASS_ROWS, 1, a), _hashed(CLASS_ROWS, 2, a, b), _hashed(CLASS_ROWS, 3, b)]), _hashed(WORD_ROWS, 4, a)[None]
 
     def _softmax(self, logits: np.ndarray) -> np.ndarray:
         logits -= logits.max(axis=1, keepdims=True)
@@ -187,9 +208,10 @@ class Model:
         return logits
 
     def _summed(self, table: np.ndarray, rows: np.ndarray, bias: np.ndarray, span: slice = slice(None)) -> np.ndarray:
-        logits = table[rows[0], span]
+        table = table[:, span]
+        logits = np.take(table, rows[0], axis=0)
         for r in rows[1:]:
-            logits += table[r, span]
+            logits += np.take(table, r, axis=0)
         logits += bias[span]
         return logits
 
@@ -289,7 +311,7 @@ def _train_map(model, rate: float):
             at = 0
             while at < len(order):
                 some = order[at : at + min(STEP, FIRST + seen // 16)]
-                net.step(ids[some], (rows[0][:, some], rows[1][:, some]), rate / math.sqrt(1 + seen / (32 * STEP)), used)
+                net.step(ids[some], (rows[0][:, some], rows[1][:, some]), rate / math.sqrt(1 + seen / (16 * STEP)), used)
                 at += len(some)
                 seen += len(some)
         task = TaskContext.get().partitionId()
@@ -426,8 +448,8 @@ def _score_map(model):
                 rows = net.features(before)
                 owner = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
                 score, inside = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
-                for i in range(0, len(ids), STEP):
-                    some = slice(i, i + STEP)
+                for i in range(0, len(ids), STEP // 2):
+                    some = slice(i, i + STEP // 2)
                     p = net.log_probabilities(ids[some], (rows[0][:, some], rows[1][:, some]))
                     score += np.bincount(owner[some], p, len(texts))
                     inside += np.bincount(owner[some], ids[some] < len(net.slot), len(texts)).astype(np.int64)
@@ -445,7 +467,8 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     top = counts.orderBy(F.desc("c"), "h", "g").limit(TOP).collect()  # at most TOP rows
     known = np.array([r.c for r in top], dtype=np.int64)
-    held = sc.broadcast(([(r.h, r.g) for r in top], np.log10(known + 1.0)))
+    marks = np.array([(r.h, r.g) for r in top], dtype=[("h", "<i8"), ("g", "<i4")]).tobytes()
+    held = sc.broadcast(([marks[i : i + 12] for i in range(0, len(marks), 12)], np.log10(known + 1.0)))
     encoded = staged(source.mapInArrow(_encode_map(held), _ENCODED), "maxent")
     model = fit(encoded, known, total, distinct)
     # the model's own rows of ids beside its sums of counts

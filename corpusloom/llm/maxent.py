@@ -108,14 +108,14 @@ def _count_map():
 class _Ids(dict):
     """Ids of words by their bytes, looked up by their mark when a word is first met."""
 
-    def __init__(self, marks: list[bytes]):
+    def __init__(self, marks: list[bytes], other: int):
         super().__init__()
-        self.known = {m: i for i, m in enumerate(marks)}
+        self.known, self.other = {m: i for i, m in enumerate(marks)}, other
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= HELD:
             self.clear()
-        self[word] = found = self.known.get(_mark(word), _OTHER)
+        self[word] = found = self.known.get(_mark(word), self.other)
         return found
 
 
@@ -128,7 +128,7 @@ def _encode_map(top):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, logs = top.value
-        number = _Ids(marks).__getitem__
+        number = _Ids(marks, _OTHER).__getitem__
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -459,13 +459,27 @@ def _score_map(model):
     return run
 
 
+def _least_count(counts: DataFrame) -> int:
+    """The least count of the words that every task knows: at most ``TOP`` reach it. Counts
+    are told apart by their first seven bits, so the driver sees a few thousand rows."""
+    level = F.expr("128 * length(bin(c)) + shiftright(c, greatest(length(bin(c)) - 7, 0))")
+    least, n = 1 << 62, 0
+    for _, low, words in sorted(counts.groupBy(level.alias("level")).agg(F.min("c"), F.count("*")).collect(), reverse=True):
+        n += words
+        if n > TOP:
+            break
+        least = low
+    return least
+
+
 def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     sc = docs.sparkSession.sparkContext
     source = spread(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")))
     counts = cut(source.mapInArrow(_count_map(), "h long, g int, c long").groupBy("h", "g").agg(F.sum("c").alias("c")))
     distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    top = counts.orderBy(F.desc("c"), "h", "g").limit(TOP).collect()  # at most TOP rows
+    least = _least_count(counts)
+    top = sorted(counts.where(F.col("c") >= least).collect(), key=lambda r: (-r.c, r.h, r.g))  # at most TOP rows
     known = np.array([r.c for r in top], dtype=np.int64)
     marks = np.array([(r.h, r.g) for r in top], dtype=[("h", "<i8"), ("g", "<i4")]).tobytes()
     held = sc.broadcast(([marks[i : i + 12] for i in range(0, len(marks), 12)], np.log10(known + 1.0)))
@@ -474,7 +488,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     # the model's own rows of ids beside its sums of counts
     scored = encoded.select("row", "ids").mapInArrow(_score_map(sc.broadcast(model)), "row long, model double, inside long")
     others = encoded.select("row", F.inline(F.arrays_zip("h", "g", "n")))
-    rare = counts.where(F.col("c") <= int(known[-1])) if len(known) == TOP else counts.limit(0)
+    rare = counts.where(F.col("c") < least)
     looked = others.join(rare, ["h", "g"]).groupBy("row").agg(F.sum("n").alias("met"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"))
     rows = encoded.select("row", "doc_id", "held", "n_tokens", "n_top", "own", "rest").join(scored, "row").join(looked, "row", "left")
     own = known[:WORDS]

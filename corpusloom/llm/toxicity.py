@@ -8,11 +8,15 @@ logistic unit scores the pooled state. A text is covered by overlapping windows
 highest window's.
 
 Training takes a bounded sample of labelled rows (``MAX_TOXIC`` and ``MAX_CLEAN``, the
-first by a hash of doc_id, and of these as many of each class as ``MAX_CHARS`` characters
-hold) in one task; scoring is a map over all rows. Of unlike texts with one doc_id the one
+first by a hash of doc_id) in one task. Where the texts of a class have more than
+``MAX_CHARS`` characters, the longest ones teach by ``PIECES`` stretches spread over all of
+the text, as long as that bound allows; every row of the sample teaches. Scoring is a map
+over all rows. Of unlike texts with one doc_id the one
 of the least hash teaches, so the model depends on the rows alone; a doc_id with unlike
 labels counts as toxic. A null or empty text, or one without words, has the score of an
-empty window; a text of any length is scored whole. Rows that repeat are scored alike. With
+empty window; a text of any length is scored whole, by the same windows as if it were
+handled at once. Words of more than ``MAX_WORD`` bytes count as several. Rows that repeat
+are scored alike. With
 no labelled rows of both classes every score is 0; an empty table gives no rows. Input
 columns may have any names; one named like the score column is replaced by it.
 """
@@ -20,21 +24,22 @@ columns may have any names; one named like the score column is replaced by it.
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import inner, spread
+from .common import cut, inner, spread
 
 WINDOW, STRIDE = 64, 56
 #: Labelled rows that training reads at most.
 MAX_TOXIC, MAX_CLEAN = 1500, 3000
-#: Characters of their texts at most, for each class.
-MAX_CHARS = 24_000_000
+#: Characters of their texts at most, for each class, and stretches of a text beyond it.
+MAX_CHARS, PIECES = 24_000_000, 16
 #: A text at or above this score is toxic.
 THRESHOLD = 0.7
 
@@ -44,8 +49,8 @@ EPOCHS, STEPS = 10, 90
 BATCH, RATE = 256, 0.02
 #: Training texts that a word needs for an embedding of its own.
 MIN_TEXTS = 3
-#: Characters of text that one scoring step handles.
-STEP_CHARS = 3_000_000
+#: Bytes of text that one scoring step handles, and of a word.
+STEP_BYTES, MAX_WORD = 3_000_000, 4096
 #: Windows that run side by side.
 LANES = 2048
 
@@ -61,11 +66,24 @@ def _powers(n: int) -> np.ndarray:
         return np.cumprod(up)
 
 
+_LONG = re.compile(rb"[0-9A-Za-z\x80-\xff]{%d}(?=[0-9A-Za-z\x80-\xff])" % MAX_WORD)
+
+
+def _raw(text: str) -> bytes:
+    """A text in lower case, with a gap after every MAX_WORD bytes of a word."""
+    raw = text.lower().encode("utf-8", "replace")
+    if len(raw) > MAX_WORD:
+        gaps = np.flatnonzero(~_WORD_BYTE[np.frombuffer(raw, dtype=np.uint8)])
+        if np.diff(gaps, prepend=-1, append=len(raw)).max() > MAX_WORD + 1:
+            raw = _LONG.sub(rb"\g<0>\n", raw)
+    return raw
+
+
 class Words:
     """The words of some texts: their distinct forms, and for each word its form and text."""
 
-    def __init__(self, texts: list[str]):
-        raw = [t.lower().encode("utf-8", "replace") for t in texts]
+    def __init__(self, texts: list[str | bytes]):
+        raw = [t if isinstance(t, bytes) else _raw(t) for t in texts]
         data = np.frombuffer(b"\0\0" + b"\n".join(raw) + b"\0\0\0\0", dtype=np.uint8)
         inside = _WORD_BYTE[data]
         inside[:2] = inside[-4:] = False
@@ -94,12 +112,13 @@ class Words:
         bucket = np.where(inside, data, np.uint8(0)).astype(np.uint32)
         for step in (1, 2):  # two doublings join four bytes
             bucket = bucket[:-step] | (bucket[step:] << np.uint32(8 * step))
-        bucket *= np.uint32(2654435761)
-        bucket >>= np.uint32(32 - CHAR_BITS)
         n = np.maximum(end[first] - start[first] - 1, 1)
         at = np.cumsum(n) - n
         self.piece_at, self.piece_n = at, n
-        self.pieces = bucket[np.repeat(start[first] - 1 - at, n) + np.arange(int(n.sum()))].astype(np.int64)
+        pieces = bucket[np.repeat(start[first] - 1 - at, n) + np.arange(int(n.sum()))]
+        pieces[at[end[first] - start[first] == 1]] &= np.uint32(0xFFFFFF)  # nothing of the next word
+        pieces *= np.uint32(2654435761)
+        self.pieces = (pieces >> np.uint32(32 - CHAR_BITS)).astype(np.int64)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first word, length, text) of every window; a text without words has none."""
@@ -217,7 +236,7 @@ class Model:
         return g, x_slope
 
     # ----------------------------------------------------------------- scoring
-    def logits(self, texts: list[str]) -> np.ndarray:
+    def logits(self, texts: list[str | bytes]) -> np.ndarray:
         """The highest window's logit of every text."""
         out = np.full(len(texts), self.w["bias"][0], dtype=np.float64)
         words = Words(texts)
@@ -234,44 +253,42 @@ class Model:
         return np.where(np.isfinite(best), best, out)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        """Scores of whole texts; a very long text is handled in overlapping stretches."""
+        """Scores of whole texts; a very long text is handled in stretches of its windows."""
         parts, owner = [], []
         for i, t in enumerate(texts):
-            for part in _stretches(t or ""):
+            for part in _stretches(_raw(t or "")):
                 parts.append(part)
                 owner.append(i)
         best, at = np.full(len(texts), -np.inf), 0
         while at < len(parts):
-            end, chars = at, 0
-            while end < len(parts) and (end == at or chars + len(parts[end]) <= STEP_CHARS):
-                chars += len(parts[end])
+            end, size = at, 0
+            while end < len(parts) and (end == at or size + len(parts[end]) <= STEP_BYTES):
+                size += len(parts[end])
                 end += 1
             np.maximum.at(best, owner[at:end], self.logits(parts[at:end]))
             at = end
         return _sigmoid(best)
 
 
-def _gap(ch: str) -> bool:
-    """Whether a character parts words, as in ``Words``."""
-    return ch < "\x80" and not ch.isalnum()
-
-
-def _stretches(text: str) -> Iterator[str]:
-    """A text in stretches cut between words that share at least a window of words, or as
-    many as half of ``STEP_CHARS`` holds; a word longer than that half may be cut."""
-    at = 0
-    while len(text) - at > STEP_CHARS:
-        least = at + max(1, STEP_CHARS // 2)
-        cut = next((i for i in range(at + STEP_CHARS, least, -1) if _gap(text[i])), at + STEP_CHARS)
-        yield text[at:cut]
-        back, found = cut, 0
-        for i in range(cut - 1, least - 1, -1):
-            if not _gap(text[i]) and _gap(text[i - 1]):
-                back, found = i, found + 1
-                if found == WINDOW:
-                    break
-        at = back
-    yield text[at:]
+def _stretches(raw: bytes) -> Iterator[bytes]:
+    """A text in stretches of at most about ``STEP_BYTES``, each of which holds whole windows
+    of the text and begins where a window does: together they have the text's windows."""
+    if len(raw) <= STEP_BYTES:
+        yield raw
+        return
+    inside = _WORD_BYTE[np.frombuffer(raw, dtype=np.uint8)]
+    start = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0) == 1)
+    del inside
+    first = 0
+    while True:
+        # as many windows as fit, one at least
+        room = int(np.searchsorted(start, start[first] + STEP_BYTES)) - first if len(start) else 0
+        last = first + max(0, (room - WINDOW - 1) // STRIDE) * STRIDE + WINDOW
+        if last >= len(start):
+            yield raw[start[first] :] if len(start) else b""
+            return
+        yield raw[start[first] : start[last]]
+        first = last - WINDOW + STRIDE
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
@@ -369,6 +386,16 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _level(sizes: list[int]) -> int:
+    """The length up to which texts teach whole so that all have ``MAX_CHARS`` characters."""
+    left = MAX_CHARS
+    for i, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - i) > left:
+            return max(PIECES, left // (len(sizes) - i))
+        left -= n
+    return max(sizes, default=0) + PIECES
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> bytes | None:
     """A pickled model of a bounded sample of the labelled rows that may teach."""
     known = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull() & ~held_out(id_column)).groupBy(F.col(id_column).cast("long").alias("_id")).agg(F.max(label_column).cast("int").alias("_y"))
@@ -378,9 +405,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     rows, column = inner(docs)
     texts = rows.select(F.col(column[id_column]).cast("long").alias("_id"), F.coalesce(F.col(column[text_column]).cast("string"), F.lit("")).alias("_t")).join(F.broadcast(sample), "_id")
     teachers = texts.groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("_t").alias("h"), F.col("_t").alias("t"))).alias("x"))
-    # the window sees the rows of the sample only
-    upto = F.sum(F.length("x.t")).over(Window.partitionBy("_y").orderBy(F.md5(F.col("_id").cast("string"))))
-    bounded = teachers.withColumn("upto", upto).where(F.col("upto") <= MAX_CHARS).select("_id", F.col("x.t").alias("_t"), "_y")
+    teachers = cut(teachers.select("_id", "_y", F.col("x.t").alias("_t")))
+    sizes = teachers.select("_y", F.length("_t")).collect()  # a number a row of the sample
+    levels = [_level([n for y, n in sizes if y == k]) for k in (0, 1)]
+    most = F.when(F.col("_y") == 1, levels[1]).otherwise(levels[0])
+    piece, n = F.floor(most / PIECES).cast("int"), F.length("_t")
+    spread_out = F.concat_ws("\n", *[F.col("_t").substr((F.floor((n - piece) * i / (PIECES - 1)) + 1).cast("int"), piece) for i in range(PIECES)])
+    bounded = teachers.select("_id", F.when(n > most, spread_out).otherwise(F.col("_t")).alias("_t"), "_y")
     found = bounded.repartition(1).mapInArrow(_train_map(), "model binary").collect()
     return bytes(found[0][0]) if found else None
 

@@ -284,17 +284,73 @@ def test_many_unclosed_elements_take_linear_time():
     assert html_content.parse("<svg><p>a" * 50_000)[1][-1][1] == "a"
 
 
-def test_stretches_advance_without_spaces(monkeypatch):
-    monkeypatch.setattr(toxicity, "STEP_CHARS", 3000)
-    words = [f"w{i}" for i in range(4000)]
-    for gap in "\n", "\t", ",", " ":
-        parts = list(toxicity._stretches(gap.join(words)))
-        assert len(parts) < 30 and set(words) == {w for p in parts for w in p.split(gap) if w}
-        held = [p.strip(gap).split(gap) for p in parts]
-        assert all(b[0] in a and len(a) - a.index(b[0]) == toxicity.WINDOW for a, b in zip(held, held[1:]))
-    for text in ("x" * 20_000, "\u4e2d" * 20_000, "-" * 20_000, "\n".join(["y" * 700] * 40)):
-        parts = list(toxicity._stretches(text))
-        assert len(parts) <= len(text) // 1500 + 1 and sum(map(len, parts)) >= len(text) - len(parts) and max(map(len, parts)) <= 3000
+def _toxic_model(rng):
+    shapes = {"word": (5, 8), "char": (1 << toxicity.CHAR_BITS, 8), "gate": (2, 16, 24), "gate_bias": (2, 24), "recur": (2, 8, 24), "attend": (16,), "out": (16,), "bias": (1,)}
+    return toxicity.Model(np.zeros(0, dtype=np.uint64), {k: rng.normal(size=n).astype(np.float32) / 2 for k, n in shapes.items()})
+
+
+def _window_logit(model, words):
+    """One window, word by word and number by number."""
+    w, inputs = model.w, []
+    for word in words:
+        padded = b"\0" + word + b"\0"
+        padded += b"\0" * max(0, 4 - len(padded))
+        buckets = [(int.from_bytes(padded[i : i + 4], "little") * 2654435761 % 2**32) >> (32 - toxicity.CHAR_BITS) for i in range(max(1, len(word) - 1))]
+        inputs.append(np.concatenate([w["word"][0], sum(w["char"][b] for b in buckets) / len(buckets)]))
+    states = []
+    for d, order in ((0, range(len(words))), (1, range(len(words) - 1, -1, -1))):
+        h, own = np.zeros(8), {}
+        for t in order:
+            a, b = inputs[t] @ w["gate"][d] + w["gate_bias"][d], h @ w["recur"][d]
+            z, r = 1 / (1 + np.exp(-(a[:8] + b[:8]))), 1 / (1 + np.exp(-(a[8:16] + b[8:16])))
+            h = own[t] = z * h + (1 - z) * np.tanh(a[16:] + r * b[16:])
+        states.append(own)
+    both = [np.concatenate([states[0][t], states[1][t]]) for t in range(len(words))]
+    e = np.exp([s @ w["attend"] for s in both])
+    return sum(p * s for p, s in zip(e / e.sum(), both)) @ w["out"] + w["bias"][0]
+
+
+def test_scores_equal_a_loop_over_words_and_windows(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = _toxic_model(rng)
+    size, step = toxicity.WINDOW, toxicity.STRIDE
+    texts = ["one", "Two words", " ".join(f"w{i}" for i in range(64)), ", ".join(f"é{i}" for i in range(65)), "\n".join(rng.choice(["ab", "Bad", "gooood", "x1"], 700)), "", "-- !"]
+    want = []
+    for t in texts:
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", t.lower().encode())
+        starts = range(0, max(1, len(words) - size + step), step) if words else []
+        want.append(max((_window_logit(model, words[i : i + size]) for i in starts), default=float(model.w["bias"][0])))
+    want = 1 / (1 + np.exp(-np.array(want)))
+    assert np.allclose(model.scores(texts), want, atol=1e-4)
+    # the same windows, whatever a step holds
+    for bytes_ in (1000, 300, 40):
+        monkeypatch.setattr(toxicity, "STEP_BYTES", bytes_)
+        assert np.allclose(model.scores(texts), want, atol=1e-4)
+
+
+def test_very_long_texts_and_words_have_the_same_windows(monkeypatch):
+    model = _toxic_model(np.random.default_rng(3))
+    texts = ["x" * 50_000, "\u4e2d" * 20_000, "-" * 20_000, "\n".join(["y" * 700] * 900), " ".join(f"w{i}" for i in range(60_000)), "z" * 4096 + " " + "q" * 4097, "a " * 500 + "b" * 9000 + " c" * 500]
+    whole = model.scores(texts)
+    for bytes_ in (70_000, 4000):
+        monkeypatch.setattr(toxicity, "STEP_BYTES", bytes_)
+        assert np.allclose(model.scores(texts), whole, atol=1e-5)
+        parts = list(toxicity._stretches(toxicity._raw(texts[4])))
+        assert len(parts) > 5 and max(map(len, parts)) <= bytes_ + 10
+    assert len(toxicity.Words(["x" * 9000]).form) == 3
+
+
+@pytest.mark.parametrize("toxic", [0, 1])
+def test_one_very_long_teacher_drops_no_other(spark, monkeypatch, toxic):
+    rows = toxic_corpus()
+    monkeypatch.setattr(toxicity, "MAX_CHARS", sum(len(t) for _, t, y in rows if y == 0))
+    long = [(5000 + i, "plain words in a row " * 40_000) for i in range(6)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + long, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(i, toxic) for i, _ in long[: 6 if toxic == 0 else 1]], "doc_id long, toxic int")
+    by = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    test = [(by[i].predicted, y) for i, _, y in rows if by[i].held_out]
+    assert sum(p == y for p, y in test) >= 0.95 * len(test)
+    assert toxicity._level([5, 10, 10**9]) == toxicity.MAX_CHARS - 15 and toxicity._level([1, 2]) >= 2
 
 
 def test_surrogates_of_plain_phones_ipv6_and_bare_given_names(spark):

@@ -189,7 +189,7 @@ def _set_map(words: int, common):
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 nodes, prints, sizes, keys, parity = [], [], [], [], []
-                for text in part.column(2):
+                for text in part.column(1):
                     hashes = _hashes(text.as_py(), words)
                     x = np.unique(hashes)
                     nodes.append(_node(x))
@@ -204,41 +204,55 @@ def _set_map(words: int, common):
                         at = np.minimum(np.searchsorted(known, x), len(known) - 1)
                         x = x[np.argsort(np.where(known[at] == x, sorter[at] + 1, 0), kind="stable")]
                     keys.append(x[: len(x) - _least(len(x)) + 2])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), _lists(keys), pa.array(parity, pa.list_(pa.int64()))], names=["id", "t", "node", "print", "size", "keys", "parity"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), _lists(keys), pa.array(parity, pa.list_(pa.int64()))], names=["id", "t", "node", "print", "size", "keys", "parity"])
 
     return run
 
 
-#: Bits of the filters over text hashes, 2 MB. A filter only spares work: texts that pass it
-#: by chance are sorted out by joins, so its fixed size never changes a result.
-FILTER_BITS = 1 << 24
+#: Bits of a filter for each hash in it, and of any filter at most (32 MB). Beyond that the
+#: hashes are joined to the rows instead. A filter only spares work: what passes it by chance
+#: is sorted out by joins, so its size never changes a result.
+HASH_BITS, MAX_BITS_HELD = 16, 1 << 28
+#: Bits of one bucket of Spark's bitmaps.
+_BUCKET = 1 << 15
 
 
 def _filter(hashes: DataFrame, column: str):
-    """The hashes that occur in ``column``, as a broadcast bitmap of ``FILTER_BITS`` bits,
-    put together by the executors from buckets of 4 KB."""
-    place = F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1  # Spark's buckets begin at 1
+    """A broadcast bitmap of the hashes in ``column``, sized by their number and put together
+    by the executors in buckets of 4 KB; None if it would be too large."""
+    n = hashes.count()
+    bits = max(_BUCKET, 1 << (HASH_BITS * n - 1).bit_length()) if n else _BUCKET
+    if bits > MAX_BITS_HELD:
+        return None
+    place = F.pmod(F.col(column), F.lit(bits)) + 1  # Spark's buckets begin at 1
     buckets = hashes.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    bitmap = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for k, bits in buckets:
-        bitmap[(k - 1) * 4096 : k * 4096] = np.frombuffer(bits, dtype=np.uint8)
+    bitmap = np.zeros(bits // 8, dtype=np.uint8)
+    for k, some in buckets:
+        bitmap[(k - 1) * 4096 : k * 4096] = np.frombuffer(some, dtype=np.uint8)
     return hashes.sparkSession.sparkContext.broadcast(bitmap)
 
 
 def _passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = hashes % FILTER_BITS
+    place = hashes % (8 * len(bitmap))
     return (bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _member_map(words: int, wanted=None):
-    """(node, shingles) of every row's set, or of those whose text hash passes a filter."""
+def _narrowed(rows: DataFrame, hashes: DataFrame, column: str) -> DataFrame:
+    """The rows whose last column may be among the hashes in ``column``."""
+    held = _filter(hashes, column)
+    if held is None:
+        last = rows.columns[-1]
+        return rows.join(hashes.select(F.col(column).alias(last)).distinct(), last, "left_semi").select(rows.columns)
+    return rows.mapInArrow(_filter_map(held, True), rows.schema)
+
+
+def _member_map(words: int):
+    """(node, shingles) of every row's set, from (id, text, text hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if wanted is not None:
-                batch = batch.filter(pa.array(_passes(wanted.value, batch.column(1).to_numpy())))
             for i in range(0, batch.num_rows, 64):
-                sets = [np.unique(_hashes(t.as_py(), words)) for t in batch.column(2).slice(i, 64)]
+                sets = [np.unique(_hashes(t.as_py(), words)) for t in batch.column(1).slice(i, 64)]
                 yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), _lists(sets)], names=["node", "shingles"])
 
     return run
@@ -293,7 +307,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, source: DataFrame, words: int)
     pairs = cut(pairs.where(apart * sum(LIKENESS) <= (LIKENESS[1] - LIKENESS[0]) * (F.col("size_a") + F.col("size_b"))).select("a", "b"))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = rows.join(wanted, "node", "left_semi")
-    sets = source.mapInArrow(_member_map(words, _filter(texts, "t")), "node long, shingles array<long>")
+    sets = _narrowed(source, texts, "t").mapInArrow(_member_map(words), "node long, shingles array<long>")
     sets = cut(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
     a, b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
     shared = F.size(F.array_intersect("set_a", "set_b"))
@@ -321,7 +335,7 @@ def _shared(index: DataFrame, value: str) -> DataFrame:
 def likeness_links(source: DataFrame, prints: DataFrame, rows: DataFrame, known: DataFrame, words: int) -> DataFrame:
     """(a, b): edges that, with ``known`` ones, join all nodes of Jaccard likeness 0.8.
 
-    ``source`` has (_id, _t, text), ``prints`` the prefixes, ``rows`` a row (id, t) of every
+    ``source`` has (_id, text, _t), ``prints`` the prefixes, ``rows`` a row (id, t) of every
     node. Near copies share a key of their prefixes. First every set is compared with the
     smallest node of its keys, which joins groups of copies without making all their pairs;
     then, for keys that still hold several components, unlike components are compared: all
@@ -355,8 +369,7 @@ def likeness_links(source: DataFrame, prints: DataFrame, rows: DataFrame, known:
 
     rest = _promising(calm, crowded.groupBy("node").agg(F.count("*").alias("more")))
     near = prints.where(F.size("keys") > 0).select("keys", "node")
-    near = near.mapInArrow(_filter_map(_filter(crowded, "node"), True), near.schema)
-    second = near.join(crowded.select("node").distinct(), "node", "left_semi").select("node", F.explode("keys").alias("second")).distinct()
+    second = _narrowed(near, crowded, "node").join(crowded.select("node").distinct(), "node", "left_semi").select("node", F.explode("keys").alias("second")).distinct()
     twice = crowded.join(second, "node").where("second <> key")
     both = paired(twice, ["key", "second"]).where(_sizes_fit()).groupBy("a", "b", "size_a", "size_b", "key").agg(F.count("*").alias("n"))
     # here all that the longer prefixes share is counted, the key itself aside
@@ -378,7 +391,7 @@ def deduplicate(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text
     outer, column = inner(docs)
     text = F.col(column[text_column]).cast("string")
     marked = outer.withColumn("_id", F.coalesce(F.col(column[id_column]).cast("long"), F.lit((1 << 63) - 1))).withColumn("_t", F.xxhash64(text))
-    source = spread(marked.select("_id", "_t", text.alias("text")))
+    source = spread(marked.select("_id", text.alias("text"), "_t"))
     common = docs.sparkSession.sparkContext.broadcast(_common(source, words))  # at most 1 MB
     prints = cut(source.mapInArrow(_set_map(words, common), "id long, t long, node long, print long, size int, keys array<long>, parity array<long>"))
     rows = cut(prints.groupBy("node").agg(F.min(F.struct("id", "t", "size", "parity")).alias("r")).select("node", "r.*"))
@@ -393,8 +406,13 @@ def deduplicate(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text
     # a text under two ids, or a set with two texts, has one row in ``rows``: the others fall too
     others = prints.select("id", "t").join(rows.select("id", "t"), ["id", "t"], "left_anti")
     repeated = prints.groupBy("id", "t").count().where("count > 1").select("id", "t")
-    some = _filter(fallen.union(others).union(repeated), "t")
+    moved = cut(fallen.union(others).union(repeated).select("t").distinct())
     kept = named.select(F.col("r.id").alias("_id"), F.col("r.t").alias("_t"))
-    alone = marked.mapInArrow(_filter_map(some, False), marked.schema)
-    met = marked.mapInArrow(_filter_map(some, True), marked.schema).join(kept, ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"])
+    some = _filter(moved, "t")
+    if some is None:
+        alone = marked.join(moved.withColumnRenamed("t", "_t"), "_t", "left_anti").select(marked.columns)
+        met = marked.join(moved.withColumnRenamed("t", "_t"), "_t", "left_semi").select(marked.columns)
+    else:
+        alone, met = (marked.mapInArrow(_filter_map(some, inside), marked.schema) for inside in (False, True))
+    met = met.join(kept, ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"])
     return alone.select(*outer.columns).union(met.select(*outer.columns)).toDF(*docs.columns)

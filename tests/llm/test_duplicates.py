@@ -224,3 +224,18 @@ def test_deduplicate_keeps_unlike_texts_of_one_id(spark):
     rows = [(1, a), (2, a.upper()), (2, b), (3, b + " end"), (3, c), (3, c)]
     kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept)) == [(1, a), (2, b), (3, c)]
+
+
+def test_filters_and_joins_keep_the_same_rows(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(40)) for _ in range(40)) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t + " end") for i, t in enumerate(base[:12])] + [(3, base[3]), (7, base[8]), (None, base[9]), (200, None), (201, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lambda: sorted(map(tuple, simhash.deduplicate(docs).collect()), key=repr)
+    found = held()
+    assert len(found) == 31
+    monkeypatch.setattr(simhash, "MAX_BITS_HELD", 0)
+    assert held() == found
+    monkeypatch.setattr(simhash, "MAX_BITS_HELD", 1 << 28)
+    monkeypatch.setattr(simhash, "HASH_BITS", 1)
+    assert held() == found

@@ -217,33 +217,20 @@ HASH_BITS, MAX_BITS_HELD = 16, 1 << 28
 _BUCKET = 1 << 15
 
 
-def _filter(hashes: DataFrame, column: str):
-    """A broadcast bitmap of the hashes in ``column``, sized by their number and put together
-    by the executors in buckets of 4 KB; None if it would be too large."""
+def _narrowed(rows: DataFrame, hashes: DataFrame, column: str, inside: bool = True) -> DataFrame:
+    """The rows whose last column may be among the hashes in ``column``, or those for which
+    it is surely not: a bitmap sized by the number of hashes is put together by the executors
+    in buckets of 4 KB, broadcast, and looked up bucket by bucket where the rows lie."""
+    last = rows.columns[-1]
     n = hashes.count()
     bits = max(_BUCKET, 1 << (HASH_BITS * n - 1).bit_length()) if n else _BUCKET
     if bits > MAX_BITS_HELD:
-        return None
-    place = F.pmod(F.col(column), F.lit(bits)) + 1  # Spark's buckets begin at 1
-    buckets = hashes.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    bitmap = np.zeros(bits // 8, dtype=np.uint8)
-    for k, some in buckets:
-        bitmap[(k - 1) * 4096 : k * 4096] = np.frombuffer(some, dtype=np.uint8)
-    return hashes.sparkSession.sparkContext.broadcast(bitmap)
-
-
-def _passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = hashes % (8 * len(bitmap))
-    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-
-
-def _narrowed(rows: DataFrame, hashes: DataFrame, column: str) -> DataFrame:
-    """The rows whose last column may be among the hashes in ``column``."""
-    held = _filter(hashes, column)
-    if held is None:
-        last = rows.columns[-1]
-        return rows.join(hashes.select(F.col(column).alias(last)).distinct(), last, "left_semi").select(rows.columns)
-    return rows.mapInArrow(_filter_map(held, True), rows.schema)
+        return rows.join(hashes.select(F.col(column).alias(last)).distinct(), last, "left_semi" if inside else "left_anti").select(rows.columns)
+    place = lambda c: F.pmod(F.col(c), F.lit(bits)) + 1  # noqa: E731  Spark's buckets begin at 1
+    buckets = hashes.select(place(column).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    met = rows.withColumn("_p", place(last)).withColumn("_at", F.bitmap_bit_position("_p")).join(F.broadcast(buckets), F.bitmap_bucket_number("_p") == F.col("_k"), "left")
+    on = F.expr("cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(_at % 8 as int)) <> 0")
+    return met.where(F.coalesce(on, F.lit(False)) == inside).select(rows.columns)
 
 
 def _member_map(words: int):
@@ -258,16 +245,6 @@ def _member_map(words: int):
     return run
 
 
-def _filter_map(held, inside: bool):
-    """The rows whose text hash, the last column, passes a filter, or those that do not."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_passes(held.value, batch.column(batch.num_columns - 1).to_numpy()) == inside))
-
-    return run
-
-
 def _least(n: int) -> int:
     """Shingles that a set of n shares with any near copy, at least."""
     return -(-LIKENESS[0] * n // LIKENESS[1])
@@ -408,11 +385,6 @@ def deduplicate(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text
     repeated = prints.groupBy("id", "t").count().where("count > 1").select("id", "t")
     moved = cut(fallen.union(others).union(repeated).select("t").distinct())
     kept = named.select(F.col("r.id").alias("_id"), F.col("r.t").alias("_t"))
-    some = _filter(moved, "t")
-    if some is None:
-        alone = marked.join(moved.withColumnRenamed("t", "_t"), "_t", "left_anti").select(marked.columns)
-        met = marked.join(moved.withColumnRenamed("t", "_t"), "_t", "left_semi").select(marked.columns)
-    else:
-        alone, met = (marked.mapInArrow(_filter_map(some, inside), marked.schema) for inside in (False, True))
+    alone, met = (_narrowed(marked, moved, "t", inside) for inside in (False, True))
     met = met.join(kept, ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"])
     return alone.select(*outer.columns).union(met.select(*outer.columns)).toDF(*docs.columns)

@@ -87,16 +87,17 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column:
     """(query_id, id, score, rank) of the k most similar rows by cosine; zero vectors score 0.
 
     Vectors that are null, hold null components or have another length than a query cannot
-    be compared with it. Filter ``vectors`` before the call: the filter reaches the scan.
+    be compared with it; rows and queries without an id are left out. Filter ``vectors``
+    before the call: the filter reaches the scan.
     """
     whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
-    asked = queries.where(whole("embedding")).select("query_id", "embedding").collect()  # the stated set
+    asked = queries.where(whole("embedding") & F.col("query_id").isNotNull()).select("query_id", "embedding").collect()  # the stated set
     by_size: dict[int, list] = {}
     for row in asked:
         by_size.setdefault(len(row[1]), []).append(row)
     found = []
     for size, rows in by_size.items():
-        fit = vectors.where(whole(vector_column) & (F.size(vector_column) == size)).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"))
+        fit = vectors.where(whole(vector_column) & (F.size(vector_column) == size) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"))
         for block in _blocks(rows):
             matrix = np.array([r[1] for r in block], dtype=np.float64).reshape(len(block), -1)
             found.append(fit.mapInArrow(_cosine_map([r[0] for r in block], matrix, k, decimals), _SCORED))
@@ -160,8 +161,10 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 50, id_column: str =
     """(query_id, id, score, rank): the k best, filled up with documents of score 0 in id order.
 
     A word that a query repeats counts as often. N, the mean length and document
-    frequencies are those of ``docs``, so filter it first.
+    frequencies are those of ``docs``, so filter it first. Rows and queries without an id
+    are left out; a null text has no words.
     """
+    docs, queries = docs.where(F.col(id_column).isNotNull()), queries.where("query_id is not null")
     # the stated set of queries, and with it the asked terms
     asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")).collect()
     terms = sorted({r.term for r in asked})

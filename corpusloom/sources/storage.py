@@ -13,18 +13,24 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise on the checkpoint folder that the session names; only a local session
-    may use a temporary one."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints, shared by all executors; only a
+    local session may use a temporary one."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
     if sc.getCheckpointDir() is None:
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            at = tempfile.mkdtemp(prefix="corpusloom-")
-            atexit.register(shutil.rmtree, at, ignore_errors=True)
         sc.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise on the checkpoint folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

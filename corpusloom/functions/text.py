@@ -169,12 +169,16 @@ def severity_colour(severity: Column | str) -> Column:
 def token_usage(reply: Column | str, text: Column | str) -> Column:
     """Tokens that a model's JSON reply reports, in total or in and out, in any of the places
     where providers put them; else a quarter of the text's length."""
-    r = as_column(reply)
-    at = lambda path: F.get_json_object(r, f"$.{path}").try_cast("long")
-    places = []
-    for place, names in (("token_usage", ("input", "output")), ("usage", ("input", "output")), ("usage_metadata", ("input", "output")), ("response_metadata.token_usage", ("prompt", "completion")), ("response_metadata.usage", ("prompt", "completion"))):
-        places += [at(place), at(f"{place}.total_tokens"), sum((F.coalesce(at(f"{place}.{n}_tokens"), F.lit(0)) for n in names), F.lit(0))]
-    return first_nonzero(*places, F.floor(F.length(as_column(text)) / 4))
+    def reported(parsed: Column) -> Column:
+        at = lambda path: F.try_variant_get(parsed, f"$.{path}", "string").try_cast("long")
+        places = []
+        for place, names in (("token_usage", ("input", "output")), ("usage", ("input", "output")), ("usage_metadata", ("input", "output")), ("response_metadata.token_usage", ("prompt", "completion")), ("response_metadata.usage", ("prompt", "completion"))):
+            places += [at(place), at(f"{place}.total_tokens"), sum((F.coalesce(at(f"{place}.{n}_tokens"), F.lit(0)) for n in names), F.lit(0))]
+        return first_nonzero(*places, F.lit(0))
+
+    # a lambda's argument is evaluated once, so the reply is parsed once a row
+    found = F.transform(F.array(F.try_parse_json(as_column(reply))), reported)[0]
+    return first_nonzero(found, F.floor(F.length(as_column(text)) / 4))
 
 
 def latency_ms(start: Column | str, end: Column | str) -> Column:

@@ -46,10 +46,21 @@ def cache_ratio(events: DataFrame, by: str, hit) -> DataFrame:
     return events.groupBy(by).agg(hits.alias("hits"), (n - hits).alias("misses"), n.alias("requests"), F.round(F.when(n > 0, hits / n).otherwise(0.0), 4).alias("ratio"))
 
 
+#: Parts of a key's rows that are cut to the newest ones before they meet.
+PARTS = 256
+
+
 def last_costs(events: DataFrame, by: str, order: tuple[str, ...], cost: str, keep: int = 1000) -> DataFrame:
-    """Count, sum, mean and last of the newest ``keep`` costs of each key."""
-    newest = Window.partitionBy(by).orderBy(*[F.desc(c) for c in order])
-    kept = events.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= keep)
+    """Count, sum, mean and last of the newest ``keep`` costs of each key.
+
+    A key's rows are dealt to ``PARTS`` parts by a hash and each keeps its newest, so that
+    one task sees ``keep`` rows a part of a key however many it has.
+    """
+    part = F.pmod(F.xxhash64(*order), F.lit(PARTS))
+    newest = [F.desc(c) for c in order]
+    some = events.select(by, *order, cost, part.alias("_part"))
+    some = some.withColumn("_n", F.row_number().over(Window.partitionBy(by, "_part").orderBy(*newest))).where(F.col("_n") <= keep)
+    kept = some.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*newest))).where(F.col("_n") <= keep)
     return kept.groupBy(by).agg(F.count("*").alias("n"), F.round(F.sum(cost), 6).alias("total"), F.round(F.avg(cost), 6).alias("avg"), F.round(F.max_by(cost, -F.col("_n")), 6).alias("last"))
 
 

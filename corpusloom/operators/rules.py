@@ -155,7 +155,8 @@ def architecture_metrics(lines: DataFrame) -> DataFrame:
     """One row a chunk: lines, classes, functions, mean lengths, imports, type checks."""
     l = F.col("line")  # noqa: E741
     order = Window.partitionBy("chunk_id").orderBy("line_no")
-    after = order.rowsBetween(1, Window.unboundedFollowing)
+    # backwards, so that the frame only grows
+    after = Window.partitionBy("chunk_id").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
     marked = lines.withColumns({"_class": l.rlike(CLASS), "_function": l.rlike(TOP_FUNCTION), "_end": F.when(l.rlike(FUNCTION_END), F.col("line_no"))})
     marked = marked.withColumns({"_in_class": F.max("_class").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_length": F.coalesce(F.min("_end").over(after) - F.col("line_no") - 1, F.count("line_no").over(after))})
     classes, methods = F.count_if("_class"), F.count_if(F.col("_in_class") & l.rlike(METHOD))

@@ -218,7 +218,7 @@ def _search_block(index: VectorIndex, stored: DataFrame, ids: list, asked: np.nd
     most[:, index.cells == ZERO] = 0.0
     order = np.argsort(away - (index.widest if recall >= 1 else 0), axis=1, kind="stable")
     rank = np.argsort(order, axis=1)
-    probes, done, open_ = max(1, len(index.cells) // 16), 0, np.ones(len(ids), dtype=bool)
+    probes, done, open_ = max(1, len(index.cells) // 8), 0, np.ones(len(ids), dtype=bool)
     truth, found = None, None
     while True:
         chosen = (rank >= done) & (rank < probes) & open_[:, None]

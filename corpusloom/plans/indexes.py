@@ -12,7 +12,7 @@ from .catalog import _every_20th, _vector_sql, query
 
 
 def _vector_index(spark, sf):
-    return vector_index.build(load(spark, sf, "embeddings"), f"{shared_dir(spark)}/vector-index-{uuid.uuid4().hex}", 64, payload="label", cells=64)
+    return vector_index.build(load(spark, sf, "embeddings"), f"{shared_dir(spark)}/vector-index-{uuid.uuid4().hex}", 64, payload="label", cells=16)
 
 
 @query(f"WITH {_vector_sql('', 10, 'q.vec_id % 20 = 0')} SELECT * FROM semantic")

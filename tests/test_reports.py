@@ -105,3 +105,18 @@ def test_stateful_stream_keeps_the_newest(spark, tmp_path):
     for r in got[2:]:
         kept = rows[rows.event_type == r.event_type].sort_values(["ts", "event_id"]).tail(20)["value"]
         assert (r.n, r.total, r["last"]) == (20, kept.sum(), kept.iloc[-1])
+
+
+def test_last_costs_of_one_key_that_holds_all_rows(spark):
+    rows = spark.range(20_000).selectExpr("'one' as k", "id % 7000 as ts", "id as event", "id * 0.5 as cost")
+    got = evaluation.last_costs(rows, "k", ("ts", "event"), "cost", 500).collect()
+    newest = sorted(((i % 7000, i) for i in range(20_000)), reverse=True)[:500]
+    costs = [i * 0.5 for _, i in newest]
+    assert [tuple(r) for r in got] == [("one", 500, round(sum(costs), 6), round(sum(costs) / 500, 6), costs[0])]
+
+
+def test_token_usage_of_odd_replies(spark):
+    replies = [('{"usage":7}', 7), ('{"usage":{"total_tokens":"12"}}', 12), ('{"usage_metadata":{"input_tokens":3}}', 3), ('{"response_metadata":{"usage":{"prompt_tokens":2,"completion_tokens":5}}}', 7), ("not json", 2), (None, 2), ("[]", 2), ('{"usage":{"total_tokens":0},"token_usage":"x"}', 2)]
+    rows = spark.createDataFrame([(i, r, "12345678") for i, (r, _) in enumerate(replies)], "i int, reply string, text string")
+    got = [r[1] for r in rows.select("i", t.token_usage("reply", "text").cast("long")).orderBy("i").collect()]
+    assert got == [n for _, n in replies]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, inner, spread
+from .common import cut, inner, spread, staged
 from .components import connected_components
 
 MAX_BITS = 4
@@ -323,13 +323,13 @@ def likeness_links(source: DataFrame, prints: DataFrame, rows: DataFrame, known:
     # a set of n shingles needs n - least + 1 keys; one more is at hand for crowded keys
     first_keys = F.slice("keys", F.lit(1), F.greatest(F.size("keys") - F.when(F.col("size") > 1, 1).otherwise(0), F.lit(0)))
     index = prints.select("node", "size", F.explode(first_keys).alias("key"))
-    held = cut(_shared(index, "node").select("key", "node", "size", "lo").distinct())
+    held = staged(_shared(index, "node").select("key", "node", "size", "lo").distinct(), "near-keys")
     lows = held.where("node = lo").select("key", F.col("node").alias("a"), F.col("size").alias("size_a"))
     stars = held.where("node <> lo").select("key", F.col("node").alias("b"), F.col("size").alias("size_b")).join(lows, "key")
     first = cut(_verified(_promising(stars), rows, source, words))
     groups = connected_components(known.union(first))
     told = held.join(groups, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("c"))
-    open_keys = cut(_shared(told, "c").select("key", "node", "size", "c"))
+    open_keys = staged(_shared(told, "c").select("key", "node", "size", "c"), "near-open")
     components = open_keys.select("key", "c").distinct()
     several = cut(components.groupBy("key").agg(F.count("*").alias("n")))
     few = components.join(several.where(F.col("n") <= CROWDED), "key").groupBy("key").agg(F.collect_list("c").alias("others"))
@@ -370,7 +370,7 @@ def deduplicate(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text
     marked = outer.withColumn("_id", F.coalesce(F.col(column[id_column]).cast("long"), F.lit((1 << 63) - 1))).withColumn("_t", F.xxhash64(text))
     source = spread(marked.select("_id", text.alias("text"), "_t"))
     common = docs.sparkSession.sparkContext.broadcast(_common(source, words))  # at most 1 MB
-    prints = cut(source.mapInArrow(_set_map(words, common), "id long, t long, node long, print long, size int, keys array<long>, parity array<long>"))
+    prints = staged(source.mapInArrow(_set_map(words, common), "id long, t long, node long, print long, size int, keys array<long>, parity array<long>"), "near-sets")
     rows = cut(prints.groupBy("node").agg(F.min(F.struct("id", "t", "size", "parity")).alias("r")).select("node", "r.*"))
     firsts = cut(prints.groupBy("print").agg(F.min("node").alias("first")))
     same = prints.join(firsts, "print").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()

@@ -20,6 +20,7 @@ whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -156,6 +157,8 @@ LIKENESS = (4, 5)
 SAMPLE, COMMON, MAX_COMMON = 16, 2, 1 << 17
 #: Slots of a set's parity bits. Two sets differ in at least as many shingles as slots.
 PARITY = 512
+#: Bits of the sketch that a set's open keys carry: its parity bits, folded.
+SKETCH = 256
 #: Components that share one key beyond which a second shared shingle is asked for.
 CROWDED = 256
 
@@ -274,14 +277,31 @@ def _promising(pairs: DataFrame, uncounted: DataFrame | None = None) -> DataFram
     return counted.where(_alike(F.col("n") + F.greatest(left("size_a"), left("size_b")), F.col("size_a"), F.col("size_b"))).select("a", "b")
 
 
+def _sketch(parity: str) -> list[Column]:
+    """The parity bits of ``SKETCH`` slots, in longs named s0, s1, ...; slots that fall
+    together add up, so that sets still differ in at least as many shingles as slots."""
+    n = SKETCH // 64
+    return [reduce(Column.bitwiseXOR, [F.col(parity)[k] for k in range(i, PARITY // 64, n)]).alias(f"s{i}") for i in range(n)]
+
+
+def _differ(x: str, y: str) -> Column:
+    """Slots in which the sketches of two columns' names, which hold {}, differ."""
+    return sum((F.bit_count(F.col(x.format(i)).bitwiseXOR(F.col(y.format(i)))) for i in range(SKETCH // 64)), F.lit(0))
+
+
+def _near_enough(differ: Column, a: str, b: str) -> Column:
+    """Whether sets that differ in so many shingles at least can be near copies: sets of
+    likeness r differ in (1 - r) / (1 + r) of their sizes' sum."""
+    return differ * sum(LIKENESS) <= (LIKENESS[1] - LIKENESS[0]) * (F.col(a) + F.col(b))
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, source: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets are near copies. Pairs whose parity bits tell them
     apart go first; of the rest, sets are made where their texts lie, so no text is shuffled."""
     for k in "ab":
         pairs = pairs.join(rows.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("parity").alias(f"parity_{k}")), k)
     apart = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY // 64)), F.lit(0))
-    # sets of likeness r differ in (1 - r) / (1 + r) of their sizes' sum
-    pairs = cut(pairs.where(apart * sum(LIKENESS) <= (LIKENESS[1] - LIKENESS[0]) * (F.col("size_a") + F.col("size_b"))).select("a", "b"))
+    pairs = cut(pairs.where(_near_enough(apart, "size_a", "size_b")).select("a", "b"))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = rows.join(wanted, "node", "left_semi")
     sets = _narrowed(source, texts, "t").mapInArrow(_member_map(words), "node long, shingles array<long>")
@@ -329,26 +349,36 @@ def likeness_links(source: DataFrame, prints: DataFrame, rows: DataFrame, known:
     first = cut(_verified(_promising(stars), rows, source, words))
     groups = connected_components(known.union(first))
     told = held.join(groups, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("c"))
-    open_keys = staged(_shared(told, "c").select("key", "node", "size", "c"), "near-open")
-    components = open_keys.select("key", "c").distinct()
-    several = cut(components.groupBy("key").agg(F.count("*").alias("n")))
-    few = components.join(several.where(F.col("n") <= CROWDED), "key").groupBy("key").agg(F.collect_list("c").alias("others"))
-    # a row meets the rows of the key's other components, not those of its own
-    x = open_keys.join(few, "key").select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.explode(F.filter("others", lambda o: o > F.col("c"))).alias("c"))
-    calm = x.join(open_keys.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), "c"), ["key", "c"])
+    sketches = rows.select("node", *_sketch("parity"))
+    open_keys = staged(_shared(told, "c").select("key", "node", "size", "c").join(sketches, "node"), "near-open")
+    longs = [f"s{i}" for i in range(SKETCH // 64)]
+    # of a component: its sizes, and the sketch bits in which all its sets agree
+    bounds = [F.min("size").alias("least"), F.max("size").alias("most"), *(F.bit_and(s).alias(f"all_{s}") for s in longs), *(F.bit_or(s).alias(f"any_{s}") for s in longs)]
+    components = open_keys.groupBy("key", F.col("c").alias("other")).agg(*bounds)
+    several = cut(open_keys.select("key", "c").distinct().groupBy("key").agg(F.count("*").alias("n")))
+    few = components.join(several.where(F.col("n") <= CROWDED).select("key"), "key")
+    side = lambda k, *more: open_keys.select(*more, F.col("node").alias(k), F.col("size").alias(f"size_{k}"), *(F.col(s).alias(f"{s}_{k}") for s in longs))
+    # a row meets the rows of the key's other components, not those of its own, and only of
+    # components that may hold a near copy of it
+    agreed = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"all_{s}")).bitwiseAND(F.bitwise_not(F.col(f"all_{s}").bitwiseXOR(F.col(f"any_{s}"))))) for s in longs), F.lit(0))
+    fits = (F.col("most") * LIKENESS[1] >= F.col("size_a") * LIKENESS[0]) & (F.col("size_a") * LIKENESS[1] >= F.col("least") * LIKENESS[0])
+    x = side("a", "key", "c").join(few, "key").where((F.col("other") > F.col("c")) & fits & _near_enough(agreed, "size_a", "most"))
+    x = x.select("key", F.col("other").alias("c"), "a", "size_a", *(f"{s}_a" for s in longs))
+    alike = _sizes_fit() & _near_enough(_differ("s{}_a", "s{}_b"), "size_a", "size_b")
+    calm = x.join(side("b", "key", "c"), ["key", "c"]).where(alike).select("a", "size_a", "b", "size_b")
     crowded = open_keys.join(several.where(F.col("n") > CROWDED).select("key"), "key", "left_semi")
     if not crowded.take(1):
         return first.union(_verified(_promising(calm), rows, source, words))
 
     def paired(keys: DataFrame, on: list[str]) -> DataFrame:
-        x, y = (keys.select(*on, F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("c").alias(f"c_{k}")) for k in "ab")
-        return x.join(y, on).where("a < b and c_a <> c_b")
+        x, y = (keys.select(*on, F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("c").alias(f"c_{k}"), *(F.col(s).alias(f"{s}_{k}") for s in longs)) for k in "ab")
+        return x.join(y, on).where(F.expr("a < b and c_a <> c_b") & alike)
 
     rest = _promising(calm, crowded.groupBy("node").agg(F.count("*").alias("more")))
     near = prints.where(F.size("keys") > 0).select("keys", "node")
     second = _narrowed(near, crowded, "node").join(crowded.select("node").distinct(), "node", "left_semi").select("node", F.explode("keys").alias("second")).distinct()
     twice = crowded.join(second, "node").where("second <> key")
-    both = paired(twice, ["key", "second"]).where(_sizes_fit()).groupBy("a", "b", "size_a", "size_b", "key").agg(F.count("*").alias("n"))
+    both = paired(twice, ["key", "second"]).groupBy("a", "b", "size_a", "size_b", "key").agg(F.count("*").alias("n"))
     # here all that the longer prefixes share is counted, the key itself aside
     left = F.greatest(*(F.ceil(LIKENESS[0] * F.col(k) / LIKENESS[1]) for k in ("size_a", "size_b"))) - 2
     rest = rest.union(both.where(_alike(F.col("n") + 1 + left, F.col("size_a"), F.col("size_b"))).select("a", "b")).distinct()

@@ -8,7 +8,7 @@ normalised form that its spellings share, gets one keyed surrogate of its own ty
 * digits stay digits and letters stay letters of the same script and case, punctuation and
   lengths stay; country codes, card issuers and top-level domains are kept, card check
   digits made valid again, and IP octets stay in range;
-* a given name has one surrogate in the whole table, whatever title stands before it. Its
+* a given name has one surrogate in the whole table, whatever titles (one to four) stand before it. Its
   gender is decided once: by the lists, else by the titles it is seen with, else it is open;
 * a surname keeps the class of its ending, so that a woman's form stays a woman's form, and
   both forms of one family name ("Иванов", "Иванова") have forms of one surrogate;
@@ -61,8 +61,9 @@ RANGES = ((0x0531, 0x0556), (0x0561, 0x0586), (0x05D0, 0x05EA), (0x0627, 0x063A)
 WIDEN = 3
 
 TITLES = TITLES_MALE + TITLES_FEMALE + TITLES_OTHER
-_TITLE = rf"(?:{'|'.join(TITLES)})\.? "
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+#: Titles may follow one another ("Frau Dr.", "Prof. Dr."), and none is a name.
+_TITLE = rf"(?:(?:{'|'.join(TITLES)})\.? ){{1,4}}"
+_NAME = rf"(?!(?:{'|'.join(TITLES)})(?![\p{{L}}'’-]))\p{{Lu}}[\p{{L}}'’-]+"
 _HEX = "[0-9A-Fa-f]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _FIRST = "".join(sorted({n[0] for n in TITLES + GIVEN_MALE + GIVEN_FEMALE}))
@@ -145,7 +146,8 @@ def _entity(kind, norm: Column, within: Column | None = None, gender: Column | N
 def _name_parts(value: Column) -> Column:
     """The words of a person's name without its title."""
     title = F.regexp_extract(value, rf"^({_TITLE})", 1)
-    by_title = F.when(F.regexp_extract(title, r"^(\p{L}+)", 1).isin(*TITLES_MALE), "m").when(F.regexp_extract(title, r"^(\p{L}+)", 1).isin(*TITLES_FEMALE), "f")
+    telling = F.regexp_extract(title, rf"^(?:(?:{'|'.join(TITLES_OTHER)})\.? )*(\p{{L}}+)", 1)
+    by_title = F.when(telling.isin(*TITLES_MALE), "m").when(telling.isin(*TITLES_FEMALE), "f")
     words = F.split(F.substring(value, F.length(title) + 1, F.length(value)), " ")
     given = lambda w: F.lower(w).isin(*[n.lower() for n in GIVEN_MALE + GIVEN_FEMALE])
 

@@ -102,7 +102,8 @@ def entities(kind, value):
     if kind == "phone":
         return [(kind, digits[-10:], "", None, None, digits[:-10])]
     if kind == "name":
-        title = (TITLE.match(value) or [""])[0].rstrip(". ")
+        titles = [t.rstrip(".") for t in (TITLE.match(value) or [""])[0].split()]
+        title = next((t for t in titles if t not in s.TITLES_OTHER), "")
         words, out = TITLE.sub("", value).split(" "), []
         male, female = ({n.lower() for n in names} for names in (s.GIVEN_MALE, s.GIVEN_FEMALE))
         for i, w in enumerate(words):
@@ -251,3 +252,16 @@ def test_long_text_with_many_people(spark):
     text = " ".join(f"Mr. {n} said that {rng.choice(names)} knows." for n in names)
     [row] = s.replace(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert row.n_entities == 3000 and not set(regex.findall(r"\p{Lu}\w+", row.text)) & set(names)
+
+
+def test_titles_in_a_row(spark):
+    texts = ["Frau Dr. Sabine Müller kam.", "Prof. Dr. Weber kam.", "Herr Prof. Dr. Kowalk kam.", "Dr. Frau Anneke Kowalk kam.", "Frau Dr. kam nicht.", "Herr Sir kam."]
+    rows = s.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), count_column=None).orderBy("doc_id").collect()
+    found = [r.text for r in rows]
+    for text, now, kept in zip(texts, found, ("Frau Dr. ", "Prof. Dr. ", "Herr Prof. Dr. ", "Dr. Frau ")):
+        assert now != text and now.startswith(kept) and now.endswith(" kam.")
+        assert len(now.split()) == len(text.split())
+    assert found[4:] == texts[4:]
+    # one family name has one surrogate, whatever titles it follows
+    assert found[2].split()[-2] == found[3].split()[-2]
+    assert found[3].split()[2].lower().endswith("ina")

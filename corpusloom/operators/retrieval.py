@@ -187,7 +187,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 50, id_column: str =
                 weight[term, q] = times * idf[term]
         found.append(counted.mapInArrow(_bm25_map(block, weight, k, mean or 1.0, decimals), _SCORED))
     # only the k smallest ids can be needed to fill up a list of k
-    first = docs.select(F.col(id_column).cast("long").alias("id")).orderBy("id").limit(k)
+    first = docs.select(F.col(id_column).cast("long").alias("id")).distinct().orderBy("id").limit(k)
     filler = queries.select(F.col("query_id").cast("long").alias("query_id")).crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
     return best(_united([*found, filler], docs).groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
 

@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import retrieval, vector_index
+from ..operators import inverted_index, retrieval, vector_index
 from ..sources.storage import load, shared_dir
-from .catalog import _every_20th, _vector_sql, query
+from .catalog import _bm25_sql, _every_20th, _text_queries, _vector_sql, query
 
 
 def _vector_index(spark, sf):
@@ -34,3 +34,29 @@ def vector_index_recall(spark, sf):
     found = vector_index.search(spark, _vector_index(spark, sf), asked, 10).select("query_id", "id", F.lit(1).alias("hit"))
     true = retrieval.vector_topk(load(spark, sf, "embeddings"), asked, 10)
     return true.join(found, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("*").alias("n"), F.count("hit").alias("found"))
+
+
+def _text_index(spark, docs):
+    return inverted_index.build(docs, f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}")
+
+
+@query(f"WITH {_bm25_sql('', 10)} SELECT * FROM keyword")
+def bm25_index_topk(spark, sf):
+    """Only segments whose bound reaches the tenth score are read."""
+    return inverted_index.search(spark, _text_index(spark, load(spark, sf, "documents")), _text_queries(spark, sf), 10)
+
+
+@query(f"WITH {_bm25_sql('', 10)} SELECT * FROM keyword")
+def bm25_index_refreshed(spark, sf):
+    """An older state (texts of every fifth id differ, benchmark texts are rows too) brought up to date."""
+    docs, more = load(spark, sf, "documents").select("doc_id", "text"), load(spark, sf, "benchmark")
+    older = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("an older text "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    path = _text_index(spark, docs.select("doc_id", older.alias("text")).union(more.select((-1 - F.col("item_id")).alias("doc_id"), "text")))
+    inverted_index.refresh(docs, path)
+    return inverted_index.search(spark, path, _text_queries(spark, sf), 10)
+
+
+@query()
+def bm25_index_blocks(spark, sf):
+    """For every query, the blocks that the index holds of its words and those that are read."""
+    return inverted_index.blocks_read(spark, _text_index(spark, load(spark, sf, "documents")), _text_queries(spark, sf), 10)

@@ -48,18 +48,22 @@ def chunk_filter(spark, sf):
     return load(spark, sf, "documents").where(t.indexable_chunk("text")).select("doc_id", F.substring("text", 1, 500).alias("preview"))
 
 
-_PATHS = "('src/App.PY'), ('web/main.tsx'), ('node_modules/a/b.js'), ('lib/x.min.js'), ('go.mod'), ('poetry.lock'), ('docs/readme'), ('.gitignore'), ('a.b/c.java'), ('pkg/style.map'), ('core/vec.hpp'), ('package.json'), ('main.rs')"
+_FILES = ("src/App.PY", "web/main.tsx", "node_modules/a/b.js", "lib/x.min.js", "go.mod", "poetry.lock", "docs/readme", ".gitignore", "a.b/c.java", "pkg/style.map", "core/vec.hpp", "package.json", "main.rs")
+_PATHS = f"SELECT page_id, regexp_extract(coalesce(url, ''), '^https?://[^/]+/([^?#]*)', 1) || '/' || CASE page_id % {len(_FILES)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_FILES)) + " END AS path FROM pages"
 _EXT = "lower(regexp_extract(path, '[^/.][^/]*(\\.[^./]+)$', 1))"
 
 
 @query(
-    f"SELECT path, CASE {_EXT} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in t.LANGUAGES.items()) + f" END AS language, "
+    f"SELECT page_id, path, CASE {_EXT} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in t.LANGUAGES.items()) + f" END AS language, "
     f"(len(list_intersect(string_split(path, '/'), [{', '.join(repr(d) for d in t.IGNORED_DIRS)}])) > 0 OR list_contains([{', '.join(repr(d) for d in t.IGNORED_FILES)}], string_split(path, '/')[-1]) OR regexp_extract(path, '[^/.][^/]*(\\.[^./]+)$', 1) IN ('.map', '.lock')) AS ignored, "
-    f"list_contains([{', '.join(repr(d) for d in t.DEPENDENCY_FILES)}], string_split(path, '/')[-1]) AS manifest FROM (VALUES {_PATHS}) AS v(path)"
+    f"list_contains([{', '.join(repr(d) for d in t.DEPENDENCY_FILES)}], string_split(path, '/')[-1]) AS manifest FROM ({_PATHS})"
 )
 def language_map(spark, sf):
-    paths = spark.sql(f"SELECT * FROM VALUES {_PATHS} AS v(path)")
-    return paths.select("path", t.language_of("path").alias("language"), t.ignored_path("path").alias("ignored"), t.is_dependency_file(t.file_name("path")).alias("manifest"))
+    """Files below the path of each page."""
+    file = F.element_at(F.array(*map(F.lit, _FILES)), (F.col("page_id") % len(_FILES) + 1).cast("int"))
+    folder = F.regexp_extract(F.coalesce("url", F.lit("")), "^https?://[^/]+/([^?#]*)", 1)
+    paths = load(spark, sf, "pages").select("page_id", F.concat(folder, F.lit("/"), file).alias("path"))
+    return paths.select("page_id", "path", t.language_of("path").alias("language"), t.ignored_path("path").alias("ignored"), t.is_dependency_file(t.file_name("path")).alias("manifest"))
 
 
 @query("SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^https?://([^/]+)/', 1) AS host, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS owner, regexp_extract(url, '^https?://[^/]+/[a-z]+/([0-9]+)', 1) AS name FROM pages WHERE regexp_matches(url, '^https?://[^/]+/[a-z]+/[0-9]+')")
@@ -499,15 +503,18 @@ def score_colours(spark, sf):
     return load(spark, sf, "customer").select("c_custkey", score.alias("score"), t.score_colour(score).alias("colour"))
 
 
-_REQUESTS = "('full', NULL), ('security', NULL), ('performance', NULL), ('style', NULL), ('other', NULL), ('full', 'security,testing')"
+_TYPES = ("full", "security", "performance", "style", "dependencies", "other")
+_REQUESTS = f"SELECT o_orderkey AS review_id, CASE o_orderkey % {len(_TYPES)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_TYPES)) + " END AS review_type, CASE WHEN o_custkey % 3 = 0 THEN 'security,testing' END AS focus FROM orders"
 _PLAN_CASE = "CASE review_type " + " ".join(f"WHEN '{k}' THEN '{','.join(v)}'" for k, v in review.PLANS.items()) + f" ELSE '{','.join(review.PLANS['full'])}' END"
 
 
-@query(f"SELECT review_type, focus, array_to_string(list_concat(CASE WHEN focus IS NULL THEN string_split({_PLAN_CASE}, ',') ELSE list_filter(string_split({_PLAN_CASE}, ','), lambda a: a = 'repository' OR list_contains(string_split(focus, ','), a)) END, ['summary']), ',') AS agents FROM (VALUES {_REQUESTS}) AS r(review_type, focus)")
+@query(f"SELECT review_id, review_type, focus, array_to_string(list_concat(CASE WHEN focus IS NULL THEN string_split({_PLAN_CASE}, ',') ELSE list_filter(string_split({_PLAN_CASE}, ','), lambda a: a = 'repository' OR list_contains(string_split(focus, ','), a)) END, ['summary']), ',') AS agents FROM ({_REQUESTS})")
 def plan_agents(spark, sf):
-    requests = spark.sql(f"SELECT review_type, CAST(focus AS string) AS focus FROM VALUES {_REQUESTS} AS r(review_type, focus)")
+    """Orders as review requests; every third customer has a focus."""
+    kind = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("o_orderkey") % len(_TYPES) + 1).cast("int"))
+    requests = load(spark, sf, "orders").select(F.col("o_orderkey").alias("review_id"), kind.alias("review_type"), F.when(F.col("o_custkey") % 3 == 0, "security,testing").alias("focus"))
     plans = review.plan_agents(requests.withColumn("focus", F.split("focus", ",")))
-    return plans.select("review_type", F.array_join("focus", ",").alias("focus"), F.array_join("agents", ",").alias("agents"))
+    return plans.select("review_id", "review_type", F.array_join("focus", ",").alias("focus"), F.array_join("agents", ",").alias("agents"))
 
 
 @query(f"WITH {_CHUNKS}, found AS (SELECT file_path AS src, unnest(list_concat(list_concat(regexp_extract_all(content, 'from\\s+([\\w.\\-/]+)\\s+import', 1), regexp_extract_all(content, 'import\\s+([\\w.\\-/]+)', 1)), regexp_extract_all(content, 'require\\([''\"]([./\\w\\-]+)[''\"]\\)', 1))) AS module FROM code_chunks) SELECT DISTINCT src, string_split(string_split(module, '/')[-1], '.')[1] AS name FROM found")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from corpusloom.plans import catalog, indexes, reports  # noqa: F401  the others add their queries to the catalog
+from corpusloom.plans import catalog, indexes, reports, symbols  # noqa: F401  the others add their queries to the catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Nothing in the data may set these off.

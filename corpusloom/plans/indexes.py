@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import inverted_index, retrieval, vector_index
+from ..operators import inverted_index, merge_table, retrieval, vector_index
 from ..sources.storage import load, shared_dir
 from .catalog import _bm25_sql, _every_20th, _text_queries, _vector_sql, query
 
@@ -60,3 +60,13 @@ def bm25_index_refreshed(spark, sf):
 def bm25_index_blocks(spark, sf):
     """For every query, the blocks that the index holds of its words and those that are read."""
     return inverted_index.blocks_read(spark, _text_index(spark, load(spark, sf, "documents")), _text_queries(spark, sf), 10)
+
+
+@query("SELECT doc_id, lang, sha256(CASE WHEN lang = 'en' THEN text ELSE text || '!' END) AS h FROM documents WHERE lang IS DISTINCT FROM 'fr'")
+def merged_batches(spark, sf):
+    """All documents in one batch, then English ones anew and French ones deleted, by a batch that comes twice."""
+    docs, path = load(spark, sf, "documents"), f"{shared_dir(spark)}/merged-{uuid.uuid4().hex}"
+    merge_table.merge(docs.select("doc_id", "lang", F.sha2(F.concat("text", F.lit("!")), 256).alias("h")), path, "doc_id", "first")
+    for _ in range(2):
+        merge_table.merge(docs.where("lang = 'en'").select("doc_id", "lang", F.sha2("text", 256).alias("h")), path, "doc_id", "second", docs.where("lang = 'fr'"))
+    return merge_table.read(spark, path, "doc_id long, lang string, h string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import load
+from ..sources.storage import dealt, load
 
 #: Source lines that set off every rule, dealt by part key.
 CODE = (
@@ -41,9 +41,11 @@ CODE_CHUNKS_SQL = (
 
 
 def code_lines(spark: SparkSession, sf_dir: str, key: str = "l_suppkey") -> DataFrame:
-    order = Window.partitionBy(key).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    """Dealt by chunk to tasks of a like size: all windows and sums over a chunk follow that deal."""
+    items = load(spark, sf_dir, "lineitem").select(F.col(key).cast("long").alias("chunk_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    order = Window.partitionBy("chunk_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     line = F.element_at(F.array(*map(F.lit, CODE)), (F.col("l_partkey") % len(CODE) + 1).cast("int"))
-    return load(spark, sf_dir, "lineitem").select(F.col(key).cast("long").alias("chunk_id"), F.row_number().over(order).alias("line_no"), line.alias("line"))
+    return dealt(items, "chunk_id").select("chunk_id", F.row_number().over(order).alias("line_no"), line.alias("line"))
 
 
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

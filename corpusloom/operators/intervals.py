@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import tasks_for
+
 
 def innermost(points: DataFrame, ranges: DataFrame, by: list[str], at: str, start: str, end: str, take: list[str]) -> DataFrame:
     """``points`` with ``start``, ``end`` and the columns ``take`` of the range around them.
@@ -23,9 +25,13 @@ def innermost(points: DataFrame, ranges: DataFrame, by: list[str], at: str, star
     sound = ranges.where(F.col(end) >= F.col(start)).select(*by, F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"), F.when(length <= 1, 0).otherwise(F.length(F.bin((length - 1).cast("long")))).alias("_width"), F.struct(*take).alias("_take"))
     widths = sorted(r[0] for r in sound.select("_width").distinct().collect())  # at most 64
     bins = sound.withColumn("_bin", F.explode(F.expr("array_distinct(array(shiftright(_s, _width), shiftright(_e, _width)))")))
-    places = points.select(*by, F.col(at).cast("long").alias("_at")).dropna().distinct()
+    tasks = tasks_for(points)
+    # points and what is found for them share one deal
+    located = points.withColumn("_at", F.col(at).cast("long")).repartition(tasks, *by, "_at")
+    places = located.select(*by, "_at").dropna().distinct()
     probes = places.withColumn("_width", F.explode(F.lit(widths).cast("array<int>"))).withColumn("_bin", F.expr("shiftright(_at, _width)"))
-    met = probes.join(bins, [*by, "_width", "_bin"]).where("_at between _s and _e")
-    best = met.groupBy(*by, "_at").agg(F.max(F.struct("_s", (-F.col("_e")).alias("_less"), "_take")).alias("_in"))
-    found = best.select(*by, F.col("_at").alias(at), F.col("_in._s").alias(start), (-F.col("_in._less")).alias(end), *[F.col(f"_in._take.{c}").alias(c) for c in take])
-    return points.join(found, [*by, at], "left")
+    met = probes.repartition(tasks * max(1, len(widths)), *by, "_width", "_bin").join(bins, [*by, "_width", "_bin"]).where("_at between _s and _e")
+    best = met.repartition(tasks, *by, "_at").groupBy(*by, "_at").agg(F.max(F.struct("_s", (-F.col("_e")).alias("_less"), "_take")).alias("_in"))
+    found = best.select(*by, "_at", F.col("_in._s").alias(start), (-F.col("_in._less")).alias(end), *[F.col(f"_in._take.{c}").alias(c) for c in take])
+    rest = [c for c in points.columns if c not in (*by, at)]
+    return located.join(found, [*by, "_at"], "left").select(*by, at, *rest, start, end, *take)

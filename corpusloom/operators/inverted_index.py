@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources.storage import cut
-from .retrieval import BROADCAST_IDS, K1, B, best
+from .retrieval import BROADCAST_IDS, K1, STEP_ROWS, B, best
 
 #: Documents of a segment, about as many documents of a zone, partitions of the bounds.
 SEGMENT, ZONE, BUCKETS = 64, 1 << 18, 64
@@ -48,7 +48,7 @@ _BOUNDS = "segment long, term string, n int, max_tf int, min_length int, zone in
 
 def _vector_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, digest, words) with its length, distinct words and their counts."""
-    for batch in batches:
+    for batch in (b.slice(at, STEP_ROWS) for b in batches for at in range(0, b.num_rows, STEP_ROWS)):
         n = batch.num_rows
         sizes = pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy().astype(np.int64)
         coded = batch.column(2).flatten().dictionary_encode()

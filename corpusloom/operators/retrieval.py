@@ -26,8 +26,9 @@ K1, B = 1.5, 0.75
 SEMANTIC_FACTOR, KEYWORD_FACTOR = 5, 10
 #: Queries that a task holds at a time.
 BLOCK_QUERIES = 4096
-#: Documents scored at a time, and terms of a block that are multiplied at a time.
-STEP_ROWS, STEP_TERMS = 1024, 4096
+#: Documents scored at a time, and terms of a block that are multiplied at a time. A task's
+#: memory follows these steps, not the rows that Spark hands over at once.
+STEP_ROWS, STEP_TERMS = 256, 4096
 #: Candidate ids up to which they are broadcast to the texts (16 MB), instead of shuffled.
 BROADCAST_IDS = 1 << 21
 
@@ -38,19 +39,21 @@ class _Best:
     """The k best (score, id) of each query so far; ties go to the smaller id."""
 
     def __init__(self, ids: list[int], k: int):
-        self.ids, self.k = ids, k
+        self.ids, self.k, self.floor = ids, k, None
         self.scores, self.keys = [np.zeros(0)] * len(ids), [np.zeros(0, dtype=np.int64)] * len(ids)
 
     def add(self, scores: np.ndarray, keys: np.ndarray, least: float) -> None:
         """``scores`` (query, row) of rows ``keys``; those up to ``least`` are no candidates."""
-        for q, row in enumerate(scores):
-            held = self.scores[q]
-            on = np.flatnonzero(row > least) if len(held) < self.k else np.flatnonzero(row >= held[-1])
-            if not len(on):
-                continue
-            s, i = np.concatenate([held, row[on]]), np.concatenate([self.keys[q], keys[on]])
+        if self.floor is None:
+            self.floor = np.full(len(self.ids), np.nextafter(least, np.inf))
+        near = scores >= self.floor[:, None]
+        for q in np.flatnonzero(near.any(axis=1)):
+            on = np.flatnonzero(near[q])
+            s, i = np.concatenate([self.scores[q], scores[q, on]]), np.concatenate([self.keys[q], keys[on]])
             order = np.lexsort((i, -s))[: self.k]
             self.scores[q], self.keys[q] = s[order], i[order]
+            if len(order) == self.k:
+                self.floor[q] = self.scores[q][-1]
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         for q, s, i in zip(self.ids, self.scores, self.keys):
@@ -115,7 +118,7 @@ def _term_map(terms: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = pa.array(terms, pa.string())
-        for batch in batches:
+        for batch in (b.slice(at, STEP_ROWS) for b in batches for at in range(0, b.num_rows, STEP_ROWS)):
             words, n = batch.column(1), batch.num_rows
             sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)
             at = pc.index_in(words.flatten(), value_set=values)

@@ -26,3 +26,20 @@ def test_symbols_read_the_lines_once(spark, sf):
     assert "FileScan" not in ranges._jdf.queryExecution().executedPlan().toString()
     some = spark.createDataFrame([(1, 1, "class A:"), (1, 2, "    def f(self):"), (1, 3, "x"), (1, 4, "class B:"), (1, 5, "y"), (2, 1, "z")], "chunk_id long, line_no int, line string")
     assert sorted(map(tuple, symbols.symbol_ranges(some).collect())) == [(1, "class", 1, 3), (1, "class", 4, 5), (1, "function", 2, 3)]
+
+
+def test_a_task_counts_words_in_steps():
+    import pyarrow as pa
+
+    from corpusloom.operators import inverted_index, retrieval
+
+    words = [["a", "b", "a"], [], ["b"], None] * 200
+    batch = pa.RecordBatch.from_arrays([pa.array(range(800)), pa.array(["h"] * 800), pa.array(words, pa.list_(pa.string()))], names=["id", "digest", "words"])
+    counted = list(retrieval._term_map(["a", "c", "b"])(iter([batch.select([0, 2])])))
+    indexed = list(inverted_index._vector_map(iter([batch])))
+    for parts in (counted, indexed):
+        assert len(parts) == 4 and sum(p.num_rows for p in parts) == 800 and max(p.num_rows for p in parts) <= retrieval.STEP_ROWS
+    rows = [r for p in counted for r in p.to_pylist()]
+    assert [(r["id"], r["length"], dict(zip(r["term"], r["tf"]))) for r in rows[796:]] == [(796, 3, {0: 2, 2: 1}), (797, 0, {}), (798, 1, {2: 1}), (799, 0, {})]
+    rows = [r for p in indexed for r in p.to_pylist()]
+    assert [(r["length"], dict(zip(r["terms"], r["tfs"]))) for r in rows[796:]] == [(3, {"a": 2, "b": 1}), (0, {}), (1, {"b": 1}), (0, {})]

@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..sources.storage import cut
-from .retrieval import BROADCAST_IDS, K1, STEP_ROWS, B, best
+from ..sources.storage import cut, dealt
+from .retrieval import BROADCAST_IDS, K1, STEP_ROWS, B, _blocks, best
 
 #: Documents of a segment, about as many documents of a zone, partitions of the bounds.
 SEGMENT, ZONE, BUCKETS = 64, 1 << 18, 64
@@ -185,6 +185,52 @@ def _value(tf: str, length: str, mean: float) -> Column:
     return count * F.lit(K1 + 1) / (count + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col(length) / F.lit(mean)))
 
 
+def _score_map(asked: list, ids: list, mean: float, floor: dict[int, float], pairs: dict[int, list[int]] | None):
+    """Scores of the rows of whole segments, whose blocks follow each other."""
+    number = {t: i for i, t in enumerate(sorted({r.term for r in asked}))}
+    place = {q: i for i, q in enumerate(ids)}
+    weight = np.zeros((len(number), len(ids)))
+    for r in asked:
+        if r.query_id in place:
+            weight[number[r.term], place[r.query_id]] = r.weight
+    least, queries = np.array([floor.get(q, 0.0) for q in ids]), np.array(ids, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, held = pa.array(list(number), pa.string()), None
+
+        def whole(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            code = pc.index_in(rows.column("term"), value_set=terms).to_numpy()
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(rows.column("ids")).to_numpy())])
+            block = np.repeat(np.arange(rows.num_rows), np.diff(ends))
+            key, slot, tf, length = (pc.list_flatten(rows.column(c)).to_numpy() for c in ("ids", "slots", "tfs", "lengths"))
+            value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+            segments = rows.column("segment").to_numpy()
+            for a, b in zip(starts[:-1], starts[1:]):
+                on = slice(ends[a], ends[b])
+                dense, keys = np.zeros((SEGMENT, b - a)), np.zeros(SEGMENT, dtype=np.int64)
+                dense[slot[on], block[on] - a], keys[slot[on]] = value[on], key[on]
+                scores = dense @ weight[code[a:b]]
+                good = (scores > 0) & (scores >= least)
+                if pairs is not None:
+                    good &= np.isin(queries, pairs.get(segments[a], []))
+                row, q = np.nonzero(good)
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(np.full(len(row), segments[a] >> 48, dtype=np.int32)), pa.array(keys[row]), pa.array(scores[row, q])], names=["query_id", "gen", "id", "score"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = (pa.concat_tables([held, rows]) if held is not None else rows).combine_chunks()
+            starts = np.flatnonzero(np.diff(rows.column("segment").to_numpy(), prepend=-1))
+            yield from whole(rows.slice(0, starts[-1]), starts)
+            held = rows.slice(starts[-1])
+        if held is not None:
+            yield from whole(held, np.array([0, held.num_rows]))
+
+    return run
+
+
 class _Search:
     """One query set against an index: bounds by (query, segment) and the rows scored."""
 
@@ -203,23 +249,32 @@ class _Search:
         df = held.union(dead).groupBy("term").agg(F.sum("n").alias("df"))
         idf = F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         self.weights = cut(asked.join(df, "term").select("query_id", "term", (F.col("times") * idf).alias("weight")))
+        self.asked = self.weights.collect()  # the stated set of queries
+        self.terms = self.weights.select("term").distinct()
         value = F.col("weight") * _value("max_tf", "min_length", self.mean)
         met = bounds.join(small(self.weights), "term")
         self.bounds = cut(met.groupBy("query_id", "gen", "zone", "segment").agg(F.sum(value).alias("bound"), F.count("*").alias("blocks")))
 
-    def scored(self, chosen: DataFrame) -> DataFrame:
-        """(query_id, id, score) of all live rows in the ``chosen`` segments of each query."""
+    def scored(self, chosen: DataFrame, floor: dict[int, float], few: bool = False) -> DataFrame:
+        """(query_id, id, score) of live rows of positive score in the ``chosen`` segments, those
+        below a query's ``floor`` left out; of a ``few`` segments only for the queries that chose
+        them, else for any that they suit. A segment's blocks meet once for all queries and are
+        summed where they meet, so that no posting is copied for a query."""
         zones: dict[int, list[int]] = {}
         for r in chosen.select("gen", "zone").distinct().collect():  # as many as files were written
             zones.setdefault(r.gen, []).append(r.zone)
         inside = [(F.col("gen") == g) & F.col("zone").isin(z) for g, z in sorted(zones.items())]
         blocks = _table(self.spark, self.path, "blocks", _BLOCKS, self.gens).where(reduce(lambda a, b: a | b, inside, F.lit(False)))
-        needed = chosen.select("query_id", "segment").join(self.weights, "query_id")
-        postings = F.explode(F.arrays_zip("ids", "slots", "tfs", "lengths")).alias("p")
-        rows = blocks.join(needed, ["segment", "term"]).select("query_id", "gen", "segment", "weight", postings).select("query_id", "gen", "segment", "weight", "p.*")
-        total = F.sum(F.col("weight") * _value("tfs", "lengths", self.mean))
-        found = rows.groupBy("query_id", "gen", "segment", "slots").agg(F.first("ids").alias("id"), total.alias("score"))
-        return _live(found, self.spark, self.path, self.gens).select("query_id", "id", "score")
+        segments = chosen.select("segment").distinct()
+        pairs: dict[int, list[int]] | None = {} if few else None
+        for r in chosen.select("segment", "query_id").collect() if few else ():  # a few a query
+            pairs.setdefault(r.segment, []).append(r.query_id)
+        some = F.broadcast(segments) if segments.count() <= BROADCAST_IDS else segments
+        needed = blocks.join(F.broadcast(self.terms), "term", "left_semi").join(some, "segment", "left_semi")
+        rows = dealt(needed.select("segment", "term", "ids", "slots", "tfs", "lengths"), "segment").sortWithinPartitions("segment")
+        found = [rows.mapInArrow(_score_map(self.asked, block, self.mean, floor, pairs), "query_id long, gen int, id long, score double") for block in _blocks(sorted({r.query_id for r in self.asked}), 256)]
+        none = self.spark.createDataFrame([], "query_id long, gen int, id long, score double")
+        return _live(reduce(DataFrame.union, found, none), self.spark, self.path, self.gens).select("query_id", "id", "score")
 
     def run(self, k: int, decimals: int) -> tuple[DataFrame, DataFrame]:
         """The k best rows of positive score, and the (query, segment) pairs that were read."""
@@ -230,11 +285,12 @@ class _Search:
 
         first = Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment")
         seeds = cut(self.bounds.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= max(SEEDS, -(-k // SEGMENT))).drop("_r"))
-        found = top(self.scored(seeds))
+        found = top(self.scored(seeds, {}, True))
         least = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
         left = self.bounds.join(seeds.select("query_id", "segment"), ["query_id", "segment"], "left_anti").join(least, "query_id", "left")
         rest = cut(left.where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - F.lit(_SLACK + 0.5 * 10.0**-decimals)).select(*self.bounds.columns))
-        return top(found.union(self.scored(rest))), seeds.union(rest)
+        floor = {r.query_id: r.least - _SLACK - 0.5 * 10.0**-decimals for r in least.where("least is not null").collect()}  # one a query
+        return top(found.union(self.scored(rest, floor))), seeds.union(rest)
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 50, decimals: int = 6) -> DataFrame:

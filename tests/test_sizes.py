@@ -43,3 +43,21 @@ def test_a_task_counts_words_in_steps():
     assert [(r["id"], r["length"], dict(zip(r["term"], r["tf"]))) for r in rows[796:]] == [(796, 3, {0: 2, 2: 1}), (797, 0, {}), (798, 1, {2: 1}), (799, 0, {})]
     rows = [r for p in indexed for r in p.to_pylist()]
     assert [(r["length"], dict(zip(r["terms"], r["tfs"]))) for r in rows[796:]] == [(3, {"a": 2, "b": 1}), (0, {}), (1, {"b": 1}), (0, {})]
+
+
+def test_a_segment_is_summed_where_its_blocks_meet():
+    import pyarrow as pa
+    from pyspark.sql import Row
+
+    from corpusloom.operators import inverted_index
+
+    asked = [Row(query_id=q, term=t, weight=w) for q, t, w in ((7, "a", 1.0), (7, "b", 2.0), (8, "b", 1.0))]
+    names = ["segment", "term", "ids", "slots", "tfs", "lengths"]
+    kinds = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    blocks = [(0, "a", [50, 51], [0, 1], [1, 1], [4, 4]), (0, "b", [51], [1], [1], [4]), (1 << 48, "b", [50], [0], [1], [4])]
+    batches = [pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(b, kinds)], names=names) for b in blocks]
+    run = inverted_index._score_map(asked, [7, 8], 4.0, {}, None)
+    got = [tuple(r.values()) for batch in run(iter(batches)) for r in batch.to_pylist()]
+    assert got == [(7, 0, 50, 1.0), (7, 0, 51, 3.0), (8, 0, 51, 1.0), (7, 1, 50, 2.0), (8, 1, 50, 1.0)]
+    few = inverted_index._score_map(asked, [7, 8], 4.0, {7: 2.5}, {0: [7]})
+    assert [tuple(r.values()) for batch in few(iter(batches)) for r in batch.to_pylist()] == [(7, 0, 51, 3.0)]

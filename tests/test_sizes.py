@@ -61,3 +61,33 @@ def test_a_segment_is_summed_where_its_blocks_meet():
     assert got == [(7, 0, 50, 1.0), (7, 0, 51, 3.0), (8, 0, 51, 1.0), (7, 1, 50, 2.0), (8, 1, 50, 1.0)]
     few = inverted_index._score_map(asked, [7, 8], 4.0, {7: 2.5}, {0: [7]})
     assert [tuple(r.values()) for batch in few(iter(batches)) for r in batch.to_pylist()] == [(7, 0, 51, 3.0)]
+
+
+def test_duplicate_pairs_of_a_family(spark):
+    """Copies of one text with words replaced, against all pairs; unlike ones do not leave the join."""
+    import random
+
+    from corpusloom.operators import similarity
+
+    r = random.Random(2)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join(w if r.random() > (i % 10) / 25 else f"x{r.randrange(40)}" for w in base)) for i in range(150)]
+    sets = {i: frozenset(t.split()) for i, t in rows}
+    alike = {(a, b, round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)) for a in sets for b in sets if a < b and sets[a] != sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    seen = {}
+    whole = similarity._shared_words
+
+    def counted(pairs, *rest):
+        seen["n"] = pairs.count()
+        return whole(pairs, *rest)
+
+    similarity._shared_words = counted
+    try:
+        got = set(map(tuple, similarity.jaccard_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 0.8).collect()))
+    finally:
+        similarity._shared_words = whole
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    assert got == {(a, b, j) for a, b, j in alike if first[sets[a]] == a and first[sets[b]] == b}
+    assert len(got) > 100 and seen["n"] < 0.5 * 150 * 149 / 2

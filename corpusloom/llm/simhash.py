@@ -159,8 +159,9 @@ SAMPLE, COMMON, MAX_COMMON = 16, 2, 1 << 17
 PARITY = 512
 #: Bits of the sketch that a set's open keys carry: its parity bits, folded.
 SKETCH = 256
-#: Components that share one key beyond which a second shared shingle is asked for.
-CROWDED = 256
+#: Sets that meet under one pivot beyond which they are told apart by what each changes in
+#: their consensus, which about ``VOTERS`` of them make.
+CROWDED, VOTERS = 64, 64
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -179,15 +180,26 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, dtype=np.uint64)]).view(np.int64), pa.int64()))
 
 
+def _rare_first(common: np.ndarray):
+    """Sorts distinct ascending shingles: common ones go last, the most frequent at the end."""
+    sorter = np.argsort(common)
+    known = common[sorter]
+
+    def ordered(x: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return x
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        return x[np.argsort(np.where(known[at] == x, sorter[at] + 1, 0), kind="stable")]
+
+    return ordered
+
+
 def _set_map(words: int, common):
     """(id, t, node, print, size, keys, parity) of every row; the keys are the first shingles of its
-    set, as many as a near copy shares two of, so that it shares one of all but the last. A
-    set that a task meets again has none."""
+    set, as many as a near copy shares one of. A set that a task meets again has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_count = common.value
-        sorter = np.argsort(by_count)
-        known, seen = by_count[sorter], set()
+        ordered, seen = _rare_first(common.value), set()
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
@@ -203,10 +215,7 @@ def _set_map(words: int, common):
                         keys.append(x[:0])
                         continue
                     seen.add(nodes[-1])
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                        x = x[np.argsort(np.where(known[at] == x, sorter[at] + 1, 0), kind="stable")]
-                    keys.append(x[: len(x) - _least(len(x)) + 2])
+                    keys.append(ordered(x)[: len(x) - _least(len(x)) + 1])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), _lists(keys), pa.array(parity, pa.list_(pa.int64()))], names=["id", "t", "node", "print", "size", "keys", "parity"])
 
     return run
@@ -236,14 +245,16 @@ def _narrowed(rows: DataFrame, hashes: DataFrame, column: str, inside: bool = Tr
     return met.where(F.coalesce(on, F.lit(False)) == inside).select(rows.columns)
 
 
-def _member_map(words: int):
-    """(node, shingles) of every row's set, from (id, text, text hash)."""
+def _member_map(words: int, common=None):
+    """(node, shingles) of every row's set, from (id, text, text hash); rare shingles first
+    if ``common`` ones are given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordered = _rare_first(common.value) if common else lambda x: x
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 sets = [np.unique(_hashes(t.as_py(), words)) for t in batch.column(1).slice(i, 64)]
-                yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), _lists(sets)], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), _lists([ordered(x) for x in sets])], names=["node", "shingles"])
 
     return run
 
@@ -263,18 +274,19 @@ def _sizes_fit() -> Column:
     return (F.col("size_a") * LIKENESS[1] >= F.col("size_b") * LIKENESS[0]) & (F.col("size_b") * LIKENESS[1] >= F.col("size_a") * LIKENESS[0])
 
 
-def _promising(pairs: DataFrame, uncounted: DataFrame | None = None) -> DataFrame:
-    """(a, b) of the pairs (a, size_a, b, size_b), one row a shared prefix key, that may be
-    near copies. Up to the earlier end of both prefixes they share no more than was counted,
-    beyond it no more than that set has left. ``uncounted`` (node, more) says how many keys
-    of a node ``pairs`` leaves out."""
+def _may_share(shared: Column) -> Column:
+    """Whether sets of size_a and size_b shingles can be near copies if at most ``shared`` keys
+    of their prefixes are common. Up to the earlier end of both prefixes they share no more
+    than that, beyond it no more than that set has left."""
     left = lambda n: F.ceil(LIKENESS[0] * F.col(n) / LIKENESS[1]) - 1
-    counted = pairs.where(_sizes_fit()).groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("n"))
-    if uncounted is not None:
-        for k in "ab":
-            counted = counted.join(uncounted.select(F.col("node").alias(k), F.col("more").alias(f"more_{k}")), k, "left")
-        counted = counted.withColumn("n", F.col("n") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0))))
-    return counted.where(_alike(F.col("n") + F.greatest(left("size_a"), left("size_b")), F.col("size_a"), F.col("size_b"))).select("a", "b")
+    return _alike(shared + F.greatest(left("size_a"), left("size_b")), F.col("size_a"), F.col("size_b"))
+
+
+def _promising(pairs: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (a, size_a, b, size_b, n) that may be near copies; the n of a pair's
+    rows add up to the prefix keys that it shares at most."""
+    counted = pairs.where(_sizes_fit()).groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
+    return counted.where(_may_share(F.col("n"))).select("a", "b")
 
 
 def _sketch(parity: str) -> list[Column]:
@@ -295,6 +307,13 @@ def _near_enough(differ: Column, a: str, b: str) -> Column:
     return differ * sum(LIKENESS) <= (LIKENESS[1] - LIKENESS[0]) * (F.col(a) + F.col(b))
 
 
+def _sets(wanted: DataFrame, rows: DataFrame, source: DataFrame, member_map) -> DataFrame:
+    """(node, shingles) of the distinct ``wanted`` nodes, made where their texts lie."""
+    texts = rows.join(wanted, "node", "left_semi")
+    sets = _narrowed(source, texts, "t").mapInArrow(member_map, "node long, shingles array<long>")
+    return cut(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, source: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets are near copies. Pairs whose parity bits tell them
     apart go first; of the rest, sets are made where their texts lie, so no text is shuffled."""
@@ -302,10 +321,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, source: DataFrame, words: int)
         pairs = pairs.join(rows.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("parity").alias(f"parity_{k}")), k)
     apart = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY // 64)), F.lit(0))
     pairs = cut(pairs.where(_near_enough(apart, "size_a", "size_b")).select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = rows.join(wanted, "node", "left_semi")
-    sets = _narrowed(source, texts, "t").mapInArrow(_member_map(words), "node long, shingles array<long>")
-    sets = cut(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), rows, source, _member_map(words))
     a, b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return pairs.join(a, "a").join(b, "b").where(_alike(shared, F.size("set_a"), F.size("set_b"))).select("a", "b")
@@ -329,59 +345,81 @@ def _shared(index: DataFrame, value: str) -> DataFrame:
     return dealt.join(ends.drop("hi"), "key")
 
 
-def likeness_links(source: DataFrame, prints: DataFrame, rows: DataFrame, known: DataFrame, words: int) -> DataFrame:
+def _by_consensus(crowd: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the sets (pivot, m, node, size, c) that meet under a pivot, m in all: (a, b) near
+    copies that join some components c, and (a, b) that may be near copies beside those.
+
+    The consensus of a pivot is what over half of about ``VOTERS`` sets hold. A set's changes
+    are the shingles that it adds to the consensus or lacks. Sets of n and m shingles are near
+    copies if they differ in at most (n + m) / 9, and they differ in just the changes that they
+    do not share. So with slack = n - 9 * changes, sets whose slacks add up to 0 or more are
+    near copies: one edge to the set of the most slack joins all of these. Others must share
+    -(slack + slack) / 18 changes, and so one of the first of each, in a common order. Members
+    of a large family share what is in the consensus, but hardly any changes. Any consensus
+    gives the same links.
+    """
+    total, gap = sum(LIKENESS), LIKENESS[1] - LIKENESS[0]
+    voters = crowd.where(F.pmod(F.xxhash64("node", "pivot"), F.ceil(F.col("m") / VOTERS)) == 0).select("pivot", "node")
+    heads = voters.groupBy("pivot").agg(F.count("*").alias("heads"))
+    votes = voters.join(sets, "node").select("pivot", F.explode("shingles").alias("s")).groupBy("pivot", "s").agg(F.count("*").alias("n"))
+    held = votes.join(heads, "pivot").where("2 * n > heads")
+    # what fewest lack comes first
+    agreed = held.groupBy("pivot").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "s")))["s"].alias("agreed"))
+    met = crowd.join(sets, "node").join(agreed, "pivot", "left").withColumn("agreed", F.coalesce("agreed", F.array().cast("array<long>")))
+    met = met.select("pivot", "node", "size", "c", F.concat(F.array_except("shingles", "agreed"), F.array_except("agreed", "shingles")).alias("changes"))
+    met = staged(met.withColumn("slack", gap * F.col("size") - total * F.size("changes")), "near-changes")
+    best = met.groupBy("pivot").agg(F.max(F.struct("slack", "node", "c")).alias("best"))
+    met = met.join(best, "pivot").withColumn("near", F.expr("slack + best.slack >= 0"))
+    joined = met.where("near and node <> best.node").select(F.col("node").alias("a"), F.col("best.node").alias("b"))
+    # a set that is joined to the best looks for sets that are not, any other for all
+    most = F.when(F.col("near"), -F.col("best.slack") - 1).otherwise(F.col("best.slack"))
+    share = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + most) / (2 * total)))
+    n = F.size("changes")
+    firsts = F.slice("changes", F.lit(1), F.greatest(F.lit(0), n - share + 1).cast("int"))
+    c = F.when(F.col("near"), F.col("best.c")).otherwise(F.col("c"))
+    index = met.select("pivot", "node", "size", "slack", c.alias("c"), n.alias("left"), F.posexplode(firsts).alias("at", "change"))
+    index = index.withColumn("left", F.col("left") - F.col("at")).drop("at")
+    x, y = (index.select("pivot", "change", *(F.col(f).alias(f"{f}_{k}") for f in ("size", "slack", "c", "left")), F.col("node").alias(k)) for k in "ab")
+    enough = 2 * total * F.least("left_a", "left_b") >= -(F.col("slack_a") + F.col("slack_b"))
+    return joined, x.join(y, ["pivot", "change"]).where(F.expr("a < b and c_a <> c_b") & _sizes_fit() & enough).select("a", "b").distinct()
+
+
+def likeness_links(source: DataFrame, prints: DataFrame, rows: DataFrame, known: DataFrame, words: int, common) -> DataFrame:
     """(a, b): edges that, with ``known`` ones, join all nodes of Jaccard likeness 0.8.
 
     ``source`` has (_id, text, _t), ``prints`` the prefixes, ``rows`` a row (id, t) of every
     node. Near copies share a key of their prefixes. First every set is compared with the
-    smallest node of its keys, which joins groups of copies without making all their pairs;
-    then, for keys that still hold several components, unlike components are compared: all
-    of them if the key has at most ``CROWDED``, else those that share one more shingle of
-    the prefixes, as near copies do. No key is dropped and no pair that may reach the
-    likeness is left out.
+    smallest node of each of its keys, the key's pivot, which joins groups of copies without
+    making all their pairs. For keys that then still hold several components, sets of unlike
+    components meet once under each pivot that they share, not once a key: all of them if at
+    most ``CROWDED`` meet there, else those that share a change of their consensus. No key is
+    dropped and no pair that may reach the likeness is left out.
     """
-    # a set of n shingles needs n - least + 1 keys; one more is at hand for crowded keys
-    first_keys = F.slice("keys", F.lit(1), F.greatest(F.size("keys") - F.when(F.col("size") > 1, 1).otherwise(0), F.lit(0)))
-    index = prints.select("node", "size", F.explode(first_keys).alias("key"))
+    index = prints.select("node", "size", F.explode("keys").alias("key"))
     held = staged(_shared(index, "node").select("key", "node", "size", "lo").distinct(), "near-keys")
-    lows = held.where("node = lo").select("key", F.col("node").alias("a"), F.col("size").alias("size_a"))
-    stars = held.where("node <> lo").select("key", F.col("node").alias("b"), F.col("size").alias("size_b")).join(lows, "key")
-    first = cut(_verified(_promising(stars), rows, source, words))
+    under = cut(held.groupBy("lo", "node", "size").agg(F.count("*").alias("n")))
+    under = under.join(under.groupBy("node").agg(F.sum("n").alias("keys")), "node")
+    side = lambda k: under.select("lo", F.col("node").alias(k), *(F.col(f).alias(f"{f}_{k}") for f in ("size", "keys")))
+    stars = side("a").where("a = lo").join(side("b").where("b <> lo"), "lo").where(_sizes_fit() & _may_share(F.least("keys_a", "keys_b")))
+    first = cut(_verified(stars.select("a", "b"), rows, source, words))
     groups = connected_components(known.union(first))
-    told = held.join(groups, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("c"))
-    sketches = rows.select("node", *_sketch("parity"))
-    open_keys = staged(_shared(told, "c").select("key", "node", "size", "c").join(sketches, "node"), "near-open")
+    told = held.withColumnRenamed("lo", "pivot").join(groups, "node", "left").select("key", "node", "size", "pivot", F.coalesce("component", "node").alias("c"))
+    # sets are told from their pivots by now, so keys of two sets are done
+    met = cut(_shared(told, "c").where("n > 2").groupBy("pivot", "node", "size", "c").agg(F.count("*").alias("n")))
+    keys = met.groupBy("node").agg(F.sum("n").alias("keys"))
+    pivots = cut(met.groupBy("pivot").agg(F.count("*").alias("m")))
     longs = [f"s{i}" for i in range(SKETCH // 64)]
-    # of a component: its sizes, and the sketch bits in which all its sets agree
-    bounds = [F.min("size").alias("least"), F.max("size").alias("most"), *(F.bit_and(s).alias(f"all_{s}") for s in longs), *(F.bit_or(s).alias(f"any_{s}") for s in longs)]
-    components = open_keys.groupBy("key", F.col("c").alias("other")).agg(*bounds)
-    several = cut(open_keys.select("key", "c").distinct().groupBy("key").agg(F.count("*").alias("n")))
-    few = components.join(several.where(F.col("n") <= CROWDED).select("key"), "key")
-    side = lambda k, *more: open_keys.select(*more, F.col("node").alias(k), F.col("size").alias(f"size_{k}"), *(F.col(s).alias(f"{s}_{k}") for s in longs))
-    # a row meets the rows of the key's other components, not those of its own, and only of
-    # components that may hold a near copy of it
-    agreed = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"all_{s}")).bitwiseAND(F.bitwise_not(F.col(f"all_{s}").bitwiseXOR(F.col(f"any_{s}"))))) for s in longs), F.lit(0))
-    fits = (F.col("most") * LIKENESS[1] >= F.col("size_a") * LIKENESS[0]) & (F.col("size_a") * LIKENESS[1] >= F.col("least") * LIKENESS[0])
-    x = side("a", "key", "c").join(few, "key").where((F.col("other") > F.col("c")) & fits & _near_enough(agreed, "size_a", "most"))
-    x = x.select("key", F.col("other").alias("c"), "a", "size_a", *(f"{s}_a" for s in longs))
-    alike = _sizes_fit() & _near_enough(_differ("s{}_a", "s{}_b"), "size_a", "size_b")
-    calm = x.join(side("b", "key", "c"), ["key", "c"]).where(alike).select("a", "size_a", "b", "size_b")
-    crowded = open_keys.join(several.where(F.col("n") > CROWDED).select("key"), "key", "left_semi")
-    if not crowded.take(1):
-        return first.union(_verified(_promising(calm), rows, source, words))
-
-    def paired(keys: DataFrame, on: list[str]) -> DataFrame:
-        x, y = (keys.select(*on, F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("c").alias(f"c_{k}"), *(F.col(s).alias(f"{s}_{k}") for s in longs)) for k in "ab")
-        return x.join(y, on).where(F.expr("a < b and c_a <> c_b") & alike)
-
-    rest = _promising(calm, crowded.groupBy("node").agg(F.count("*").alias("more")))
-    near = prints.where(F.size("keys") > 0).select("keys", "node")
-    second = _narrowed(near, crowded, "node").join(crowded.select("node").distinct(), "node", "left_semi").select("node", F.explode("keys").alias("second")).distinct()
-    twice = crowded.join(second, "node").where("second <> key")
-    both = paired(twice, ["key", "second"]).groupBy("a", "b", "size_a", "size_b", "key").agg(F.count("*").alias("n"))
-    # here all that the longer prefixes share is counted, the key itself aside
-    left = F.greatest(*(F.ceil(LIKENESS[0] * F.col(k) / LIKENESS[1]) for k in ("size_a", "size_b"))) - 2
-    rest = rest.union(both.where(_alike(F.col("n") + 1 + left, F.col("size_a"), F.col("size_b"))).select("a", "b")).distinct()
+    calm = met.join(pivots.where(F.col("m") <= CROWDED).select("pivot"), "pivot").where("node <> pivot")
+    calm = calm.join(keys, "node").join(rows.select("node", *_sketch("parity")), "node")
+    x, y = (calm.select("pivot", F.col("node").alias(k), *(F.col(f).alias(f"{f}_{k}") for f in ("size", "c", "n", "keys", *longs))) for k in "ab")
+    alike = _sizes_fit() & _may_share(F.least("keys_a", "keys_b")) & _near_enough(_differ("s{}_a", "s{}_b"), "size_a", "size_b")
+    pairs = x.join(y, "pivot").where(F.expr("a < b and c_a <> c_b") & alike)
+    rest = _promising(pairs.select("a", "size_a", "b", "size_b", F.least("n_a", "n_b").alias("n")))
+    crowd = cut(met.drop("n").join(pivots.where(F.col("m") > CROWDED), "pivot"))
+    if crowd.take(1):
+        sets = _sets(crowd.select("node").distinct(), rows, source, _member_map(words, common))
+        joined, near = _by_consensus(crowd, sets)
+        first, rest = first.union(joined), rest.union(near).distinct()
     return first.union(_verified(rest, rows, source, words))
 
 
@@ -406,7 +444,7 @@ def deduplicate(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text
     same = prints.join(firsts, "print").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     x, y = firsts.select(F.col("print").alias("x"), F.col("first").alias("a")), firsts.select(F.col("print").alias("y"), F.col("first").alias("b"))
     known = cut(same.union(links(firsts.select("print")).join(x, "x").join(y, "y").select("a", "b")))
-    groups = connected_components(known.union(likeness_links(source, prints, rows, known, words)))
+    groups = connected_components(known.union(likeness_links(source, prints, rows, known, words, common)))
     named = rows.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min(F.struct("id", "t")).alias("r"))
     # rows that fall, and rows that repeat: only they meet in a shuffle, and what passes by chance
     fallen = rows.select("id", "t").join(named.select("r.id", "r.t"), ["id", "t"], "left_anti")

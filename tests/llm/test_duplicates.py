@@ -218,6 +218,26 @@ def test_deduplicate_is_exact_at_the_likeness(spark, monkeypatch, common, crowde
     assert kept == {i for i in want if want[i] == i} and 100 < n and len(kept) > 90
 
 
+def test_large_family_of_unlike_copies_makes_few_pairs(spark, monkeypatch):
+    """Lightly changed copies of one text, and copies changed too much to be near any: what is
+    compared grows with the family, not with its square."""
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(5000)]
+    base, rows = rng.choices(vocabulary, k=400), []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(5, 390, 5), rng.randint(10, 12) if i % 5 < 2 else rng.randint(0, 2)):
+            words[at] = rng.choice(vocabulary)
+        rows.append((i, " ".join(words)))
+    compared = []
+    for step in ("_promising", "_verified"):
+        monkeypatch.setattr(simhash, step, lambda pairs, *rest, f=getattr(simhash, step): compared.append(pairs.count()) or f(pairs, *rest))
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want, _ = jaccard_groups(rows)
+    assert kept == {i for i in want if want[i] == i} and 50 < len(kept) < 150
+    assert 0 < sum(compared) < 5 * len(rows)
+
+
 def test_deduplicate_keeps_unlike_texts_of_one_id(spark):
     rng = random.Random(4)
     a, b, c = (" ".join(rng.choices(WORDS, k=80)) for _ in range(3))

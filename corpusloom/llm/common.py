@@ -76,6 +76,19 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             discard(spark, path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Actions within send Python workers at most so many rows at a time. A batch of long
+    texts is held by the executor and by its worker, both outside of the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, with or without regard to case."""
     taken = {c.lower() for c in df.columns}

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, inner, spread, staged
+from .common import cut, inner, scratch_scope, small_batches, spread, staged
 from .components import connected_components
 
 MAX_BITS = 4
@@ -162,6 +162,8 @@ SKETCH = 256
 #: Sets that meet under one pivot beyond which they are told apart by what each changes in
 #: their consensus, which about ``VOTERS`` of them make.
 CROWDED, VOTERS = 64, 64
+#: Texts that go to a Python worker at a time.
+BATCH = 512
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -396,16 +398,17 @@ def likeness_links(source: DataFrame, prints: DataFrame, rows: DataFrame, known:
     dropped and no pair that may reach the likeness is left out.
     """
     index = prints.select("node", "size", F.explode("keys").alias("key"))
-    held = staged(_shared(index, "node").select("key", "node", "size", "lo").distinct(), "near-keys")
-    under = cut(held.groupBy("lo", "node", "size").agg(F.count("*").alias("n")))
-    under = under.join(under.groupBy("node").agg(F.sum("n").alias("keys")), "node")
-    side = lambda k: under.select("lo", F.col("node").alias(k), *(F.col(f).alias(f"{f}_{k}") for f in ("size", "keys")))
-    stars = side("a").where("a = lo").join(side("b").where("b <> lo"), "lo").where(_sizes_fit() & _may_share(F.least("keys_a", "keys_b")))
-    first = cut(_verified(stars.select("a", "b"), rows, source, words))
-    groups = connected_components(known.union(first))
-    told = held.withColumnRenamed("lo", "pivot").join(groups, "node", "left").select("key", "node", "size", "pivot", F.coalesce("component", "node").alias("c"))
-    # sets are told from their pivots by now, so keys of two sets are done
-    met = cut(_shared(told, "c").where("n > 2").groupBy("pivot", "node", "size", "c").agg(F.count("*").alias("n")))
+    with scratch_scope(source.sparkSession):  # the keys are the largest table and go once met
+        held = staged(_shared(index, "node").select("key", "node", "size", "lo").distinct(), "near-keys")
+        under = cut(held.groupBy("lo", "node", "size").agg(F.count("*").alias("n")))
+        under = under.join(under.groupBy("node").agg(F.sum("n").alias("keys")), "node")
+        side = lambda k: under.select("lo", F.col("node").alias(k), *(F.col(f).alias(f"{f}_{k}") for f in ("size", "keys")))
+        stars = side("a").where("a = lo").join(side("b").where("b <> lo"), "lo").where(_sizes_fit() & _may_share(F.least("keys_a", "keys_b")))
+        first = cut(_verified(stars.select("a", "b"), rows, source, words))
+        groups = connected_components(known.union(first))
+        told = held.withColumnRenamed("lo", "pivot").join(groups, "node", "left").select("key", "node", "size", "pivot", F.coalesce("component", "node").alias("c"))
+        # sets are told from their pivots by now, so keys of two sets are done
+        met = cut(_shared(told, "c").where("n > 2").groupBy("pivot", "node", "size", "c").agg(F.count("*").alias("n")))
     keys = met.groupBy("node").agg(F.sum("n").alias("keys"))
     pivots = cut(met.groupBy("pivot").agg(F.count("*").alias("m")))
     longs = [f"s{i}" for i in range(SKETCH // 64)]
@@ -433,6 +436,11 @@ def deduplicate(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text
     Sets are told apart by 64-bit hashes. Input columns may have any names and are returned
     as they are.
     """
+    with small_batches(docs.sparkSession, BATCH):  # all Python work is done within, the result is a plan of joins
+        return _deduplicated(docs, words, id_column, text_column)
+
+
+def _deduplicated(docs: DataFrame, words: int, id_column: str, text_column: str) -> DataFrame:
     outer, column = inner(docs)
     text = F.col(column[text_column]).cast("string")
     marked = outer.withColumn("_id", F.coalesce(F.col(column[id_column]).cast("long"), F.lit((1 << 63) - 1))).withColumn("_t", F.xxhash64(text))

@@ -1,6 +1,7 @@
 """Fingerprints, near-duplicates and components against brute force."""
 
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import components, hnsw, simhash, syncmers
+from corpusloom.llm import common, components, hnsw, simhash, syncmers
 
 
 def smallest(nodes, edges):
@@ -259,3 +260,34 @@ def test_filters_and_joins_keep_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(simhash, "MAX_BITS_HELD", 1 << 28)
     monkeypatch.setattr(simhash, "HASH_BITS", 1)
     assert held() == found
+
+
+def test_deduplicate_hands_workers_small_batches_and_leaves_no_keys(spark, monkeypatch):
+    """The texts that executor and worker hold at once, and the keys on shared storage."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(WORDS, k=40))) for i in range(150)]
+    rows += [(1000 + i, t + " end") for i, t in rows[:40]]
+    paths, key = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, written = spark.conf.get(key), common.scratch_path
+
+    def bounded(made):
+        def make(*args):
+            run = made(*args)
+
+            def checked(batches):
+                for batch in batches:
+                    assert batch.num_rows <= 16
+                    yield from run(iter([batch]))
+
+            return checked
+
+        return make
+
+    monkeypatch.setattr(simhash, "BATCH", 16)
+    for step in ("_set_map", "_member_map"):
+        monkeypatch.setattr(simhash, step, bounded(getattr(simhash, step)))
+    monkeypatch.setattr(common, "scratch_path", lambda *a: paths.append(written(*a)) or paths[-1])
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in rows[:150]} and spark.conf.get(key) == before
+    keys = [p for p in paths if "near-keys" in p]
+    assert keys and not any(os.path.exists(p.removeprefix("file:")) for p in keys)

@@ -6,8 +6,8 @@ import shutil
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import AbstractContextManager, contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -77,16 +77,25 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Actions within send Python workers at most so many rows at a time. A batch of long
-    texts is held by the executor and by its worker, both outside of the heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+def small_batches(spark: SparkSession, rows: int) -> AbstractContextManager[None]:
+    """Actions within send Python workers at most so many rows at a time. A batch of long
+    texts is held by the executor and by its worker, both outside of the heap."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def brief_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
+    """Shuffle files of queries made within go when their action ends, not when the driver
+    happens to collect its garbage. A later action on the same query shuffles once more."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -99,10 +108,28 @@ def unused(df: DataFrame, name: str) -> str:
 
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once as Parquet on shared storage and read it back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+    return written(df, scratch_path(df.sparkSession, name), codec)
+
+
+def written(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` to ``path`` as Parquet and read it back."""
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def gathered(spark: SparkSession, name: str, parts: Iterable[DataFrame]) -> DataFrame:
+    """The rows of several queries, staged one after another as one table."""
+    path = scratch_path(spark, name)
+    for part in parts:
+        part.write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(part.schema).parquet(path)
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, staged; what it has staged itself on the way is deleted then."""
+    path = scratch_path(spark, name)
+    with scratch_scope(spark):
+        return written(make(), path)
 
 
 def inner(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -19,7 +19,7 @@ whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, inner, scratch_scope, small_batches, spread, staged
+from .common import brief_shuffles, cut, discard, gathered, inner, scratch_path, scratch_scope, settled, small_batches, spread, staged, written
 from .components import connected_components
 
 MAX_BITS = 4
@@ -162,8 +162,15 @@ SKETCH = 256
 #: Sets that meet under one pivot beyond which they are told apart by what each changes in
 #: their consensus, which about ``VOTERS`` of them make.
 CROWDED, VOTERS = 64, 64
+#: A set that shares less than one in so many of its shingles with those under a pivot meets
+#: them key by key: sets of prose share some keys by chance, and the more of them the larger
+#: the table, but hardly any two of them share several.
+FEW = 50
 #: Texts that go to a Python worker at a time.
 BATCH = 512
+#: Prefix keys that are shuffled at once, about. More of them meet in rounds, by their hash,
+#: so that the disk for a shuffle does not grow with the table.
+KEYS_AT_ONCE = 1 << 24
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -284,6 +291,14 @@ def _may_share(shared: Column) -> Column:
     return _alike(shared + F.greatest(left("size_a"), left("size_b")), F.col("size_a"), F.col("size_b"))
 
 
+def _early_enough() -> Column:
+    """Whether the first key that a set shares with any, ``first`` keys from its start, comes
+    early enough for near copies of size_a and size_b shingles: what is before it is missed
+    in the other set, and the sets share 4 of 9 shingles of their sizes' sum."""
+    misses = lambda a, b: sum(LIKENESS) * F.col(f"first_{a}") <= LIKENESS[1] * F.col(f"size_{a}") - LIKENESS[0] * F.col(f"size_{b}")
+    return misses("a", "b") & misses("b", "a")
+
+
 def _promising(pairs: DataFrame) -> DataFrame:
     """(a, b) of the pairs (a, size_a, b, size_b, n) that may be near copies; the n of a pair's
     rows add up to the prefix keys that it shares at most."""
@@ -313,7 +328,7 @@ def _sets(wanted: DataFrame, rows: DataFrame, source: DataFrame, member_map) ->
     """(node, shingles) of the distinct ``wanted`` nodes, made where their texts lie."""
     texts = rows.join(wanted, "node", "left_semi")
     sets = _narrowed(source, texts, "t").mapInArrow(member_map, "node long, shingles array<long>")
-    return cut(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    return staged(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-members")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, source: DataFrame, words: int) -> DataFrame:
@@ -322,7 +337,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, source: DataFrame, words: int)
     for k in "ab":
         pairs = pairs.join(rows.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("parity").alias(f"parity_{k}")), k)
     apart = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY // 64)), F.lit(0))
-    pairs = cut(pairs.where(_near_enough(apart, "size_a", "size_b")).select("a", "b"))
+    pairs = staged(pairs.where(_near_enough(apart, "size_a", "size_b")).select("a", "b"), "near-pairs")
     sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), rows, source, _member_map(words))
     a, b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
     shared = F.size(F.array_intersect("set_a", "set_b"))
@@ -347,7 +362,21 @@ def _shared(index: DataFrame, value: str) -> DataFrame:
     return dealt.join(ends.drop("hi"), "key")
 
 
-def _by_consensus(crowd: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _met_keys(prints: DataFrame) -> DataFrame:
+    """(key, node, size, at, lo) of all prefix keys that several sets hold, with their places in
+    the set and the smallest of their nodes as lo; at most about ``KEYS_AT_ONCE`` keys are shuffled at once."""
+    rounds = -(-(prints.agg(F.sum(F.size("keys"))).first()[0] or 1) // KEYS_AT_ONCE)
+
+    def met(i: int) -> DataFrame:
+        keys = prints.select("node", "size", F.posexplode("keys").alias("at", "key")).where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == i)
+        keys = keys.select("key", "node", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("size_at"))
+        found = _shared(keys, "node").distinct()
+        return found.select("key", "node", F.shiftright("size_at", 32).cast("int").alias("size"), F.col("size_at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"), "lo")
+
+    return gathered(prints.sparkSession, "near-keys", map(met, range(rounds)))
+
+
+def _by_consensus(crowd: DataFrame, make_sets: Callable[[], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Of the sets (pivot, m, node, size, c) that meet under a pivot, m in all: (a, b) near
     copies that join some components c, and (a, b) that may be near copies beside those.
 
@@ -361,15 +390,20 @@ def _by_consensus(crowd: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFra
     gives the same links.
     """
     total, gap = sum(LIKENESS), LIKENESS[1] - LIKENESS[0]
-    voters = crowd.where(F.pmod(F.xxhash64("node", "pivot"), F.ceil(F.col("m") / VOTERS)) == 0).select("pivot", "node")
-    heads = voters.groupBy("pivot").agg(F.count("*").alias("heads"))
-    votes = voters.join(sets, "node").select("pivot", F.explode("shingles").alias("s")).groupBy("pivot", "s").agg(F.count("*").alias("n"))
-    held = votes.join(heads, "pivot").where("2 * n > heads")
-    # what fewest lack comes first
-    agreed = held.groupBy("pivot").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "s")))["s"].alias("agreed"))
-    met = crowd.join(sets, "node").join(agreed, "pivot", "left").withColumn("agreed", F.coalesce("agreed", F.array().cast("array<long>")))
-    met = met.select("pivot", "node", "size", "c", F.concat(F.array_except("shingles", "agreed"), F.array_except("agreed", "shingles")).alias("changes"))
-    met = staged(met.withColumn("slack", gap * F.col("size") - total * F.size("changes")), "near-changes")
+
+    def changes() -> DataFrame:
+        sets = make_sets()
+        voters = crowd.where(F.pmod(F.xxhash64("node", "pivot"), F.ceil(F.col("m") / VOTERS)) == 0).select("pivot", "node")
+        heads = voters.groupBy("pivot").agg(F.count("*").alias("heads"))
+        votes = voters.join(sets, "node").select("pivot", F.explode("shingles").alias("s")).groupBy("pivot", "s").agg(F.count("*").alias("n"))
+        held = votes.join(heads, "pivot").where("2 * n > heads")
+        # what fewest lack comes first
+        agreed = held.groupBy("pivot").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "s")))["s"].alias("agreed"))
+        met = crowd.join(sets, "node").join(agreed, "pivot", "left").withColumn("agreed", F.coalesce("agreed", F.array().cast("array<long>")))
+        met = met.select("pivot", "node", "size", "c", F.concat(F.array_except("shingles", "agreed"), F.array_except("agreed", "shingles")).alias("changes"))
+        return met.withColumn("slack", gap * F.col("size") - total * F.size("changes"))
+
+    met = settled(crowd.sparkSession, "near-changes", changes)
     best = met.groupBy("pivot").agg(F.max(F.struct("slack", "node", "c")).alias("best"))
     met = met.join(best, "pivot").withColumn("near", F.expr("slack + best.slack >= 0"))
     joined = met.where("near and node <> best.node").select(F.col("node").alias("a"), F.col("best.node").alias("b"))
@@ -386,7 +420,7 @@ def _by_consensus(crowd: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFra
     return joined, x.join(y, ["pivot", "change"]).where(F.expr("a < b and c_a <> c_b") & _sizes_fit() & enough).select("a", "b").distinct()
 
 
-def likeness_links(source: DataFrame, prints: DataFrame, rows: DataFrame, known: DataFrame, words: int, common) -> DataFrame:
+def likeness_links(source: DataFrame, prints: DataFrame, rows: DataFrame, known: DataFrame, words: int, common, spent: Callable[[], None]) -> DataFrame:
     """(a, b): edges that, with ``known`` ones, join all nodes of Jaccard likeness 0.8.
 
     ``source`` has (_id, text, _t), ``prints`` the prefixes, ``rows`` a row (id, t) of every
@@ -394,35 +428,55 @@ def likeness_links(source: DataFrame, prints: DataFrame, rows: DataFrame, known:
     smallest node of each of its keys, the key's pivot, which joins groups of copies without
     making all their pairs. For keys that then still hold several components, sets of unlike
     components meet once under each pivot that they share, not once a key: all of them if at
-    most ``CROWDED`` meet there, else those that share a change of their consensus. No key is
-    dropped and no pair that may reach the likeness is left out.
+    most ``CROWDED`` meet there, else those that share a change of their consensus. A set of
+    ``FEW`` keys under a pivot meets those that share one of these keys instead. No key is
+    dropped and no pair that may reach the likeness is left out. Tables on the way are deleted
+    as soon as the next step has what it needs of them; ``spent`` does so for ``prints``.
     """
-    index = prints.select("node", "size", F.explode("keys").alias("key"))
-    with scratch_scope(source.sparkSession):  # the keys are the largest table and go once met
-        held = staged(_shared(index, "node").select("key", "node", "size", "lo").distinct(), "near-keys")
-        under = cut(held.groupBy("lo", "node", "size").agg(F.count("*").alias("n")))
-        under = under.join(under.groupBy("node").agg(F.sum("n").alias("keys")), "node")
-        side = lambda k: under.select("lo", F.col("node").alias(k), *(F.col(f).alias(f"{f}_{k}") for f in ("size", "keys")))
+    spark, parts = source.sparkSession, []
+
+    def meet() -> DataFrame:
+        held = _met_keys(prints)
+        spent()
+        under = staged(held.groupBy("lo", "node", "size").agg(F.count("*").alias("n")), "near-under")
+        counted = under.join(under.groupBy("node").agg(F.sum("n").alias("keys")), "node")
+        side = lambda k: counted.select("lo", F.col("node").alias(k), *(F.col(f).alias(f"{f}_{k}") for f in ("size", "keys")))
         stars = side("a").where("a = lo").join(side("b").where("b <> lo"), "lo").where(_sizes_fit() & _may_share(F.least("keys_a", "keys_b")))
-        first = cut(_verified(stars.select("a", "b"), rows, source, words))
-        groups = connected_components(known.union(first))
-        told = held.withColumnRenamed("lo", "pivot").join(groups, "node", "left").select("key", "node", "size", "pivot", F.coalesce("component", "node").alias("c"))
+        parts.append(cut(settled(spark, "near-first", lambda: _verified(stars.select("a", "b"), rows, source, words))))
+        groups = connected_components(known.union(parts[0]))
+        told = held.withColumnRenamed("lo", "pivot").join(groups, "node", "left").select("key", "node", "size", "at", "pivot", F.coalesce("component", "node").alias("c"))
         # sets are told from their pivots by now, so keys of two sets are done
-        met = cut(_shared(told, "c").where("n > 2").groupBy("pivot", "node", "size", "c").agg(F.count("*").alias("n")))
-    keys = met.groupBy("node").agg(F.sum("n").alias("keys"))
-    pivots = cut(met.groupBy("pivot").agg(F.count("*").alias("m")))
+        return _shared(told, "c").where("n > 2").drop("lo", "n")
+
+    told = settled(spark, "near-told", meet)  # the keys are the largest table and go once met
+    first = parts[0]
+    met = staged(told.groupBy("pivot", "node", "size", "c").agg(F.count("*").alias("n"), F.min("at").alias("at")), "near-met")
+    keys = staged(met.groupBy("node").agg(F.sum("n").alias("keys"), F.min("at").alias("first")), "near-counts")
+    few, many = F.col("n") * FEW < F.col("size"), F.col("n") * FEW >= F.col("size")
+    pivots = staged(met.where(many).groupBy("pivot").agg(F.count("*").alias("m")), "near-pivots")
     longs = [f"s{i}" for i in range(SKETCH // 64)]
-    calm = met.join(pivots.where(F.col("m") <= CROWDED).select("pivot"), "pivot").where("node <> pivot")
+    calm = met.where(many).join(pivots.where(F.col("m") <= CROWDED).select("pivot"), "pivot").where("node <> pivot")
     calm = calm.join(keys, "node").join(rows.select("node", *_sketch("parity")), "node")
-    x, y = (calm.select("pivot", F.col("node").alias(k), *(F.col(f).alias(f"{f}_{k}") for f in ("size", "c", "n", "keys", *longs))) for k in "ab")
-    alike = _sizes_fit() & _may_share(F.least("keys_a", "keys_b")) & _near_enough(_differ("s{}_a", "s{}_b"), "size_a", "size_b")
-    pairs = x.join(y, "pivot").where(F.expr("a < b and c_a <> c_b") & alike)
-    rest = _promising(pairs.select("a", "size_a", "b", "size_b", F.least("n_a", "n_b").alias("n")))
-    crowd = cut(met.drop("n").join(pivots.where(F.col("m") > CROWDED), "pivot"))
+    ends = ("size", "c", "keys", "first")
+    x, y = (calm.select("pivot", F.col("node").alias(k), *(F.col(f).alias(f"{f}_{k}") for f in (*ends, "n", *longs))) for k in "ab")
+    alike = F.expr("c_a <> c_b") & _sizes_fit() & _early_enough() & _may_share(F.least("keys_a", "keys_b"))
+    pairs = x.join(y, "pivot").where(F.expr("a < b") & alike & _near_enough(_differ("s{}_a", "s{}_b"), "size_a", "size_b"))
+    some = met.where("node <> pivot").select("pivot", "node", few.alias("few")).join(keys, "node")
+    some = told.drop("at").join(some, ["pivot", "node"])
+    x, y = (some.select("key", "few", F.col("node").alias(k), *(F.col(f).alias(f"{f}_{k}") for f in ends)) for k in "ab")
+    y = y.withColumnRenamed("few", "few_b")
+    seldom = x.where("few").join(y, "key").where(F.expr("a <> b and (a < b or not few_b)") & alike)
+    seldom = seldom.select(F.least("a", "b").alias("a"), F.expr("if(a < b, size_a, size_b)").alias("size_a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, size_b, size_a)").alias("size_b"), F.lit(1).cast("long").alias("n"))
+    rest = _promising(pairs.select("a", "size_a", "b", "size_b", F.least("n_a", "n_b").alias("n")).union(seldom))
+    crowd = staged(met.where(many).drop("n", "at").join(pivots.where(F.col("m") > CROWDED), "pivot"), "near-crowd")
     if crowd.take(1):
-        sets = _sets(crowd.select("node").distinct(), rows, source, _member_map(words, common))
-        joined, near = _by_consensus(crowd, sets)
-        first, rest = first.union(joined), rest.union(near).distinct()
+
+        def changed() -> DataFrame:
+            joined, near = _by_consensus(crowd, lambda: _sets(crowd.select("node").distinct(), rows, source, _member_map(words, common)))
+            return joined.withColumn("sure", F.lit(True)).union(near.withColumn("sure", F.lit(False)))
+
+        edges = settled(spark, "near-crowds", changed)
+        first, rest = first.union(edges.where("sure").select("a", "b")), rest.union(edges.where("not sure").select("a", "b")).distinct()
     return first.union(_verified(rest, rows, source, words))
 
 
@@ -436,31 +490,46 @@ def deduplicate(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text
     Sets are told apart by 64-bit hashes. Input columns may have any names and are returned
     as they are.
     """
-    with small_batches(docs.sparkSession, BATCH):  # all Python work is done within, the result is a plan of joins
+    spark = docs.sparkSession
+    with small_batches(spark, BATCH), brief_shuffles(spark):  # all Python work is done within, the result is a plan of joins
         return _deduplicated(docs, words, id_column, text_column)
 
 
 def _deduplicated(docs: DataFrame, words: int, id_column: str, text_column: str) -> DataFrame:
+    spark = docs.sparkSession
     outer, column = inner(docs)
     text = F.col(column[text_column]).cast("string")
     marked = outer.withColumn("_id", F.coalesce(F.col(column[id_column]).cast("long"), F.lit((1 << 63) - 1))).withColumn("_t", F.xxhash64(text))
-    source = spread(marked.select("_id", text.alias("text"), "_t"))
-    common = docs.sparkSession.sparkContext.broadcast(_common(source, words))  # at most 1 MB
-    prints = staged(source.mapInArrow(_set_map(words, common), "id long, t long, node long, print long, size int, keys array<long>, parity array<long>"), "near-sets")
-    rows = cut(prints.groupBy("node").agg(F.min(F.struct("id", "t", "size", "parity")).alias("r")).select("node", "r.*"))
-    firsts = cut(prints.groupBy("print").agg(F.min("node").alias("first")))
-    same = prints.join(firsts, "print").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    x, y = firsts.select(F.col("print").alias("x"), F.col("first").alias("a")), firsts.select(F.col("print").alias("y"), F.col("first").alias("b"))
-    known = cut(same.union(links(firsts.select("print")).join(x, "x").join(y, "y").select("a", "b")))
-    groups = connected_components(known.union(likeness_links(source, prints, rows, known, words, common)))
-    named = rows.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min(F.struct("id", "t")).alias("r"))
-    # rows that fall, and rows that repeat: only they meet in a shuffle, and what passes by chance
-    fallen = rows.select("id", "t").join(named.select("r.id", "r.t"), ["id", "t"], "left_anti")
-    # a text under two ids, or a set with two texts, has one row in ``rows``: the others fall too
-    others = prints.select("id", "t").join(rows.select("id", "t"), ["id", "t"], "left_anti")
-    repeated = prints.groupBy("id", "t").count().where("count > 1").select("id", "t")
-    moved = cut(fallen.union(others).union(repeated).select("t").distinct())
-    kept = named.select(F.col("r.id").alias("_id"), F.col("r.t").alias("_t"))
+    with scratch_scope(spark):
+        kept, moved = _kept(spread(marked.select("_id", text.alias("text"), "_t")), words)
     alone, met = (_narrowed(marked, moved, "t", inside) for inside in (False, True))
     met = met.join(kept, ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"])
     return alone.select(*outer.columns).union(met.select(*outer.columns)).toDF(*docs.columns)
+
+
+def _kept(source: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (_id, _t) that stay, and the texts t of rows that fall or repeat."""
+    spark = source.sparkSession
+    common = spark.sparkContext.broadcast(_common(source, words))  # at most 1 MB
+    path = scratch_path(spark, "near-sets")
+    prints = written(source.mapInArrow(_set_map(words, common), "id long, t long, node long, print long, size int, keys array<long>, parity array<long>"), path)
+    marks = staged(prints.select("id", "t", "node", "print"), "near-marks")
+    rows = staged(prints.groupBy("node").agg(F.min(F.struct("id", "t", "size", "parity")).alias("r")).select("node", "r.*"), "near-rows")
+
+    def alike() -> DataFrame:
+        firsts = staged(marks.groupBy("print").agg(F.min("node").alias("first")), "near-prints")
+        same = marks.join(firsts, "print").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+        x, y = firsts.select(F.col("print").alias("x"), F.col("first").alias("a")), firsts.select(F.col("print").alias("y"), F.col("first").alias("b"))
+        return same.union(links(firsts.select("print")).join(x, "x").join(y, "y").select("a", "b"))
+
+    known = settled(spark, "near-known", alike)
+    near = settled(spark, "near-links", lambda: likeness_links(source, prints, rows, known, words, common, lambda: discard(spark, path)))
+    groups = connected_components(known.union(near))
+    named = rows.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min(F.struct("id", "t")).alias("r"))
+    kept = cut(named.select(F.col("r.id").alias("_id"), F.col("r.t").alias("_t")))
+    # rows that fall, and rows that repeat: only they meet in a shuffle, and what passes by chance
+    fallen = rows.select("id", "t").join(kept.select(F.col("_id").alias("id"), F.col("_t").alias("t")), ["id", "t"], "left_anti")
+    # a text under two ids, or a set with two texts, has one row in ``rows``: the others fall too
+    others = marks.select("id", "t").join(rows.select("id", "t"), ["id", "t"], "left_anti")
+    repeated = marks.groupBy("id", "t").count().where("count > 1").select("id", "t")
+    return kept, cut(fallen.union(others).union(repeated).select("t").distinct())

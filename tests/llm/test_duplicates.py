@@ -291,3 +291,57 @@ def test_deduplicate_hands_workers_small_batches_and_leaves_no_keys(spark, monke
     assert kept == {i for i, _ in rows[:150]} and spark.conf.get(key) == before
     keys = [p for p in paths if "near-keys" in p]
     assert keys and not any(os.path.exists(p.removeprefix("file:")) for p in keys)
+
+
+@pytest.mark.parametrize("few,crowded", [(1, 1), (8, 3), (10**9, 1)])
+def test_deduplicate_is_exact_however_sets_meet(spark, monkeypatch, few, crowded):
+    """Keys in many rounds; sets that meet key by key, under a pivot and by their consensus."""
+    for name, value in (("FEW", few), ("CROWDED", crowded), ("KEYS_AT_ONCE", 5000), ("COMMON", 10**9)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = random.Random(33)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    phrases, rows = [rng.choices(vocabulary, k=30) for _ in range(4)], []
+    for i in range(50):
+        words = rng.choices(vocabulary, k=rng.choice((6, 30, 150, 300))) + rng.choice(phrases) + rng.choice(phrases)
+        rows.append((i * 10, " ".join(words)))
+        for j in range(1, 5):
+            copy = list(words) + rng.choices(vocabulary, k=rng.randrange(len(words) // 4 + 1) if j == 4 else 0)
+            for _ in range(len(words) * rng.randint(1, 6) // 200 + (j > 2)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            rows.append((i * 10 + j, " ".join(copy)))
+    want, n = jaccard_groups(rows)
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i in want if want[i] == i} and 80 < n and len(kept) > 70
+
+
+def test_texts_that_share_phrases_by_chance_make_no_sets(spark, monkeypatch):
+    """Long texts that hold a few phrases of many others share some keys and are not near."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(5000)]
+    phrases = [rng.choices(vocabulary, k=10) for _ in range(6)]
+    rows = []
+    for i in range(200):
+        words = rng.choices(vocabulary, k=rng.randint(500, 700))
+        for phrase in rng.sample(phrases, 3):
+            at = rng.randrange(len(words))
+            words[at:at] = phrase
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, text + " end") for i, text in rows[:20]]
+    wanted, make = [], simhash._sets
+    monkeypatch.setattr(simhash, "COMMON", 10**9)  # no shingle is put last for being common
+    monkeypatch.setattr(simhash, "_sets", lambda nodes, *rest: wanted.append(nodes.distinct().count()) or make(nodes, *rest))
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(200)) and 40 <= sum(wanted) < 60
+
+
+def test_deduplicate_leaves_no_tables_and_no_shuffles(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(WORDS, k=60))) for i in range(120)]
+    rows += [(1000 + i, t + " end") for i, t in rows[:40]]
+    key, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    before, write = spark.conf.get(key), common.scratch_path
+    monkeypatch.setattr(common, "scratch_path", lambda *a: seen.append((spark.conf.get(key), write(*a))) or seen[-1][1])
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(seen) > 5 and {k for k, _ in seen} == {"true"} and spark.conf.get(key) == before
+    assert not any(os.path.exists(p.removeprefix("file:")) for _, p in seen)
+    assert {r.doc_id for r in kept.collect()} == set(range(120))

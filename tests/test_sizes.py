@@ -91,3 +91,42 @@ def test_duplicate_pairs_of_a_family(spark):
         first.setdefault(sets[i], i)
     assert got == {(a, b, j) for a, b, j in alike if first[sets[a]] == a and first[sets[b]] == b}
     assert len(got) > 100 and seen["n"] < 0.5 * 150 * 149 / 2
+
+
+def test_duplicate_pairs_of_large_sets(spark, monkeypatch):
+    """Unlike sets of many words end in the join; words meet in rounds; odd ids; no shuffle files are left."""
+    import random
+
+    from corpusloom.operators import similarity
+
+    r = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(2400)]
+    base = [r.sample(vocabulary, r.choice((40, 800, 850, 1000))) for _ in range(50)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    rows += [(100 + i, " ".join(w[r.randrange(len(w) // 5) :])) for i, w in enumerate(base[:25])]
+    rows += [(200 + i, " ".join(reversed(w))) for i, w in enumerate(base[:5])] + [(3, "a b c"), (3, "a b c d"), (7, "a b c d e"), (None, rows[9][1] + " more"), (300, None), (301, "!")]
+    heads = {}
+    for i, text in rows:
+        words = frozenset(w for w in (text or "").split() if w != "!")
+        if words and i is not None:
+            heads[words] = min(i, heads.get(words, i))
+    want = sorted((heads[x], heads[y], round(len(x & y) / len(x | y), 6)) for x in heads for y in heads if heads[x] < heads[y] and 5 * len(x & y) >= 4 * len(x | y))
+    seen, whole = {}, similarity._shared_words
+
+    def counted(pairs, *rest):
+        seen["n"], seen["key"] = pairs.count(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(similarity, "_shared_words", counted)
+    monkeypatch.setattr(similarity, "WORDS_AT_ONCE", 3000)
+    got = sorted(map(tuple, similarity.jaccard_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 0.8).collect()))
+    assert got == want and (3, 7, 0.8) in got and len(got) > 20
+    assert seen == {"n": seen["n"], "key": "true"} and seen["n"] < 2 * len(want)
+
+
+def test_parity_bits_are_folded(spark):
+    from corpusloom.operators import similarity
+
+    rows = [([1, 2, 4, 8], [1, 2, 4, 8]), ([1, 2, 4, 8], [1, 0, 0, 8, 0, 2, 4, 0]), ([3, 0, 0, 0, 0, 0, 0, 7], [1, 0, 0, 7]), ([1] * 8, [0] * 8)]
+    df = spark.createDataFrame(rows, "x array<long>, y array<long>")
+    assert [r[0] for r in df.select(similarity._differ(df.x, df.y)).collect()] == [0, 0, 1, 8]
